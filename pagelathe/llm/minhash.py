@@ -162,24 +162,12 @@ def _confirmed(members: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return dealt.mapInArrow(_compare(size, percent), "a long, b long")
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    depth = depth_for(percent)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = materialize(texts.mapInArrow(_signatures(size, depth), "id long, n long, digest binary, keys array<long>"), "signatures")
-    least = made.where("digest IS NOT NULL AND id IS NOT NULL").groupBy(F.col("digest").alias("of")).agg(F.min("id").alias("rep"))
-    mapped = materialize(made.join(least, F.col("digest") == F.col("of"), "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys")), "classes")
-
-    heads = mapped.where("keys IS NOT NULL").groupBy("rep").agg(F.any_value("keys").alias("keys"))
-    spots = heads.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.get("keys", t * 2).alias("region"), F.get("keys", t * 2 + 1).alias("deep")))).alias("s")).select("rep", "s.region", "s.deep")
-    spots = materialize(spots, "forest")
-    regions = spots.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("m > 1")
-    # Regions that several trees found with the same members
-    regions = regions.groupBy("m", "low", "who").agg(F.min("region").alias("of_region")).select("of_region", "m")
-    members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("rep").alias("id"), "deep"), "members")
+def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Components, as (node, component), of the confirmed links inside regions.
 
+    `members`: frozen rows (region, m, id, deep), m the region's size and deep the order inside it;
+    `texts`: (id, text). Ids without a link may be absent.
+    """
     small = members.where(f"m <= {BLOCK}").select(F.col("region").alias("task"), F.lit(0).alias("side"), "id", F.lit(None).cast("long").alias("comp"))
     large = members.where(f"m > {BLOCK}")
     hot = not large.isEmpty()
@@ -206,6 +194,28 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
             both = left.unionByName(right).select(F.xxhash64("region", "part", "block", F.lit(1)).alias("task"), "side", "id", "comp")
             more = materialize(_confirmed(both, texts, size, percent), "more-links")
             found = components(links.unionByName(more))
+    return found
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of `docs`: id, n_shingles, component_id, kept."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    depth = depth_for(percent)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    made = materialize(texts.mapInArrow(_signatures(size, depth), "id long, n long, digest binary, keys array<long>"), "signatures")
+    least = made.where("digest IS NOT NULL AND id IS NOT NULL").groupBy(F.col("digest").alias("of")).agg(F.min("id").alias("rep"))
+    mapped = materialize(made.join(least, F.col("digest") == F.col("of"), "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys")), "classes")
+
+    heads = mapped.where("keys IS NOT NULL").groupBy("rep").agg(F.any_value("keys").alias("keys"))
+    spots = heads.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.get("keys", t * 2).alias("region"), F.get("keys", t * 2 + 1).alias("deep")))).alias("s")).select("rep", "s.region", "s.deep")
+    spots = materialize(spots, "forest")
+    regions = spots.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("m > 1")
+    # Regions that several trees found with the same members
+    regions = regions.groupBy("m", "low", "who").agg(F.min("region").alias("of_region")).select("of_region", "m")
+    members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("rep").alias("id"), "deep"), "members")
+
+    found = resolve(members, texts, size, percent)
     out = mapped.join(found, mapped["rep"] == found["node"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

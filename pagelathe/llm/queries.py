@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelathe.llm import exact_dedup, minhash, mixing, sentencepiece_bpe, sharding, token_counts, toxicity, vector_dedup
+from pagelathe.llm import exact_dedup, minhash, mixing, ngram_lm, passage_dedup, sentencepiece_bpe, sharding, token_counts, toxicity, vector_dedup
 from pagelathe.runtime import read_table
 
 SHARDS = 16
@@ -29,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(read_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -42,6 +46,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.passages(read_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,11 +58,12 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.assign(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash, op3_exact_dedup, op5_toxicity, op6_token_counts, op7_sharding, op9_mixing, op10_vector_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash, op3_exact_dedup, op4_ngram_lm, op5_toxicity, op6_token_counts, op7_sharding, op8_passage_dedup, op9_mixing, op10_vector_dedup)}
 
 ORACLES = {
     "op2_minhash": minhash.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_ngram_lm": ngram_lm.ORACLE,
     "op7_sharding": sharding.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_vector_dedup": vector_dedup.ORACLE,
