@@ -1,10 +1,6 @@
 """All queries of the engine and, where SQL can state them, their oracles."""
 
-from __future__ import annotations
+from pagelathe.plans.oracles import ORACLES
+from pagelathe.plans.queries import QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
