@@ -43,7 +43,8 @@ def _settle(rows: DataFrame, keys: list[str], run: int, number: int, carry: bool
         f"radix-groups-{number}",
     )
     same = reduce(lambda a, b: a & b, [rows[k] == groups[f"k_{k}"] for k in keys])
-    on = rows.join(groups, same, "left")
+    # The groups have no bound, so they are shuffled at any size.
+    on = rows.join(groups.hint("merge"), same, "left")
     ended = F.octet_length(rows[keys[-1]]) < run
     rest = F.when(groups["grp"].isNotNull() & ~ended, F.expr(f"substring(rest, {run + 1})"))
     return on.select(rows["id"], rows["digest"], groups["grp"], F.coalesce(groups["size"], F.lit(1)).alias("size"), groups["best"], rest.alias("rest"))
