@@ -122,7 +122,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("cls").alias("id"), F.xxhash64("cls").alias("deep")), "paragraph-members")
     wanted = members.select(F.col("id").alias("cls")).distinct().join(classes.select("cls", "at"), "cls").select("cls", F.col("at.id").alias("of_id"), F.col("at.start").alias("start"), F.col("at.stop").alias("stop"))
     cut = F.decode(F.substring(F.encode("text", "UTF-8"), F.col("start") + 1, F.col("stop") - F.col("start")), "UTF-8")
-    lines = texts.join(wanted, F.col("id") == F.col("of_id")).select("cls", cut.alias("text")).groupBy(F.col("cls").alias("id")).agg(F.min("text").alias("text"))
+    lines = texts.join(wanted.hint("merge"), F.col("id") == F.col("of_id")).select("cls", cut.alias("text")).groupBy(F.col("cls").alias("id")).agg(F.min("text").alias("text"))
     near = resolve(members, materialize(lines, "paragraph-texts"), SIZE, PERCENT)
     grouped = classes.join(near, F.col("cls") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "cls"))
     grouped = materialize(grouped.select("line", "h1", "h2", "grp", "low", "high"), "unit-groups")
