@@ -157,7 +157,8 @@ def _compare(size: int, percent: int):
 
 def _confirmed(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links among `members` (task, side, id, comp)."""
-    rows = members.join(texts, "id").select("task", "side", "id", "comp", "text")
+    # Members have no bound, so the texts are shuffled at any size.
+    rows = texts.join(members.hint("merge"), "id").select("task", "side", "id", "comp", "text")
     dealt = rows.repartition("task").sortWithinPartitions("task")
     return dealt.mapInArrow(_compare(size, percent), "a long, b long")
 
@@ -205,6 +206,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = materialize(texts.mapInArrow(_signatures(size, depth), "id long, n long, digest binary, keys array<long>"), "signatures")
     least = made.where("digest IS NOT NULL AND id IS NOT NULL").groupBy(F.col("digest").alias("of")).agg(F.min("id").alias("rep"))
+    least = materialize(least, "least")  # apart from the join, which can then be split for a hot digest
     mapped = materialize(made.join(least, F.col("digest") == F.col("of"), "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys")), "classes")
 
     heads = mapped.where("keys IS NOT NULL").groupBy("rep").agg(F.any_value("keys").alias("keys"))
@@ -224,7 +226,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each component, the one with the smallest id; columns as they are."""
     gone = assign(docs, id_col, text_col, size, percent).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")
 
 
 ORACLE = r"""
