@@ -1,6 +1,7 @@
 """Metadata of a page's tree: meta tags, OpenGraph, JSON-LD, rules on elements, media, licence.
 
-Plain Python on one page; `operators.dom` runs it on Arrow batches. No network access: rules that need
+Plain Python on one page; `operators.dom` runs it on Arrow batches. What sources say is collected first,
+each field then takes the first source of its order of precedence. No network access: rules that need
 an HTTP call are left out.
 """
 
@@ -9,21 +10,24 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
+from pagelathe.functions import vocab
+from pagelathe.functions.names import byline, joined, split_names
 from pagelathe.functions.tree import Node, parse
 
-TITLE_NAMES = frozenset("citation_title dc.title dcterms.title fb_title parsely-title sailthru.title shareaholic:title title twitter:title".split())
-TEXT_NAMES = frozenset("dc.description dc:description dcterms.abstract dcterms.description description sailthru.description twitter:description".split())
-AUTHOR_NAMES = frozenset("article:author author byl citation_author dc.creator dc.creator.aut dc:creator dcterms.creator dcterms.creator.aut parsely-author sailthru.author shareaholic:article_author_name".split())
-SITE_NAMES = frozenset("article:publisher citation_journal_title copyright dc.publisher dc:publisher dcterms.publisher publisher application-name twitter:site".split())
-TAG_NAMES = frozenset("citation_keywords dcterms.subject keywords parsely-tags shareaholic:keywords tags".split())
-BLOCKED_AUTHORS = frozenset(("udn", "ettoday新聞雲", "ltn", "自由時報電子報"))
-BLOCKED_VIDEO = ("googletagmanager.com", "doubleclick.net", "facebook.com/plugins", "facebook.com/tr")
-AUDIO_ENDS = (".mp3", ".m4a", ".ogg", ".wav", ".aac")
-MOST = 10_000
-_CJK_BYLINES = [re.compile(p) for p in ("〔[^ ]*／[^ ]*報導〕", "記者[^ ]*／[^ ]*報導", "記者[^ ]*日電〕", "文／[^ ]* ", "（[^ ]*／[^ ]*報導）", "／記者[^ ]*報導", "【[^ ]*專欄】", "【[^ ]*／[^ ]*】")]
 _SPACE = re.compile(r"\s+")
-_YOUTUBE = re.compile(r"(?:https?:)?//(?:www\.)?youtube(?:-nocookie)?\.com/embed/([\w-]+)")
+_SITE = re.compile(r"https?://[^/]+")
+_set = lambda words: frozenset(words.split())
+#: The field that a meta tag of some name speaks for.
+_SPEAKS = {
+    **dict.fromkeys(_set(vocab.TITLE_NAMES), "title"), **dict.fromkeys(_set(vocab.DESCRIPTION_NAMES), "description"), **dict.fromkeys(_set(vocab.AUTHOR_NAMES), "author"),
+    **dict.fromkeys(_set(vocab.PUBLISHER_NAMES), "sitename"), **dict.fromkeys(_set(vocab.APPLICATION_NAMES), "application"), **dict.fromkeys(_set(vocab.TAG_NAMES), "tags"), "twitter:url": "url",
+}
+_SPEAKS_PROPERTY = {"article:tag": "tags", "author": "author", "article:author": "author", "article:publisher": "sitename"}
+_SPEAKS_ITEM = {"author": "author", "description": "description", "headline": "title"}
+_ARTICLES, _PUBLISHERS = _set(vocab.ARTICLE_TYPES), _set(vocab.PUBLISHER_TYPES)
 
 
 def trim(s: str | None) -> str | None:
@@ -34,369 +38,426 @@ def clean(s: str | None) -> str | None:
     """Unescaped, printable, trimmed and capped; blank gives None."""
     if s is None:
         return None
-    s = "".join(c for c in html.unescape(s[:MOST]) if c.isprintable() or c.isspace())
+    if len(s) > vocab.LONGEST_VALUE:
+        s = s[: vocab.LONGEST_VALUE - 1] + "…"
+    s = "".join(c for c in html.unescape(s) if c.isprintable() or c.isspace())
     return trim(s) or None
 
 
-def metas(root: Node) -> list[tuple[str, str, str]]:
-    """(attribute, name in lower case, content) of the meta tags that have both."""
-    out = []
-    for node in root.iter("meta"):
-        content = (node.get("content") or "").strip()
-        for kind in ("property", "name", "itemprop"):
-            if node.get(kind) and content:
-                out.append((kind, node.get(kind).strip().lower(), content))
-    return out
+# Rules on elements
 
 
-def open_graph(found: list[tuple[str, str, str]]) -> dict[str, str]:
-    """OpenGraph properties without their prefix; the last of a name holds."""
-    return {n[3:]: c for k, n, c in found if n.startswith("og:") and k in ("property", "name")}
+@dataclass(frozen=True)
+class Rule:
+    """One line of a rule table: tags, perhaps a parent's tag, and conditions of which one must hold."""
 
+    tags: frozenset[str]
+    parent: str | None
+    conditions: tuple[tuple[str, str, str], ...]
 
-def json_ld(root: Node) -> list[dict]:
-    """Objects of all JSON-LD scripts, with @graph and live blogs unwrapped; broken scripts are skipped."""
-    out: list[dict] = []
-    for node in root.iter("script"):
-        if (node.get("type") or "").split(";")[0].strip().lower() != "application/ld+json":
-            continue
-        try:
-            stack = [json.loads(node.all_text())]
-        except ValueError:
-            out.append(_broken(node.all_text()))
-            continue
-        while stack:
-            x = stack.pop(0)
-            if isinstance(x, list):
-                stack = x + stack
-            elif isinstance(x, dict):
-                out.append(x)
-                stack = [v for v in (x.get("@graph"), x.get("liveBlogUpdate")) if v] + stack
-    return out
+    @staticmethod
+    def read(line: str) -> Rule:
+        tags, _, told = line.partition(":")
+        parent, _, tag = tags.strip().rpartition(">")
+        conditions = tuple(m.groups() for m in re.finditer(r"(\w+)(=|\^=|\*=)(\S+)", told))
+        return Rule(frozenset(tag.split()), parent or None, conditions)
 
+    def fits(self, n: Node) -> bool:
+        if "*" not in self.tags and n.tag not in self.tags:
+            return False
+        for name, how, want in self.conditions:
+            value = n.get(name)
+            if value is not None and (value == want if how == "=" else value.startswith(want) if how == "^=" else want in value):
+                return True
+        return not self.conditions
+
+    def among(self, root: Node) -> Iterator[Node]:
+        if self.parent is None:
+            return (n for n in root.iter() if self.fits(n))
+        return (c for n in root.iter(self.parent) for c in n.children if self.fits(c))
 
-def _broken(text: str) -> dict:
-    """What regular expressions still find in JSON that does not parse."""
-    out: dict = {"@type": "Article"}
-    for key, pattern in (("headline", r'"headline":\s*"([^"\\]+)'), ("articleSection", r'"articleSection":\s*"([^"\\]+)')):
-        if m := re.search(pattern, text):
-            out[key] = m[1]
-    if m := re.search(r'"(?:author|person)":[^}]*?"name":\s*"([^"\\]+)', text, re.I):
-        out["author"] = {"name": m[1]}
-    return out
+
+def _rules(lines: Iterable[str]) -> list[Rule]:
+    return [Rule.read(x) for x in lines]
+
+
+TITLE_RULES, AUTHOR_RULES, CATEGORY_RULES, TAG_RULES = map(_rules, (vocab.TITLE_RULES, vocab.AUTHOR_RULES, vocab.CATEGORY_RULES, vocab.TAG_RULES))
+
+
+def first_text(root: Node, rules: list[Rule], below: int) -> str | None:
+    """The first text of fewer than `below` characters that an element of the first rule that has one holds."""
+    texts = (n.all_text() for rule in rules for n in rule.among(root))
+    return next((trim(t) for t in texts if t.strip() and len(t) < below), None)
+
+
+def split_tags(told: str) -> list[str]:
+    """Parts between the first kind of separator that occurs."""
+    m = re.search(vocab.TAG_SEPARATORS, told)
+    return [t for t in map(trim, told.split(m[0]) if m else [told]) if t]
+
+
+def linked(root: Node, rules: list[Rule], path: str) -> list[str]:
+    """Texts of the links to `path` below the elements of the first rule that has any."""
+    for rule in rules:
+        links = {id(a): a for n in rule.among(root) for a in n.iter("a") if path in (a.get("href") or "")}
+        if links:
+            return [t for a in links.values() for t in split_tags(trim(a.all_text()))]
+    return []
+
+
+# Meta tags
+
+
+@dataclass
+class Said:
+    """What the meta tags of a page say, by field."""
+
+    graph: dict[str, str] = field(default_factory=dict)
+    first: dict[str, str] = field(default_factory=dict)
+    authors: list[str] = field(default_factory=list)
+    tags: list[str] = field(default_factory=list)
+    dates: dict[str, str] = field(default_factory=dict)
+    sites: list[str] = field(default_factory=list)
+
+
+def meta_tags(root: Node) -> Said:
+    """OpenGraph values hold over named ones, of which the first counts; authors and tags add up.
+
+    Where OpenGraph states title, author, address, description and site, nothing else is read.
+    """
+    said = Said()
+    tags = [(n, n.get("content")) for n in root.iter("meta") if n.get("content")]
+    for n, content in tags:
+        name = n.get("property") or ""
+        if name.startswith("og:"):
+            said.graph[name[3:]] = content
+        for word in ("property", "name", "itemprop"):
+            said.dates.setdefault((n.get(word) or "").lower(), content)
+        if (n.get("property") or n.get("name") or "").startswith(("og:", "twitter:")) and (m := _SITE.match(content)):
+            said.sites.append(m[0])
+    graph = said.graph
+    told = {"title": graph.get("title"), "author": graph.get("author") or graph.get("article:author"), "url": graph.get("url"), "description": graph.get("description"), "sitename": graph.get("site_name")}
+    if told["url"] and not sound(told["url"]):
+        told["url"] = None
+    said.first = {k: trim(v) for k, v in told.items() if v and trim(v)}
+    if len(said.first) == len(told):
+        return said
+    said.authors = said.first["author"].split("; ") if "author" in said.first else []
+    for n, content in tags:
+        if n.get("property"):
+            what = _SPEAKS_PROPERTY.get(n.get("property"))
+        elif n.get("name"):
+            name = n.get("name").lower()
+            what = _SPEAKS.get(name) or ("application" if "twitter:app:name" in name else None)
+        else:
+            what = _SPEAKS_ITEM.get(n.get("itemprop") or "")
+        if what == "author":
+            said.authors = joined(said.authors, split_names(content))
+        elif what == "tags":
+            said.tags += split_tags(re.sub("[\"']", "", trim(html.unescape(content))))
+        elif what == "application":
+            said.first[what] = content  # the last of them
+        elif what and (what != "url" or sound(content)):
+            said.first.setdefault(what, content)
+    if said.authors:
+        said.first["author"] = "; ".join(said.authors)
+    if "application" in said.first:
+        said.first.setdefault("sitename", said.first["application"])
+    return said
+
+
+# JSON-LD
 
 
 def _kind(x: dict) -> str:
-    t = x.get("@type", "")
-    return (t[0] if isinstance(t, list) and t else t if isinstance(t, str) else "").lower()
-
-
-def _people(x) -> list[str]:
-    out = []
-    for a in x if isinstance(x, list) else [x]:
-        if isinstance(a, str):
-            out.append(a)
-        elif isinstance(a, dict):
-            name = a.get("name")
-            if isinstance(name, dict):
-                name = name.get("name")
-            if isinstance(name, list):
-                out += [n for n in name if isinstance(n, str)]
-            elif isinstance(name, str):
-                out.append(name)
-            elif a.get("givenName"):
-                out.append(" ".join(str(a[k]) for k in ("givenName", "additionalName", "familyName") if a.get(k)))
-    return out
+    t = x.get("@type")
+    t = t[0] if isinstance(t, list) and t else t
+    return t.lower() if isinstance(t, str) else ""
 
 
-def from_json(items: list[dict]) -> dict:
-    out: dict = {}
+def _listed(x) -> list:
+    return x if isinstance(x, list) else [] if x is None else [x]
+
+
+def json_objects(root: Node) -> Iterator[dict]:
+    """Objects of all schema.org scripts, @graph and live blogs unwrapped; of broken scripts what can still be read."""
+    for node in root.iter("script"):
+        if (node.get("type") or "").split(";")[0].strip().lower() != "application/ld+json":
+            continue
+        text = node.all_text()
+        try:
+            held = _listed(json.loads(text))
+        except ValueError:
+            yield broken_json(text)
+            continue
+        for x in held:
+            if not isinstance(x, dict) or not isinstance(x.get("@context"), str) or not x["@context"].rstrip("/").lower().endswith("schema.org"):
+                continue
+            inner = x.get("@graph") or (x.get("liveBlogUpdate") if _kind(x) == "liveblogposting" else None)
+            yield from (y for y in (_listed(inner) if inner else [x]) if isinstance(y, dict))
+
+
+def broken_json(text: str) -> dict:
+    """An article with what single expressions find in JSON that does not parse."""
+    value = lambda key: (m := re.search(rf'"{key}"\s*:\s*"([^"\\]+)', text)) and m[1]
+    people = re.findall(r'"(?:author|person)"\s*:[^}\]]*?"name"\s*:\s*"([^"\\]+)', text, re.I)
+    return {"@type": "Article", "headline": value("headline"), "articleSection": value("articleSection"), "author": [{"name": p} for p in people]}
+
+
+def _person(x) -> list[str]:
+    """The names that an author entry states: a text, a name, a list of names, or name parts."""
+    if isinstance(x, str):
+        return [x]
+    if not isinstance(x, dict) or x.get("@type", "Person") not in ("Person", ["Person"]):
+        return []
+    name = x.get("name")
+    if name is None:
+        parts = [x.get(k) for k in ("givenName", "additionalName", "familyName")]
+        return [" ".join(p for p in parts if isinstance(p, str))] if x.get("givenName") and x.get("familyName") else []
+    return [n for n in _listed(name) if isinstance(n, str)]
+
+
+def _better_site(now: str | None, told, kind: str) -> str | None:
+    """A publisher's name replaces none, a shorter one, or an address."""
+    if not isinstance(told, str) or not told:
+        return now
+    longer = now is not None and len(now) < len(told) and kind != "webpage"
+    address = now is not None and now.startswith("http") and not told.startswith("http")
+    return told if now is None or longer or address else now
+
+
+def from_json(objects: Iterable[dict], site: str | None = None) -> dict:
+    """name, title, categories, sitename and rawDate as far as the objects state them."""
+    out: dict = {"sitename": site}
     names: list[str] = []
-    for x in items:
+    for x in objects:
         kind = _kind(x)
         publisher = x.get("publisher")
         if isinstance(publisher, dict) and isinstance(publisher.get("name"), str):
-            out.setdefault("sitename", publisher["name"])
-        if kind in ("newsmediaorganization", "organization", "webpage", "website"):
-            if isinstance(x.get("name"), str) and kind != "webpage":
-                out.setdefault("sitename", x["name"])
+            out["sitename"] = publisher["name"]
+        if kind in _PUBLISHERS:
+            for key in ("name", "alternateName"):
+                out["sitename"] = _better_site(out["sitename"], x.get(key), kind)
         elif kind == "person":
-            names += _people(x)
-        elif "article" in kind or "posting" in kind or kind in ("report", "review"):
-            names += _people(x.get("author") or [])
-            section = x.get("articleSection")
-            if section and "categories" not in out:
-                out["categories"] = [s for s in (section if isinstance(section, list) else [section]) if isinstance(s, str)]
-            title = x.get("headline") or (x.get("name") if kind == "article" else None)
+            names = joined(names, [n for told in _person({"name": x.get("name")}) for n in split_names(told)])
+        elif kind in _ARTICLES:
+            names = joined(names, [n for a in _listed(x.get("author")) for told in _person(a) for n in split_names(told)])
+            sections = [s for s in _listed(x.get("articleSection")) if isinstance(s, str) and s]
+            if sections:
+                out.setdefault("categories", sections)
+            title = x.get("name") if kind == "article" and x.get("name") else x.get("headline")
             if isinstance(title, str):
                 out.setdefault("title", title)
             if isinstance(x.get("datePublished"), str):
                 out.setdefault("rawDate", x["datePublished"])
     if names:
-        out["name"] = "; ".join(dict.fromkeys(n for n in map(trim, names) if n))
+        out["name"] = "; ".join(names)
     return out
 
 
-def _classes(n: Node) -> str:
-    return n.get("class") or ""
-
-
-def _first(root: Node, rules, longest: int) -> str | None:
-    """The first rule, then the first element, whose text has more than 2 and fewer than `longest` characters."""
-    for rule in rules:
-        for n in root.iter():
-            if rule(n):
-                text = trim(n.all_text())
-                if text and 2 < len(text) < longest:
-                    return text
-    return None
-
-
-AUTHOR_RULES = (
-    lambda n: n.tag == "author" or n.tag in ("a", "address", "link", "p", "span") and (n.get("rel") in ("author", "me") or _classes(n) == "author"),
-    lambda n: n.tag in ("a", "span") and ("author" in _classes(n) or "posted-by" in _classes(n) or "author" in (n.get("itemprop") or "")),
-    lambda n: n.tag in ("a", "div", "p", "span") and "byline" in _classes(n),
-    lambda n: "author" in _classes(n) or "screenname" in _classes(n),
-)
-TITLE_RULES = (
-    lambda n: n.tag in ("h1", "h2") and any(w in _classes(n) for w in ("post-title", "entry-title", "headline", "article-title")),
-    lambda n: n.tag in ("h1", "h2") and n.get("itemprop") in ("headline", "name"),
-    lambda n: n.get("id") in ("title", "headline") and n.tag in ("h1", "h2", "h3"),
-)
-
-
-def _starts(n: Node, *heads: str) -> bool:
-    return _classes(n).startswith(heads)
-
-
-CATEGORY_RULES = (
-    lambda n: n.tag == "div" and (_starts(n, "post-info", "postinfo", "post-meta", "postmeta", "meta", "entry-meta", "entry-info", "entry-utility") or (n.get("id") or "").startswith("postpath")),
-    lambda n: n.tag == "p" and (_starts(n, "postmeta", "entry-categories") or _classes(n) == "postinfo" or n.get("id") == "filedunder"),
-    lambda n: n.tag == "footer" and _starts(n, "entry-meta", "entry-footer"),
-    lambda n: n.tag in ("li", "span") and _classes(n) in ("post-category", "postcategory", "entry-category"),
-    lambda n: n.tag == "header" and _classes(n) == "entry-header",
-    lambda n: n.tag == "div" and _classes(n) in ("row", "tags"),
-)
-TAG_RULES = (
-    lambda n: n.tag == "div" and _classes(n) == "tags",
-    lambda n: n.tag == "p" and _starts(n, "entry-tags"),
-    lambda n: n.tag == "div" and (_classes(n) in ("row", "jp-relatedposts", "entry-utility") or _starts(n, "tag", "postmeta", "meta")),
-    lambda n: _classes(n) == "entry-meta" or "topics" in _classes(n),
-)
-
-
-def linked(root: Node, rules, path: str) -> list[str]:
-    """Texts of the links below the first rule that finds any whose address holds /`path`."""
-    want = re.compile(rf"/{path}[sy]?(?:ies)?/", re.I)
-    for rule in rules:
-        out = [trim(a.all_text()) for n in root.iter() if rule(n) for a in n.iter("a") if want.search(a.get("href") or "")]
-        if any(out):
-            return list(dict.fromkeys(t for t in out if t))
-    return []
+# Single fields
 
 
 def title(root: Node) -> str | None:
-    h1 = list(root.iter("h1"))
-    if len(h1) == 1 and trim(h1[0].all_text()):
-        return trim(h1[0].all_text())
-    if found := _first(root, TITLE_RULES, 200):
+    """A sole h1, an element of a rule, the title without its last suffix, the first h1 or h2."""
+    heads = [t for n in root.iter("h1") if (t := trim(n.all_text()))]
+    if len(heads) == 1:
+        return heads[0]
+    if found := first_text(root, TITLE_RULES, 200):
         return found
-    for n in root.iter("title"):
-        text = trim(n.all_text())
-        if text:
-            m = re.match(r"(.+?)\s+[-|]\s+[^-|]*$", text)
-            return m[1] if m else text
-    for n in [*h1, *root.iter("h2")]:
-        if trim(n.all_text()):
-            return trim(n.all_text())
-    return None
+    told = next((t for n in root.iter("title") if (t := trim(n.all_text()))), None)
+    if told:
+        cut = max(told.rfind(" - "), told.rfind(" | "))
+        return told[:cut] if cut > 0 else told
+    return next(iter([*heads, *(t for n in root.iter("h2") if (t := trim(n.all_text())))]), None)
 
 
 def site_from_title(root: Node) -> str | None:
-    for n in root.iter("title"):
-        if m := re.match(r".+\s+[-|]\s+(.*)$", trim(n.all_text()) or ""):
-            return m[1]
-    return None
+    """What stands after the first separator in the title."""
+    told = next((t for n in root.iter("title") if (t := trim(n.all_text()))), "")
+    m = re.search(r"[-|]\s+(.*)$", told)
+    return m[1] if m else None
 
 
 def author(root: Node) -> str | None:
-    if found := _first(root, AUTHOR_RULES, 75):
-        found = re.sub(r"^([a-zäöüß]+(ed|t))? ?(by|von) ", "", found, flags=re.I)
-        found = re.sub(r"\d.+?$", "", found)
-        found = re.sub(r"[^\w]+$|\b (am|on)\b", "", found.strip())
-        return found.title() or None
-    for pattern in _CJK_BYLINES:
+    """An element of a rule, or a byline in running CJK text."""
+    if found := first_text(root, AUTHOR_RULES, 75):
+        return byline(found)
+    for pattern in vocab.CJK_BYLINES:
         for n in root.iter():
-            if n.tag not in ("script", "style") and (m := pattern.search(n.text)):
-                return m[0].strip()
+            if n.tag not in ("script", "style") and (m := re.search(pattern, n.text)):
+                return m[0]
     return None
 
 
+def check_authors(names: str | None, blocked: Iterable[str] = vocab.BLOCKED_AUTHORS) -> str | None:
+    """Names without the blocked ones, whatever their case."""
+    lower = {b.lower() for b in blocked}
+    kept = [a for a in map(str.strip, (names or "").split(";")) if a and a.lower() not in lower]
+    return "; ".join(kept) or None
+
+
 def licence(root: Node) -> str | None:
-    def of(a: Node, strict: bool) -> str | None:
-        if m := re.search(r"/(by-nc-nd|by-nc-sa|by-nc|by-nd|by-sa|by|zero)/([1-9]\.[0-9])", a.get("href") or ""):
+    """From links marked as licence, by address or else text; from links in footers only Creative Commons."""
+    marked = ((a, None) for a in root.iter("a") if a.get("rel") == "license")
+    feet = (n for n in root.iter("footer", "div") if n.tag == "footer" or "footer" in (n.get("class") or "") or "footer" in (n.get("id") or ""))
+    for a, text in [*marked, *((a, vocab.LICENCE_TEXT) for n in feet for a in n.iter("a"))]:
+        if a.get("href") is None:
+            continue
+        if m := re.search(vocab.LICENCE_PATH, a.get("href")):
             return f"CC {m[1].upper()} {m[2]}"
-        text = trim(a.all_text())
-        if not strict:
-            return text or None
-        m = re.search(r"(cc|creative commons) (by-nc-nd|by-nc-sa|by-nc|by-nd|by-sa|by|zero) ?([1-9]\.[0-9])?", text or "", re.I)
-        return m[0] if m else None
-
-    for a in root.iter("a"):
-        if a.get("rel") == "license" and a.get("href") and (found := of(a, False)):
-            return found
-    for n in root.iter("footer", "div"):
-        if n.tag == "footer" or "footer" in _classes(n) or "footer" in (n.get("id") or ""):
-            for a in n.iter("a"):
-                if a.get("href") and (found := of(a, True)):
-                    return found
+        m = re.search(text or r"\S.*", trim(a.text))
+        if m:
+            return m[0]
     return None
 
 
-def url(root: Node, found: list[tuple[str, str, str]], default: str | None) -> str | None:
-    links = [n for n in root.iter("link") if n.get("href")]
-    got = next((n.get("href") for n in links if n.get("rel") == "canonical"), None)
-    got = got or next((n.get("href") for n in links if n.get("rel") == "alternate" and n.get("hreflang") == "x-default"), None)
-    if got and got.startswith("/"):
-        base = next((m[0] for k, n, c in found if n in ("og:url", "twitter:url") and (m := re.match(r"https?://[^/]+", c))), None)
-        base = base or ((m := re.match(r"https?://[^/]+", default or "")) and m[0])
-        got = base + got if base else None
-    if got and not _sound(got):
-        got = None
-    return got or default
-
-
-def _sound(u: str) -> bool:
+def sound(u: str) -> bool:
+    """http or https and a host of some length."""
     m = re.match(r"https?://([^/?#]*)", u)
     return bool(m) and len(m[1]) >= 5 and not (m[1].startswith("www.") and len(m[1]) < 8)
 
 
-def host(u: str | None) -> str | None:
+def url(root: Node, said: Said, default: str | None) -> str | None:
+    """Stated by a meta tag; canonical; of the default language; or the address the page came from."""
+    if "url" in said.first:
+        return said.first["url"]
+    links = [(n.get("rel"), n.get("hreflang"), n.get("href")) for n in root.iter("link") if re.match(r"https?://|/", n.get("href") or "")]
+    canonical = [h for rel, _, h in links if rel == "canonical"]
+    neutral = [h for rel, lang, h in links if rel == "alternate" and lang == "x-default"]
+    got = next(iter([*canonical, *neutral]), default)
+    if got and got.startswith("/") and said.sites:
+        got = said.sites[0] + got
+    return got if got and sound(got) else None
+
+
+def domain(u: str | None) -> str | None:
+    """The registered domain in lower case: two labels, three under a known suffix; none for numbers and bare names."""
     m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", u or "", re.I)
-    return m[1].lower() if m else None
-
-
-def media(root: Node, raw: str, graph: dict[str, str]) -> tuple[list[str], str | None]:
-    """(audio addresses, video address); first matching rule, then a sized frame may override."""
-    audio: list[str] = []
-    for n in root.iter("audio"):
-        for s in [n, *n.iter("source")]:
-            src = s.get("src")
-            if src and ("audio" in (s.get("type") or "") or src.split("?")[0][-4:].lower() in AUDIO_ENDS):
-                audio.append(src)
-        if audio:
-            break
-
-    def watch(src: str) -> str:
-        m = _YOUTUBE.search(src)
-        return f"https://www.youtube.com/watch?v={m[1]}" if m else src
-
-    def rules():
-        for n in root.iter("iframe"):
-            if n.get("id") == "video" and _YOUTUBE.search(n.get("src") or ""):
-                yield watch(n.get("src"))
-        for n in root.iter("div"):
-            if "PlaceHolder" in (n.get("id") or "") and n.get("data-vilynx-id"):
-                yield f"https://player.cnbc.com/p/gZWlPC/cnbc_global?playertype=synd&byGuid={n.get('data-vilynx-id')}"
-        for n in root.iter():
-            if "vxp-media__summary" in _classes(n) and n.get("data-playable"):
-                try:
-                    held = json.loads(n.get("data-playable"))["settings"]["playlistObject"]["items"][0]["vpid"]
-                    yield f"https://www.bbc.com/ws/av-embeds/media/{held}"
-                except (ValueError, KeyError, IndexError, TypeError):
-                    pass
-            if n.get("data-volume-uuid"):
-                yield f"https://volume.vox-cdn.com/embed/{n.get('data-volume-uuid')}"
-        if graph.get("video") and "xml" not in graph["video"]:
-            yield graph["video"]
-        if m := _YOUTUBE.search(raw):
-            yield watch(m[0])
-        for n in root.iter("div"):
-            if n.get("id") == "YTplayer" and n.get("data-id"):
-                yield f"https://www.youtube.com/watch?v={n.get('data-id')}"
-        for n in root.iter("video"):
-            if n.get("id") == "video_player":
-                yield from (s.get("src") for s in n.iter("source") if s.get("src"))
-        for n in root.iter("video-player"):
-            if n.get("src"):
-                yield n.get("src")
-
-    video = next(iter(rules()), None)
-    for n in root.iter("iframe"):
-        sized = all((n.get(k) or "0").rstrip("px%").isdigit() and int((n.get(k) or "0").rstrip("px%") or 0) > 0 for k in ("width", "height"))
-        if sized and n.get("content"):
-            video = n.get("content")
-            break
-    if video:
-        video = watch(video)
-        video = "https:" + video if video.startswith("//") else video
-        if any(b in video for b in BLOCKED_VIDEO):
-            video = None
-    return audio, video
-
-
-def check_authors(names: str | None, blocked: frozenset[str] = BLOCKED_AUTHORS) -> str | None:
-    kept = [a for a in map(str.strip, (names or "").split(";")) if a and a.lower() not in blocked]
-    return "; ".join(kept) or None
+    labels = m[1].lower().split(".") if m else []
+    if len(labels) < 2 or labels[-1].isdigit():
+        return None
+    keep = 3 if ".".join(labels[-2:]) in vocab.SUFFIXES else 2
+    return ".".join(labels[-keep:])
+
 
+def site_name(told: str | None, address: str | None) -> str | None:
+    """The stated name, without @ and in title case if it is one lower-case word; else the host."""
+    if told:
+        told = told.lstrip("@")
+        return told.title() if "." not in told and not told[:1].isupper() else told
+    m = re.match(r"https?://(?:www\.|w[0-9]+\.)?([^/]+)", address or "")
+    return m[1] if m else None
 
-def raw_date(root: Node, found: list[tuple[str, str, str]]) -> str | None:
-    for n in ("article:published_time", "datepublished", "date", "dc.date", "dcterms.date", "pubdate", "publishdate", "article:modified_time", "og:updated_time"):
-        for _, name, content in found:
-            if name == n:
-                return content
-    for t in root.iter("time"):
-        if t.get("datetime") or trim(t.all_text()):
-            return t.get("datetime") or trim(t.all_text())
+
+def raw_date(root: Node, said: Said) -> str | None:
+    """From a meta tag, or the first time element."""
+    stated = (said.dates[n] for n in vocab.DATE_NAMES.split() if n in said.dates)
+    shown = (t for n in root.iter("time") if (t := n.get("datetime") or trim(n.all_text())))
+    return next(stated, None) or next(shown, None)
+
+
+# Media
+
+
+def audio(root: Node) -> list[str]:
+    """Addresses of the first audio element and of the sources inside it."""
+    first = next(root.iter("audio"), None)
+    if first is None:
+        return []
+    own = first.get("src")
+    fits = own and (first.get("type") == "audio/mpeg" or own[-4:] in vocab.AUDIO_ENDS)
+    return [*([own] if fits else []), *(s.get("src") for s in first.iter("source") if s.get("src"))]
+
+
+def _watch(address: str) -> str:
+    """The page of an embedded video."""
+    if not address.startswith(vocab.YOUTUBE_EMBED):
+        return address
+    return vocab.YOUTUBE_WATCH + address[len(vocab.YOUTUBE_EMBED) :].split("?")[0]
+
+
+def _with(root: Node, tag: str, **want: str) -> Node | None:
+    """The first element with these attributes; a class may be one of several."""
+    for n in root.iter(tag):
+        if all(n.get(k.replace("_", "-")) == v or (k == "class_" and v in ((n.get("class") or ""), *(n.get("class") or "").split())) for k, v in want.items()):
+            return n
     return None
 
 
-def extract(raw: str | None, default_url: str | None = None, blocked: frozenset[str] = BLOCKED_AUTHORS, root: Node | None = None) -> dict:
+def _playable(root: Node) -> str | None:
+    """The address in the settings of a media player's figure."""
+    player = _with(root, "div", class_="media-player-wrapper")
+    figure = next(player.iter("figure"), None) if player else None
+    try:
+        return json.loads(figure.get("data-playable"))["settings"]["externalEmbedUrl"] if figure else None
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
+def video(root: Node, raw: str, graph: dict[str, str]) -> str | None:
+    """The first rule whose element is there decides; then a frame of some size may state another address."""
+
+    def decided() -> str | None:
+        if (n := _with(root, "iframe", id="video")) and n.get("src"):
+            return n.get("src") if n.get("src").startswith(vocab.YOUTUBE_EMBED) else None
+        if n := _with(root, "div", data_test="VideoPlaceHolder", class_="PlaceHolder-wrapper"):
+            return vocab.CNBC_EMBED + n.get("data-vilynx-id") if n.get("data-vilynx-id") else None
+        if _with(root, "div", class_="vxp-media__summary"):
+            return _playable(root)
+        if n := _with(root, "div", class_="c-video-embed volume-video"):
+            return vocab.VOX_EMBED + n.get("data-volume-uuid") if n.get("data-volume-uuid") else None
+        if "xml" not in graph.get("video", "xml"):
+            return graph["video"]
+        if (at := raw.find(vocab.YOUTUBE_EMBED)) >= 0:
+            return raw[at : at + 100].split('"')[0].replace("\\", "")
+        if (n := _with(root, "div", id="art_video", class_="YTplayer")) and n.get("data-ytid"):
+            return vocab.YOUTUBE_WATCH + n.get("data-ytid")
+        if n := _with(root, "video", id="video_player"):
+            return next((s.get("src") for s in n.iter("source")), None)
+        n = _with(root, "video-player", video_type="youtube")
+        return n.get("source") if n else None
+
+    found = decided()
+    frame = next((n for n in root.iter("iframe") if n.get("width") and n.get("height")), None)
+    if frame and "0" not in (frame.get("width"), frame.get("height")):
+        found = frame.get("content") or found
+    if not found:
+        return None
+    found = _watch("https:" + found if found.startswith("//") else found)
+    return None if any(b in found for b in vocab.BLOCKED_VIDEO) else found
+
+
+FIELDS = ("title", "author", "url", "hostname", "description", "sitename", "license", "name", "video", "rawDate")
+LISTS = ("categories", "tags", "audio")
+
+
+def extract(raw: str | None, default_url: str | None = None, blocked: Iterable[str] = vocab.BLOCKED_AUTHORS, root: Node | None = None) -> dict:
     """All metadata of one page; missing values are None."""
-    out: dict = dict.fromkeys(("title", "author", "url", "hostname", "description", "sitename", "license", "name", "video", "rawDate"))
-    out |= {"categories": [], "tags": [], "audio": [], "og_properties": {}}
     raw = raw or ""
     root = root or parse(raw)
-    found = metas(root)
-    graph = open_graph(found)
-    out["og_properties"] = graph
-    out["title"], out["description"], out["sitename"] = graph.get("title"), graph.get("description"), graph.get("site_name")
-    out["author"] = graph.get("author") or graph.get("article:author")
-    authors: list[str] = []
-    for _, n, c in found:
-        if n in TITLE_NAMES:
-            out["title"] = out["title"] or c
-        elif n in TEXT_NAMES:
-            out["description"] = out["description"] or c
-        elif n in AUTHOR_NAMES:
-            authors.append(c)
-        elif n in SITE_NAMES:
-            out["sitename"] = out["sitename"] or c
-        elif n in TAG_NAMES or n == "article:tag":
-            out["tags"] += [t for t in map(trim, re.split("[,|、]", re.sub(r"[\"'()/;:]", "", c))) if t]
-    if not out["author"] and authors:
-        out["author"] = "; ".join(dict.fromkeys(a for a in map(trim, authors) if a))
-    out["audio"], out["video"] = media(root, raw, graph)
-    out["author"] = check_authors(out["author"], blocked) or check_authors(author(root), blocked)
-    data = from_json(json_ld(root))
-    for k in ("title", "sitename", "name"):
-        out[k] = out[k] or data.get(k)
-    out["categories"] = data.get("categories", [])
-    out["title"] = out["title"] or title(root)
-    out["url"] = url(root, found, default_url)
-    out["hostname"] = host(out["url"])
-    out["rawDate"] = raw_date(root, found) or data.get("rawDate")
-    site = out["sitename"] or site_from_title(root)
-    if site:
-        site = site.lstrip("@")
-        site = site.title() if "." not in site and site[:1].islower() else site
-    out["sitename"] = site or (re.sub(r"^www\.", "", out["hostname"]) if out["hostname"] else None)
-    out["categories"] = out["categories"] or linked(root, CATEGORY_RULES, "categor") or [c for _, n, c in found if n == "article:section"]
-    out["tags"] = list(dict.fromkeys(out["tags"] or linked(root, TAG_RULES, "tag")))
-    out["license"] = licence(root)
-    for k, v in out.items():
-        if isinstance(v, str):
-            out[k] = clean(v)
-        elif isinstance(v, list):
-            out[k] = [c for c in map(clean, v) if c]
-    return out
+    said = meta_tags(root)
+    first = said.first
+    data = from_json(json_objects(root), first.get("sitename"))
+    names = check_authors(first.get("author"), blocked)
+    if names is None or re.match(r"https?://|/", names):
+        names = author(root)
+    address = url(root, said, default_url)
+    section = said.dates.get("article:section")
+    out = {
+        "title": first.get("title") or data.get("title") or title(root),
+        "author": names,
+        "url": address,
+        "hostname": domain(address),
+        "description": first.get("description"),
+        "sitename": site_name(data["sitename"], address),
+        "license": licence(root),
+        "name": data.get("name"),
+        "video": video(root, raw, said.graph),
+        "rawDate": raw_date(root, said) or data.get("rawDate"),
+        "categories": data.get("categories") or linked(root, CATEGORY_RULES, "/category/") or (split_tags(section) if section else []),
+        "tags": said.tags or linked(root, TAG_RULES, "/tags/"),
+        "audio": audio(root),
+    }
+    done = {k: clean(out[k]) for k in FIELDS} | {k: [c for c in map(clean, out[k]) if c] for k in LISTS}
+    return done | {"og_properties": said.graph}

@@ -7,8 +7,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The six ASCII characters that separate tokens; U+00A0 does not.
-BLANK = r"[ \t\n\r\f\x0B]+"
+from pagelathe.functions.binding import let
+from pagelathe.functions.vocab import BLANK, EMAIL, EMOJI, LONGEST_SINGLE_NAME, LONGEST_VALUE, NAME_CLEANUP, NAME_SEPARATORS, TAG_SEPARATORS
+
+#: The common entities, `&amp;` last.
 ENTITIES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"),
     ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&rsquo;", "’"),
@@ -70,9 +72,10 @@ def line(s: Column) -> Column:
     return F.nullif(trim(printable(s)), F.lit(""))
 
 
-def cap(s: Column, most: int = 10_000) -> Column:
-    """Metadata values are at most `most` characters long."""
-    return line(unescape(F.substring(s, 1, most)))
+def cap(s: Column, most: int = LONGEST_VALUE) -> Column:
+    """Metadata values are at most `most` characters long, with an ellipsis where something is cut off."""
+    held = F.when(F.length(s) > most, F.concat(F.substring(s, 1, most - 1), F.lit("…"))).otherwise(s)
+    return line(unescape(held))
 
 
 def to_text(b: Column) -> Column:
@@ -110,14 +113,17 @@ def words(s: Column) -> Column:
 
 def split_tags(s: Column) -> Column:
     """Parts between the first kind of separator found among comma, bar and ideographic comma."""
-    sep = F.regexp_extract(s, "([,|、])", 1)
-    parts = F.when(sep == "", F.array(s)).otherwise(F.split(s, F.concat(F.lit("[,|、]{0}\\Q"), sep, F.lit("\\E"))))
-    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda x: x != "")
+
+    def parts(sep: Column) -> Column:
+        return F.when(sep == "", F.array(s)).otherwise(F.split(s, F.concat(F.lit("\\Q"), sep, F.lit("\\E"))))
+
+    found = F.when(s.isNotNull(), let(F.regexp_extract(s, f"({TAG_SEPARATORS})", 1), parts))
+    return F.filter(F.transform(found, lambda p: F.trim(p)), lambda x: x != "")
 
 
 def normalize_tags(s: Column) -> Column:
-    """Unescaped and trimmed tags without quotes, slashes and separators, joined by a comma and a space."""
-    clean = F.regexp_replace(trim(unescape(s)), "[\"'()/;:]", "")
+    """Unescaped and trimmed tags without quotes, joined by a comma and a space."""
+    clean = F.regexp_replace(trim(unescape(s)), "[\"']", "")
     return F.array_join(F.filter(F.split(clean, ", "), lambda x: x != ""), ", ")
 
 
@@ -128,21 +134,24 @@ def check_authors(authors: Column, blocked: Column) -> Column:
 
 
 def normalize_authors(s: Column) -> Column:
-    """Names in a byline: split, handles, nicknames, prefixes and digits off, title-case, no repeats."""
-    s = F.when(F.lower(s).startswith("http") | s.rlike(r"^\S+@\S+\.\S+$"), F.lit(None)).otherwise(unescape(s))
-    parts = F.split(s, r"(?i)(?:/|;|,|\||&| and | und |、)")
-
-    def one(a: Column) -> Column:
-        a = F.regexp_replace(a, "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]", "")
-        a = F.regexp_replace(a, r"@\w+", "")
-        a = trim(F.regexp_replace(a, "[._+]", " "))
-        a = F.regexp_replace(a, "[\"‘’“”'«»][^\"‘’“”'«»]*[\"‘’“”'«»]", "")
-        a = F.regexp_replace(a, r"(?U)[^\w]+$|[:()?*$#!%<>=~]", "")
-        a = F.regexp_replace(a, "(?i)^(?:[a-zäöüß]+(?:ed|t))? ?(?:written by|words by|words|by|von|from) ", "")
-        a = F.regexp_replace(a, r"\d.+?$", "")
-        a = F.trim(F.regexp_replace(a, "(?i) +(?:am|on|for|at|in|to|from|of|via|with) +.*$", ""))
-        return F.when(a.rlike(r"^\p{Lu}"), a).otherwise(F.initcap(a))
-
-    names = F.filter(F.transform(parts, one), lambda a: (F.length(a) > 0) & (a.contains(" ") | a.contains("-") | (F.length(a) < 50)))
-    distinct = F.aggregate(names, F.array().cast("array<string>"), lambda acc, a: F.when(F.exists(acc, lambda x: a.contains(x)), acc).otherwise(F.concat(acc, F.array(a))))
+    """Names in a byline: split, what is no name taken off, in title case, none that holds one before it; null without any.
+
+    An address or an e-mail address tells no name. `names.split_names` does the same in plain Python.
+    """
+    told = F.when(F.lower(s).startswith("http") | s.rlike(f"^(?:{EMAIL})"), F.lit(None)).otherwise(unescape(s))
+
+    def one(name: Column) -> Column:
+        for pattern, to in ((EMOJI, ""), *NAME_CLEANUP):
+            name = trim(F.regexp_replace(name, f"(?U){pattern}", to))
+        return name
+
+    names = F.transform(F.split(told, f"(?U){NAME_SEPARATORS}"), one)
+    fair = F.filter(names, lambda a: (a != "") & (a.contains(" ") | a.contains("-") | (F.length(a) < LONGEST_SINGLE_NAME)))
+    cased = F.transform(fair, lambda a: F.when(a.rlike(r"^\p{Lu}"), a).otherwise(F.initcap(a)))
+    distinct = F.aggregate(cased, F.array().cast("array<string>"), lambda acc, a: F.when(F.exists(acc, lambda x: a.contains(x)), acc).otherwise(F.concat(acc, F.array(a))))
     return F.nullif(F.array_join(distinct, "; "), F.lit(""))
+
+
+def json_minify(s: Column) -> Column:
+    """JSON text without white space outside its strings."""
+    return F.regexp_replace(s, r'("(?:\\.|[^"\\])*")|\s', "$1")

@@ -6,13 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagelathe.functions.binding import let
+from pagelathe.functions.vocab import DATE_PATTERNS, MONTHS, SUFFIXES
 
-#: Second-level suffixes under which names are registered; a short list by hand, not the public one.
-SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr", "com.tw", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.tw", "org.uk")
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-_MONTH = r"(\d{1,2}|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
-#: Year, month and day in a path; the first pattern that occurs decides.
-DATE_PATTERNS = (rf"/(\d{{4}})/{_MONTH}/(\d{{2}})/", rf"/(\d{{4}})/{_MONTH}/", rf"/(\d{{4}})-{_MONTH}/(\d{{2}})/", r"/(\d{4})/")
 
 
 def host(url: Column) -> Column:
@@ -37,14 +32,14 @@ def domain(url: Column) -> Column:
 
 
 def normalize(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, single slashes, sorted query, no fragment."""
+    """Lower-case scheme and host, no default port, single slashes, the query's filled parts sorted; the fragment stays."""
     scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
-    h = F.lower(host(url))
-    h = F.when(scheme == "http", F.regexp_replace(h, ":80$", "")).when(scheme == "https", F.regexp_replace(h, ":443$", "")).otherwise(h)
+    h = F.regexp_replace(F.lower(host(url)), ":(?:80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(url, r"^[^?#]*?://[^/?#]*([^?#]*)", 1), "/+", "/")
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    parts = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda x: x != "")), "&")
-    return F.concat(scheme, F.lit("://"), h, F.when(path == "", "/").otherwise(path), F.when(parts == "", "").otherwise(F.concat(F.lit("?"), parts)))
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    fragment = F.regexp_extract(url, r"(#.*)$", 1)
+    parts = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda x: x.rlike("=."))), "&")
+    return F.concat(scheme, F.lit("://"), h, path, F.when(parts == "", "").otherwise(F.concat(F.lit("?"), parts)), F.when(fragment == "#", "").otherwise(fragment))
 
 
 def path_date(url: Column) -> Column:
@@ -80,6 +75,6 @@ def override_date(date: Column, url: Column) -> Column:
 
 def parse_date(s: Column) -> Column:
     """A timestamp from the usual spellings, or null."""
-    formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyy.MM.dd", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy'年'M'月'd'日'")
+    formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyy.MM.dd", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy'年'M'月'd'日'")
     bare = F.regexp_replace(F.trim(s), r"^[A-Za-z]{3}, ", "")
     return F.when(s.isNotNull(), let(bare, lambda b: F.coalesce(*[F.try_to_timestamp(b, F.lit(f)) for f in formats])))

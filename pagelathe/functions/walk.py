@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pagelathe.functions.tree import Node
-from pagelathe.functions.vocab import BLOCK_TAGS, IGNORED, IGNORED_VOID
+from pagelathe.functions.vocab import BAD_WORDS, BLOCK_TAGS, CLASS_WEIGHT, GOOD_WORDS, IGNORED, IGNORED_VOID, TAG_WEIGHTS
 
 _BLOCK, _SKIP = frozenset(BLOCK_TAGS), frozenset((*IGNORED, *IGNORED_VOID))
-_BAD = re.compile("com-|comb?x|comment|contact|foot|masthead|media|outbrain|promo|related|scroll|shopping|shoutbox|sidebar|sponsor|tags|tool|widget", re.I)
-_GOOD = re.compile("article|author|blog|body|content|date-|entry|hentry|main|page|post|publish-|published|story|text", re.I)
-_WEIGHTS = {"div": 5} | dict.fromkeys(("pre", "td", "blockquote"), 5) | dict.fromkeys("address dd dl dt form li ol ul".split(), -3) | dict.fromkeys("h1 h2 h3 h4 h5 h6 th".split(), -5)
+_GOOD, _BAD = (re.compile("|".join(map(re.escape, words.split())), re.I) for words in (GOOD_WORDS, BAD_WORDS))
+_WEIGHTS = {tag: w for w, tags in TAG_WEIGHTS for tag in tags.split()}
+_PIECES = re.compile("[^A-Za-z0-9]+")
 _TOKENS = re.compile(r"[^ \t\n\r\f\v]+")
 
 
@@ -20,7 +21,7 @@ def weight(node: Node) -> int:
     for name in ("id", "class"):
         value = node.get(name)
         if value:
-            out += 25 * bool(_GOOD.search(value)) - 25 * bool(_BAD.search(value))
+            out += CLASS_WEIGHT * (bool(_GOOD.search(value)) - bool(_BAD.search(value)))
     return out
 
 
@@ -101,5 +102,28 @@ class Walk:
                 stack.append(("in", node))
 
 
+def readability(blocks: list[dict]) -> list[float]:
+    """Score of each block by its best valid ancestor, as a share of the page's best.
+
+    An ancestor is valid if it is the nearest of a `div` or `p` of more than 25 bytes; each of those adds
+    to its class weight, and the share of link text below it takes off. `features.readability` does the same
+    on rows.
+    """
+    weight_of = dict(w for b in blocks for w in b["weights"])
+    gained, linked, bytes_below = Counter(), Counter(), Counter()
+    for b in blocks:
+        size = len(b["text"].encode())
+        density = 1 / len(_PIECES.split(b["text"]))
+        linked.update(dict.fromkeys(b["ancestors"], density * size))
+        bytes_below.update(dict.fromkeys(b["ancestors"], size))
+        if size > 25 and b["start_tag"] in ("div", "p") and b["ancestors"]:
+            gained[b["ancestors"][-1]] += 1 + min(size // 100, 3)
+    score = {n: (weight_of.get(n, 0) + g) * (1 - linked[n] / max(bytes_below[n], 1)) for n, g in gained.items()}
+    top = max([1.0, *score.values()])
+    return [max([0.0, *(score[n] / top for n in b["ancestors"] if n in score)]) for b in blocks]
+
+
 def blocks(root: Node) -> list[dict]:
-    return Walk(root).blocks
+    """The blocks of a tree, each with its readability."""
+    made = Walk(root).blocks
+    return [b | {"readability": r} for b, r in zip(made, readability(made), strict=True)]

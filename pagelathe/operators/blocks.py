@@ -17,10 +17,10 @@ _CUT = rf"(?i)(?=<(?:{_NAMES})[\s/>])"
 
 
 def clean(html: Column) -> Column:
-    """Without comments, declarations and ignored elements; those end at a closer of their own name."""
+    """Without comments, declarations and ignored elements; those end at a closer of their own name and part words."""
     c = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    c = F.regexp_replace(c, rf"(?is)<({'|'.join(IGNORED)})(?:\s[^>]*)?>.*?</\1\s*>", "")
-    c = F.regexp_replace(c, rf"(?i)<(?:{'|'.join(IGNORED_VOID)})(?:[\s/][^>]*)?>", "")
+    c = F.regexp_replace(c, rf"(?is)<({'|'.join(IGNORED)})(?:\s[^>]*)?>.*?</\1\s*>", " ")
+    c = F.regexp_replace(c, rf"(?i)<(?:{'|'.join(IGNORED_VOID)})(?:[\s/][^>]*)?>", " ")
     return F.regexp_replace(c, r"<[!?][^>]*>", "")
 
 

@@ -10,17 +10,18 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from pagelathe.runtime import ship_package
 
-BLOCK = "struct<pos:int,start_tag:string,css_id:string,css_class:string,text:string,tagcount:bigint,since_last:bigint,anchors:bigint,min_depth:int,ancestors:array<int>,weights:array<struct<node:int,weight:int>>>"
+BLOCK = "struct<pos:int,start_tag:string,css_id:string,css_class:string,text:string,tagcount:bigint,since_last:bigint,anchors:bigint,min_depth:int,ancestors:array<int>,weights:array<struct<node:int,weight:int>>,readability:double>"
 META = (
     "struct<title:string,author:string,url:string,hostname:string,description:string,sitename:string,license:string,name:string,"
     "video:string,rawDate:string,categories:array<string>,tags:array<string>,audio:array<string>,og_properties:map<string,string>>"
 )
 _ARROW_BLOCK = pa.struct([
     ("pos", pa.int32()), ("start_tag", pa.string()), ("css_id", pa.string()), ("css_class", pa.string()), ("text", pa.string()), ("tagcount", pa.int64()), ("since_last", pa.int64()),
-    ("anchors", pa.int64()), ("min_depth", pa.int32()), ("ancestors", pa.list_(pa.int32())), ("weights", pa.list_(pa.struct([("node", pa.int32()), ("weight", pa.int32())]))),
+    ("anchors", pa.int64()), ("min_depth", pa.int32()), ("ancestors", pa.list_(pa.int32())), ("weights", pa.list_(pa.struct([("node", pa.int32()), ("weight", pa.int32())]))), ("readability", pa.float64()),
 ])
 _ARROW_META = pa.struct([(n, pa.string()) for n in ("title", "author", "url", "hostname", "description", "sitename", "license", "name", "video", "rawDate")] + [(n, pa.list_(pa.string())) for n in ("categories", "tags", "audio")] + [("og_properties", pa.map_(pa.string(), pa.string()))])
 
@@ -57,3 +58,24 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, dom_blocks array<{BLOCK}>, meta {META}, _error string").withColumnRenamed("key", key)
+
+
+_CSS, _READABILITY = ("css_id", "css_class"), ("ancestors", "weights", "readability")
+
+
+def blockify(pages: DataFrame, css: bool = True, readability: bool = True, key: str = "page_id", parse_callback: Callable | None = None) -> DataFrame:
+    """One row per block of the tree engine, with or without the css and the readability fields."""
+    leave = [*(() if css else _CSS), *(() if readability else _READABILITY)]
+    rows = parse_pages(pages, key=key, parse_callback=parse_callback, with_meta=False)
+    return rows.select(key, F.explode("dom_blocks").alias("b")).select(key, "b.*").drop(*leave)
+
+
+@udtf(returnType="pos int, start_tag string, text string")
+class HtmlBlocks:
+    """Table function of one page: its blocks. Register as spark.udtf.register("html_blocks", HtmlBlocks)."""
+
+    def eval(self, html: str):
+        from pagelathe.functions import tree, walk
+
+        for b in walk.blocks(tree.parse(html or "")):
+            yield b["pos"], b["start_tag"], b["text"]

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import IDF, PCA, HashingTF, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.functions.binding import let
-
-CLASS_TOKENS = (
-    "menu widget nav top content breadcrumb block title button header ss post tag line foot para link published date "
-    "modif article click body card timestamp comment meta alt time depth author tool keyword url name"
-).split()
-TAG_INDEX = ("div", "h1", "h2", "h3", "h4", "h5", "h6", "html", "p", "span", "table", "author")
+from pagelathe.functions.vocab import BYLINE_WORDS, CLASS_TOKENS, DATE_CHARACTERS, EMPTY_PAGE, NAME_WORDS, SENTENCE_MARKS, TAG_INDEX
 
 
 def neighbours(blocks: Column) -> Column:
@@ -84,19 +81,19 @@ def handcrafted(text: Column, css_id: Column, css_class: Column, start_tag: Colu
     """8 numbers: name-like css, byline words, full-width slash, start tag, css length, date-like, sentence marks, length."""
     css = F.concat(F.when(css_id == "", "").otherwise(F.concat(css_id, F.lit(" "))), F.when(css_class == "", "").otherwise(F.concat(css_class, F.lit(" "))))
     return F.array(
-        css.rlike("author|name|publisher|contribute|label").cast("int"),
-        text.rlike("By |記者|編輯|eporte|文| and ").cast("int"),
+        css.rlike(NAME_WORDS).cast("int"),
+        text.rlike(BYLINE_WORDS).cast("int"),
         text.contains("／").cast("int"),
         F.array_position(F.array(*map(F.lit, TAG_INDEX)), start_tag).cast("int"),
         F.length(css),
-        text.rlike("[0-9一二三四五六七八九月年日]").cast("int"),
-        text.rlike("[.。,，]").cast("int"),
+        text.rlike(DATE_CHARACTERS).cast("int"),
+        text.rlike(SENTENCE_MARKS).cast("int"),
         F.length(text),
     )
 
 
 def css_features(blocks: Column, compat: bool = False) -> Column:
-    """43 numbers a block; `compat` zeroes the class flags, as the default pipeline of the original does."""
+    """43 numbers a block; `compat` zeroes the class flags."""
     flags = (lambda b: F.array_repeat(F.lit(0), len(CLASS_TOKENS))) if compat else (lambda b: class_flags(b["css_class"]))
     return F.transform(blocks, lambda b: F.concat(flags(b), handcrafted(b["text"], b["css_id"], b["css_class"], b["start_tag"])))
 
@@ -111,7 +108,7 @@ def readability(rows: DataFrame, key: str = "page_id") -> DataFrame:
 
     `rows`: key, pos, text, start_tag, link_density, ancestors array<int>, weights array<struct<node, weight>>.
     """
-    size = F.octet_length("text")
+    rows, size = rows.drop("readability"), F.octet_length("text")
     weights = rows.select(key, F.explode("weights").alias("w")).groupBy(key, F.col("w.node").alias("node")).agg(F.max("w.weight").alias("weight"))
     gain = F.when((size > 25) & F.col("start_tag").isin("div", "p"), 1 + F.least(F.floor(size / 100), F.lit(3)))
     lines = rows.select(key, "link_density", size.alias("bytes"), gain.alias("gain"), F.posexplode("ancestors").alias("level", "node"), F.size("ancestors").alias("depth"))
@@ -149,13 +146,81 @@ def standardize(rows: DataFrame, columns: list[str], out: str = "scaled") -> Dat
     return StandardScaler(inputCol="_raw", outputCol=out, withMean=True, withStd=True).fit(data).transform(data).drop("_raw")
 
 
-FEATURES: dict[str, Callable[[Column], Column]] = {"css": css_features, "kohlschuetter": neighbours, "weninger": weninger}
+def dense(blocks: Column) -> Column:
+    """9 numbers a block for a scoring network: 6 densities, 2 smoothed ratios, readability."""
+    parts = F.arrays_zip(neighbours(blocks).alias("n"), weninger(blocks).alias("w"), F.transform(blocks, lambda b: b["readability"]).alias("r"))
+    return F.transform(parts, lambda z: F.concat(z["n"], F.array(z["w"]["ratio"], z["w"]["delta"], z["r"])))
+
+
+def readability_of(blocks: Column) -> Column:
+    """Readability of each block of the tree engine, which it computes in the row."""
+    return F.transform(blocks, lambda b: b["readability"])
+
+
+def network_inputs(pages: DataFrame, compat: bool = False, key: str = "page_id") -> DataFrame:
+    """key, blocks, f_dense (9 numbers a block) and f_css (43), of at least three blocks a page.
+
+    Blocks come from the tree engine. Pages of one or two blocks are padded with their first and last,
+    pages without any (or that cannot be parsed) get the three blocks of EMPTY_PAGE.
+    """
+    from pagelathe.functions import tree, walk
+    from pagelathe.operators.blocks import link_density, text_density
+    from pagelathe.operators.decode import pad
+    from pagelathe.operators.dom import BLOCK, parse_pages
+
+    rows = parse_pages(pages, key=key, with_meta=False).select(key, "dom_blocks")
+    none = [b | {"weights": [{"node": n, "weight": w} for n, w in b["weights"]]} for b in walk.blocks(tree.parse(EMPTY_PAGE))]
+    held = F.when(F.coalesce(F.size("dom_blocks"), F.lit(0)) > 0, F.col("dom_blocks")).otherwise(F.from_json(F.lit(json.dumps(none)), f"array<{BLOCK}>"))
+    rows = rows.withColumn("blocks", pad(F.transform(held, lambda b: b.withField("link_density", link_density(b["text"])).withField("text_density", text_density(b["text"]))))).drop("dom_blocks")
+    return rows.withColumn("f_dense", dense(F.col("blocks"))).withColumn("f_css", F.transform(css_features(F.col("blocks"), compat), lambda x: F.transform(x, lambda v: v.cast("double"))))
 
 
-def feature(name: str) -> Callable[[Column], Column]:
-    """The array expression of a feature set by name."""
+class AuthorFeatures:
+    """Author features of block rows: 9 handcrafted numbers and the principal components of two TF-IDF vectors.
+
+    Rows need page, pos, text, css_id, css_class, start_tag, link_density and text_density. Hashed words
+    bound the vectors, so the components' covariance has a fixed size.
+    """
+
+    def __init__(self, components: int = 10, hashes: int = 128, key: str = "page_id") -> None:
+        self.components, self.hashes, self.key, self.model = components, hashes, key, None
+
+    def _numbers(self, rows: DataFrame) -> DataFrame:
+        css = F.concat_ws(" ", F.nullif("css_id", F.lit("")), F.nullif("css_class", F.lit("")))
+        n = F.count(F.lit(1)).over(Window.partitionBy(self.key))
+        named = F.col("_css").rlike(NAME_WORDS).cast("double")
+        numbers = F.array(
+            F.col("_css").contains("author").cast("double"), F.array_position(F.array(*map(F.lit, TAG_INDEX)), F.col("start_tag")).cast("double"), F.length("_css").cast("double"),
+            F.length("text").cast("double"), F.lit(0.0), named, F.col("link_density") / F.col("text_density"), F.col("pos") / F.col("_n"), F.col("_n").cast("double"),
+        )
+        made = rows.withColumn("_css", css).withColumn("_n", n).withColumn("handcrafted", numbers).drop("_n")
+        return made.withColumn("_css_words", F.split("_css", r"[^a-z0-9]+")).withColumn("_text_words", F.split(F.lower("text"), r"(?U)[\W_]+"))
+
+    def fit(self, rows: DataFrame) -> AuthorFeatures:
+        stages = [HashingTF(inputCol=f"_{c}_words", outputCol=f"_{c}_tf", numFeatures=self.hashes) for c in ("css", "text")]
+        stages += [IDF(inputCol=f"_{c}_tf", outputCol=f"_{c}_idf") for c in ("css", "text")]
+        stages += [VectorAssembler(inputCols=["_css_idf", "_text_idf"], outputCol="_words"), PCA(k=self.components, inputCol="_words", outputCol="_parts")]
+        self.model = Pipeline(stages=stages).fit(self._numbers(rows))
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Add `author_features`: handcrafted numbers, then components."""
+        made = self.model.transform(self._numbers(rows)).withColumn("author_features", F.concat("handcrafted", vector_to_array("_parts")))
+        return made.select(*rows.columns, "author_features")
+
+
+FEATURES: dict[str, Callable[[Column], Column]] = {"css": css_features, "kohlschuetter": neighbours, "weninger": weninger, "readability": readability_of}
+
+
+def feature(name: str) -> Callable[[Column], Column] | ClusteredRatio:
+    """The array expression of a feature set by name; `clustered_weninger` is a model to fit on rows.
+
+    `readability` needs blocks of the tree engine.
+    """
+    if name == "clustered_weninger":
+        return ClusteredRatio()
     if name not in FEATURES:
-        raise ValueError(f"unknown feature {name!r}; known: {', '.join(sorted(FEATURES))}")
+        raise ValueError(f"unknown feature {name!r}; known: {', '.join(sorted([*FEATURES, "clustered_weninger"]))}")
     return FEATURES[name]
 
 

@@ -15,6 +15,14 @@ def prefer(main: Column, other: Column) -> Column:
     return F.coalesce(main, other)
 
 
+def complete(*columns: Column) -> Column:
+    """Whether every one of the fields is there."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & c.isNotNull()
+    return out
+
+
 def append(a: Column, b: Column) -> Column:
     """Both lists, one after the other; null counts as empty."""
     empty = F.array().cast("array<string>")

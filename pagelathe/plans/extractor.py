@@ -12,6 +12,7 @@ from pagelathe.operators.blocks import with_blocks
 from pagelathe.operators.decode import decode, rule_logits, with_logits
 from pagelathe.operators.dom import META, parse_pages
 from pagelathe.operators.merge import records
+from pagelathe.runtime import free_name
 
 
 @dataclass
@@ -47,8 +48,11 @@ class Extractor:
                 rows = rows.withColumn("meta", F.col("meta").withField(name, F.coalesce(F.col(f"meta.{name}"), make(F.col("html")))))
         out = records(decode(with_logits(with_blocks(rows, link_mode=self.link_mode), self.scorer)))
         for more in self.postprocess:
-            added = more(out)
-            out = added.select(*[out[c] if c in out.columns else added[c] for c in added.columns]) if set(out.columns) <= set(added.columns) else out
+            held = free_name(out, "record")
+            added = more(out.withColumn(held, F.struct(*out.columns)))
+            if held not in added.columns:
+                raise ValueError("postprocess must keep the columns it is given")
+            out = added.select(f"{held}.*", *[c for c in added.columns if c != held and c not in out.columns])
         return out
 
 

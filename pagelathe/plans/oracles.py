@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pagelathe.functions.text import ENTITIES
-from pagelathe.functions.urls import SUFFIXES
-from pagelathe.functions.vocab import BLOCK_TAGS, IGNORED, IGNORED_VOID
-from pagelathe.operators.features import CLASS_TOKENS, TAG_INDEX
+from pagelathe.functions.vocab import BLOCK_TAGS, BYLINE_WORDS, CLASS_TOKENS, DATE_CHARACTERS, IGNORED, IGNORED_VOID, NAME_WORDS, SENTENCE_MARKS, SUFFIXES, TAG_INDEX
 
 _NAMES = "h[1-6]|" + "|".join(t for t in BLOCK_TAGS if t[0] != "h")
 _WS = r"[ \t\n\r\f\x0B]+"
@@ -24,8 +22,8 @@ def _unescape(e: str) -> str:
 def _clean(e: str) -> str:
     e = f"regexp_replace({e}, '(?s)<!--.*?-->', '', 'g')"
     for tag in IGNORED:
-        e = f"regexp_replace({e}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', '', 'g')"
-    e = f"regexp_replace({e}, '(?i)<(?:{'|'.join(IGNORED_VOID)})(?:[\\s/][^>]*)?>', '', 'g')"
+        e = f"regexp_replace({e}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'g')"
+    e = f"regexp_replace({e}, '(?i)<(?:{'|'.join(IGNORED_VOID)})(?:[\\s/][^>]*)?>', ' ', 'g')"
     return f"regexp_replace({e}, '<[!?][^>]*>', '', 'g')"
 
 
@@ -72,11 +70,11 @@ _PLAIN = _BLOCKS[: _BLOCKS.index(", d AS (")] + "\n"
 _HOST = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1)"
 _URL = f"""
   SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) AS scheme, lower({_HOST}) AS h,
-         regexp_replace(regexp_extract(url, '^[^?#]*?://[^/?#]*([^?#]*)', 1), '/+', '/', 'g') AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM pages
+         regexp_replace(regexp_extract(url, '^[^?#]*?://[^/?#]*([^?#]*)', 1), '/+', '/', 'g') AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query, regexp_extract(url, '(#.*)$', 1) AS fragment FROM pages
 """
-_NORMAL = """scheme || '://' || CASE WHEN scheme = 'http' THEN regexp_replace(h, ':80$', '') WHEN scheme = 'https' THEN regexp_replace(h, ':443$', '') ELSE h END
-  || CASE WHEN path = '' THEN '/' ELSE path END
-  || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '')), '&') END"""
+_FILLED = "list_filter(string_split(query, '&'), lambda x: regexp_matches(x, '=.'))"
+_NORMAL = f"""scheme || '://' || regexp_replace(h, ':(?:80|443)$', '') || path
+  || CASE WHEN len({_FILLED}) = 0 THEN '' ELSE '?' || array_to_string(list_sort({_FILLED}), '&') END || CASE WHEN fragment = '#' THEN '' ELSE fragment END"""
 _FLAGS = " || ".join(f"contains(css_class, '{t}')::INT::VARCHAR" for t in CLASS_TOKENS)
 _CSS = "(CASE WHEN css_id = '' THEN '' ELSE css_id || ' ' END || CASE WHEN css_class = '' THEN '' ELSE css_class || ' ' END)"
 _RATIO = "strlen(text) / greatest(tagcount, 1)::DOUBLE"
@@ -92,9 +90,9 @@ ORACLES = {
     "block_tagcount": _PLAIN + "SELECT page_id, pos, tagcount, since_last, anchors FROM b",
     "block_css": _PLAIN + "SELECT page_id, pos, css_id, css_class FROM b",
     "css_flags": _PLAIN + f"SELECT page_id, pos, {_FLAGS} AS flags FROM b",
-    "text_flags": _PLAIN + f"""SELECT page_id, pos, concat_ws(',', regexp_matches({_CSS}, 'author|name|publisher|contribute|label')::INT, regexp_matches(text, 'By |記者|編輯|eporte|文| and ')::INT,
-        contains(text, '／')::INT, coalesce(list_position({list(TAG_INDEX)}, start_tag), 0), length({_CSS}), regexp_matches(text, '[0-9一二三四五六七八九月年日]')::INT,
-        regexp_matches(text, '[.。,，]')::INT, length(text)) AS numbers FROM b""",
+    "text_flags": _PLAIN + f"""SELECT page_id, pos, concat_ws(',', regexp_matches({_CSS}, '{NAME_WORDS}')::INT, regexp_matches(text, '{BYLINE_WORDS}')::INT,
+        contains(text, '／')::INT, coalesce(list_position({list(TAG_INDEX)}, start_tag), 0), length({_CSS}), regexp_matches(text, '{DATE_CHARACTERS}')::INT,
+        regexp_matches(text, '{SENTENCE_MARKS}')::INT, length(text)) AS numbers FROM b""",
     "density_neighbours": _BLOCKS + """SELECT page_id, pos, round(coalesce(lag(link_density) OVER w, 0)::DOUBLE, 6) AS prev_link, round(coalesce(lag(text_density) OVER w, 0), 6) AS prev_text,
         round(link_density::DOUBLE, 6) AS link, round(text_density, 6) AS text, round(coalesce(lead(link_density) OVER w, 0)::DOUBLE, 6) AS next_link, round(coalesce(lead(text_density) OVER w, 0), 6) AS next_text
         FROM d WINDOW w AS (PARTITION BY page_id ORDER BY pos)""",
@@ -114,10 +112,10 @@ ORACLES = {
     "page_content": _PLAIN + """SELECT p.page_id, string_agg(b.text, chr(10) ORDER BY b.pos) FILTER (WHERE len(string_split(b.text, ' ')) >= 10) AS content FROM pages p LEFT JOIN b ON b.page_id = p.page_id GROUP BY 1""",
     "page_title": f"""WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1\\s*>', 1) AS hs, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1) AS ti FROM pages),
         v AS (SELECT page_id, len(hs) AS n, {_visible("coalesce(hs[1], '')")} AS h1, {_visible('ti')} AS tt FROM t),
-        c AS (SELECT *, regexp_extract(tt, '^(.+?)\\s+[-|]\\s+[^-|]*$', 1) AS cut FROM v)
+        c AS (SELECT *, regexp_extract(tt, '^(.+)\\s+[-|]\\s+.*$', 1) AS cut FROM v)
         SELECT page_id, CASE WHEN n = 1 AND h1 <> '' THEN h1 WHEN cut <> '' THEN cut WHEN tt <> '' THEN tt ELSE nullif(h1, '') END AS title FROM c""",
-    "title_suffix_split": f"""WITH t AS (SELECT doc_id, {_blanks("substr(text, 1, 40) || ' - ' || source")} AS t FROM documents)
-        SELECT doc_id, regexp_extract(t, '^(.*)\\s+-\\s+([^-]*)$', 1) AS head, regexp_extract(t, '^(.*)\\s+-\\s+([^-]*)$', 2) AS site FROM t""",
+    "title_suffix_split": f"""WITH t AS (SELECT page_id, {_visible("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1)")} AS t FROM pages)
+        SELECT page_id, regexp_extract(t, '^(.+)\\s+[-|]\\s+(.*)$', 1) AS head, regexp_extract(t, '^(.+)\\s+[-|]\\s+(.*)$', 2) AS site FROM t""",
     "url_host": f"""WITH h AS (SELECT page_id, nullif({_HOST}, '') AS host FROM pages), l AS (SELECT *, string_split(lower(regexp_replace(host, ':\\d+$', '')), '.') AS ls FROM h)
         SELECT page_id, host, CASE WHEN len(ls) > 2 AND array_to_string(ls[-2:], '.') IN {SUFFIXES} THEN array_to_string(ls[-3:], '.') ELSE array_to_string(ls[-2:], '.') END AS domain FROM l""",
     "url_normalized": f"WITH u AS ({_URL}) SELECT page_id, {_NORMAL} AS url FROM u",
@@ -129,7 +127,7 @@ ORACLES = {
     "link_inventory": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages)
         SELECT href, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM l GROUP BY 1""",
     "tags_split": """WITH t AS (SELECT trim(unnest(string_split(replace(p_name, ' ', ','), ','))) AS tag FROM part) SELECT tag, count(*) AS n_parts FROM t WHERE tag <> '' GROUP BY 1""",
-    "tags_normalized": """WITH t AS (SELECT p_partkey, regexp_replace(trim(regexp_replace(p_name || ', "' || p_brand || '", , (' || p_type || ')', '\\s+', ' ', 'g')), '["''()/;:]', '', 'g') AS t FROM part)
+    "tags_normalized": """WITH t AS (SELECT p_partkey, regexp_replace(trim(regexp_replace(p_name || ', "' || p_brand || '", , (' || p_type || ')', '\\s+', ' ', 'g')), '["'']', '', 'g') AS t FROM part)
         SELECT p_partkey, array_to_string(list_filter(string_split(t, ', '), lambda x: x <> ''), ', ') AS tags FROM t""",
     "author_blacklist_anti": """SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM customer x WHERE x.c_acctbal < 0 AND lower(x.c_name) = lower(c.c_name))""",
     "author_filter": """SELECT s_suppkey, s_name || '; Writer ' || s_suppkey AS authors FROM supplier""",
@@ -143,7 +141,8 @@ ORACLES = {
         h AS (SELECT p.item_id, sum(least(p.n, a.n)) AS h FROM p JOIN a ON p.item_id = a.item_id AND p.t = a.t GROUP BY 1),
         r AS (SELECT j.item_id, coalesce(h.h, 0) / len(p)::DOUBLE AS p, coalesce(h.h, 0) / len(a)::DOUBLE AS r FROM j LEFT JOIN h ON h.item_id = j.item_id)
         SELECT item_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM r""",
-    "edit_distance": """SELECT n_nationkey, damerau_levenshtein(n_name, before) AS distance FROM (SELECT n_nationkey, n_name, lag(n_name) OVER (ORDER BY n_nationkey) AS before FROM nation) WHERE before IS NOT NULL""",
+    "edit_distance": "SELECT n.n_nationkey, damerau_levenshtein(n.n_name, p.n_name) AS distance FROM nation n JOIN nation p ON p.n_nationkey = n.n_nationkey - 1",
+    "author_normalize": "SELECT n_nationkey, 'Jane Doe; ' || upper(n_name[1]) || lower(regexp_extract(n_name, '^([A-Za-z]+)', 1))[2:] AS authors FROM nation",
     "boilerplate_lines": _PLAIN + "SELECT text, count(*) AS n_blocks, count(DISTINCT page_id) AS n_pages FROM b GROUP BY 1 HAVING count(DISTINCT page_id) > 1",
     "lang_block_stats": "SELECT lang, source, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY ROLLUP (lang, source)",
     "doc_quality_features": "SELECT quality, lang, count(*) AS n_docs, round(avg(strlen(text)), 4) AS mean_bytes FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2",

@@ -122,16 +122,15 @@ def _titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_title(spark: SparkSession, d: str) -> DataFrame:
-    cut = F.regexp_extract("title_tag", r"^(.+?)\s+[-|]\s+[^-|]*$", 1)
+    cut = F.regexp_extract("title_tag", r"^(.+)\s+[-|]\s+.*$", 1)
     title = F.when((F.col("n_h1") == 1) & (F.col("h1") != ""), F.col("h1")).when(cut != "", cut).when(F.col("title_tag") != "", F.col("title_tag")).otherwise(F.nullif("h1", F.lit("")))
     return _titles(spark, d).select("page_id", title.alias("title"))
 
 
 def title_suffix_split(spark: SparkSession, d: str) -> DataFrame:
-    """Document titles of the form `a - b` from headlines glued to sources."""
-    glued = read_table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" - "), F.col("source")).alias("t"))
-    glued = glued.withColumn("t", tx.blanks(F.col("t")))
-    return glued.select("doc_id", F.regexp_extract("t", r"^(.*)\s+-\s+([^-]*)$", 1).alias("head"), F.regexp_extract("t", r"^(.*)\s+-\s+([^-]*)$", 2).alias("site"))
+    """Titles cut at their last separator into head and site."""
+    pattern = r"^(.+)\s+[-|]\s+(.*)$"
+    return _titles(spark, d).select("page_id", F.regexp_extract("title_tag", pattern, 1).alias("head"), F.regexp_extract("title_tag", pattern, 2).alias("site"))
 
 
 def url_host(spark: SparkSession, d: str) -> DataFrame:
@@ -233,8 +232,9 @@ def lcs_inclusion(spark: SparkSession, d: str) -> DataFrame:
 
 def edit_distance(spark: SparkSession, d: str) -> DataFrame:
     """Damerau-Levenshtein distance of consecutive names."""
-    w = Window.orderBy("n_nationkey")
-    rows = read_table(spark, d, "nation").select("n_nationkey", "n_name", F.lag("n_name").over(w).alias("before")).where("before IS NOT NULL")
+    nation = read_table(spark, d, "nation")
+    before = nation.select((F.col("n_nationkey") + 1).alias("n_nationkey"), F.col("n_name").alias("before"))
+    rows = nation.join(before, "n_nationkey")
     return rows.select("n_nationkey", evaluate.damerau_levenshtein("n_name", "before").cast("long").alias("distance"))
 
 

@@ -53,5 +53,22 @@ def ld_json(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""), F.lit(1))
 
 
+def ld_json_objects(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """key, object: one row per JSON-LD object as text, those of an @graph or an array on their own; broken scripts give none."""
+    scripts = pages.select(key, F.explode(ld_json(F.col(html))).alias("j"))
+    listed = F.when(F.trim("j").startswith("["), F.from_json("j", "array<string>")).otherwise(F.array("j"))
+    items = scripts.select(key, F.explode(listed).alias("j")).where(F.try_parse_json("j").isNotNull())
+    inner = F.get_json_object("j", "$.@graph")
+    graph = F.when(inner.startswith("["), F.from_json(inner, "array<string>")).when(inner.isNotNull(), F.array(inner)).otherwise(F.array("j"))
+    return items.select(key, F.explode(graph).alias("object"))
+
+
+def encoding_candidates(markup: Column, default: str = "utf-8") -> Column:
+    """utf-8 alone if the bytes are that, else the stated encoding and then latin-1."""
+    stated = F.lower(guess_encoding(markup, default))
+    others = F.filter(F.array_distinct(F.array(stated, F.lit("iso-8859-1"))), lambda x: ~x.isin("utf-8", "utf8", "utf_8"))
+    return F.when(F.is_valid_utf8(markup.cast("string")), F.array(F.lit("utf-8"))).otherwise(others)
+
+
 def write_records(records: DataFrame, path: str, kind: str = "parquet") -> None:
     records.write.format(kind).save(path)
