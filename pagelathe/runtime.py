@@ -10,6 +10,9 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Narrow rows that one file of an intermediate table holds.
+ROWS_PER_FILE = 1 << 18
+
 _PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -56,12 +59,16 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage and freezes generated ids; the files outlive lost executors.
+    Cuts the lineage and freezes generated ids; the files outlive lost executors. `rows` is a bound of the
+    number of its (narrow) rows, where one is known: few rows then go to few files, a task for each core
+    at least, instead of a tiny file for every shuffle partition.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
     path = f"{shared_dir(spark)}/pagelathe/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
