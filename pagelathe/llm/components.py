@@ -29,17 +29,18 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "cc")
     state = _state(now)
     while state[0]:
+        n = 2 * state[0]  # no table of a round has more rows
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Written first: a join with an aggregate in the same stage could not be split for a hot node.
-        least = materialize(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+        least = materialize(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least", n)
         # large-star: the larger neighbours of a node go to its smallest neighbour
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "cc-large")
+        large = materialize(large, "cc-large", n)
         # small-star: a node's smaller neighbours, and the node, go to the smallest
-        low_of = materialize(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "cc-low")
+        low_of = materialize(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "cc-low", n)
         small = large.join(low_of, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = small.unionByName(low_of.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        now = materialize(small, "cc")
+        now = materialize(small, "cc", n)
         after = _state(now)
         if after == state:
             break

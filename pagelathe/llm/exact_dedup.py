@@ -31,16 +31,17 @@ LONGEST_RUN = 1 << 20
 _ROW = "id long, digest string, grp long, size long, best long"
 
 
-def _settle(rows: DataFrame, keys: list[str], run: int, number: int, carry: bool) -> DataFrame:
+def _settle(rows: DataFrame, keys: list[str], run: int, number: int, bound: int | None) -> DataFrame:
     """One round: `rows` (id, digest, rest, keys) become settled rows and rows with a shorter rest.
 
-    The last key is the run of bytes. Output: id, digest, grp, size, best, rest (null when settled).
+    The last key is the run of bytes; `bound` is one of the number of rows. Output: id, digest, grp, size, best, rest (null when settled).
     """
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("best"))
     # Frozen, as the new group's number must be the same for all tasks that read it.
     groups = materialize(
         groups.where("size > 1").withColumn("grp", F.monotonically_increasing_id()).select(*[F.col(k).alias(f"k_{k}") for k in keys], "grp", "size", "best"),
         f"radix-groups-{number}",
+        bound,
     )
     same = reduce(lambda a, b: a & b, [rows[k] == groups[f"k_{k}"] for k in keys])
     # The groups have no bound, so they are shuffled at any size.
@@ -61,12 +62,13 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", norm
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("rest"))
     rows = rows.select("id", "rest", F.sha2("rest", 256).alias("digest"), F.expr(f"substring(rest, 1, {FIRST_RUN})").alias("part"))
     done: list[DataFrame] = []
-    run, number, keys = FIRST_RUN, 0, ["part"]
+    run, number, keys, bound = FIRST_RUN, 0, ["part"], None
     while True:
-        out = materialize(_settle(rows, keys, run, number, True), f"radix-{number}")
+        out = materialize(_settle(rows, keys, run, number, bound), f"radix-{number}")
         done.append(out.where("rest IS NULL").drop("rest").withColumn("round", F.lit(number)))
         left = out.where("rest IS NOT NULL")
-        if left.isEmpty():
+        bound = left.count()
+        if not bound:
             break
         run, number, keys = min(run * GROWTH, LONGEST_RUN), number + 1, ["prior", "part"]
         rows = left.select("id", "digest", "rest", F.col("grp").alias("prior"), F.expr(f"substring(rest, 1, {run})").alias("part"))

@@ -176,25 +176,26 @@ def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         placed = gapless(large, ["region"], ["deep", "id"], "nth")
         placed = materialize(placed.select("region", "id", F.floor(F.col("nth") / BLOCK).alias("block"), F.ceil(F.col("m") / BLOCK).alias("blocks")), "blocks")
         small = small.unionByName(placed.select(F.xxhash64("region", "block").alias("task"), F.lit(0).alias("side"), "id", F.lit(None).cast("long").alias("comp")))
-    links = materialize(_confirmed(small, texts, size, percent), "links")
-    found = components(links)
+    found = components(materialize(_confirmed(small, texts, size, percent), "links"))
     if hot:
-        found = materialize(found, "components")
+        n = members.count()  # a bound of what follows, but for the pairs of blocks
+        found = materialize(found, "components", n)
         comps = placed.join(found, placed["id"] == found["node"], "left").select(placed["region"], placed["id"], "block", "blocks", F.coalesce("component", placed["id"]).alias("comp"))
-        comps = materialize(comps, "block-components")
+        comps = materialize(comps, "block-components", n)
         sizes = comps.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
         main = sizes.groupBy(F.col("region").alias("of_region")).agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         apart = comps.join(main, F.col("region") == F.col("of_region")).drop("of_region", "parts")
-        rest = materialize(apart.where("comp <> main").select("region", "id", "comp", "blocks"), "rest")
+        rest = materialize(apart.where("comp <> main").select("region", "id", "comp", "blocks"), "rest", n)
         if not rest.isEmpty():
             rest = gapless(rest, ["region"], ["comp", "id"], "nth").withColumn("part", F.floor(F.col("nth") / BLOCK))
-            rest = materialize(rest.select("region", "id", "comp", "blocks", "part"), "rest-parts")
+            rest = materialize(rest.select("region", "id", "comp", "blocks", "part"), "rest-parts", n)
             parts = rest.groupBy(F.col("region").alias("of_region")).agg(F.max("part").alias("last"))
             left = rest.select("region", "id", "comp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
             right = apart.join(parts, F.col("region") == F.col("of_region")).select("region", "id", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("part"), "block", F.lit(1).alias("side"))
             both = left.unionByName(right).select(F.xxhash64("region", "part", "block", F.lit(1)).alias("task"), "side", "id", "comp")
             more = materialize(_confirmed(both, texts, size, percent), "more-links")
-            found = components(links.unionByName(more))
+            if not more.isEmpty():
+                found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     return found
 
 
@@ -206,16 +207,17 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = materialize(texts.mapInArrow(_signatures(size, depth), "id long, n long, digest binary, keys array<long>"), "signatures")
     least = made.where("digest IS NOT NULL AND id IS NOT NULL").groupBy(F.col("digest").alias("of")).agg(F.min("id").alias("rep"))
-    least = materialize(least, "least")  # apart from the join, which can then be split for a hot digest
-    mapped = materialize(made.join(least, F.col("digest") == F.col("of"), "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys")), "classes")
+    n = made.count()
+    least = materialize(least, "least", n)  # apart from the join, which can then be split for a hot digest
+    mapped = materialize(made.join(least, F.col("digest") == F.col("of"), "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys")), "classes", n * TREES)
 
     heads = mapped.where("keys IS NOT NULL").groupBy("rep").agg(F.any_value("keys").alias("keys"))
     spots = heads.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.get("keys", t * 2).alias("region"), F.get("keys", t * 2 + 1).alias("deep")))).alias("s")).select("rep", "s.region", "s.deep")
-    spots = materialize(spots, "forest")
+    spots = materialize(spots, "forest", n * TREES)
     regions = spots.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("m > 1")
     # Regions that several trees found with the same members
     regions = regions.groupBy("m", "low", "who").agg(F.min("region").alias("of_region")).select("of_region", "m")
-    members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("rep").alias("id"), "deep"), "members")
+    members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("rep").alias("id"), "deep"), "members", n * TREES)
 
     found = resolve(members, texts, size, percent)
     out = mapped.join(found, mapped["rep"] == found["node"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))

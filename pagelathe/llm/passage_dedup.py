@@ -112,20 +112,21 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ship_package(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     units = materialize(texts.mapInArrow(_units, _UNITS), "units")
+    n = units.count()
     same = units.groupBy("line", "h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "start", "stop")).alias("at"), F.any_value("bands").alias("bands"))
     # Short units must repeat in another document; paragraphs may also have near copies.
-    classes = materialize(same.where("line OR low < high").withColumn("cls", F.monotonically_increasing_id()), "unit-classes")
+    classes = materialize(same.where("line OR low < high").withColumn("cls", F.monotonically_increasing_id()), "unit-classes", n * BANDS)
 
     spots = classes.where("line").select("cls", F.explode("bands").alias("region"))
     regions = spots.groupBy(F.col("region").alias("of_region")).agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("low"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("m > 1")
     regions = regions.groupBy("m", "low", "who").agg(F.min("of_region").alias("of_region"))
-    members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("cls").alias("id"), F.xxhash64("cls").alias("deep")), "paragraph-members")
+    members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("cls").alias("id"), F.xxhash64("cls").alias("deep")), "paragraph-members", n * BANDS)
     wanted = members.select(F.col("id").alias("cls")).distinct().join(classes.select("cls", "at"), "cls").select("cls", F.col("at.id").alias("of_id"), F.col("at.start").alias("start"), F.col("at.stop").alias("stop"))
     cut = F.decode(F.substring(F.encode("text", "UTF-8"), F.col("start") + 1, F.col("stop") - F.col("start")), "UTF-8")
     lines = texts.join(wanted.hint("merge"), F.col("id") == F.col("of_id")).select("cls", cut.alias("text")).groupBy(F.col("cls").alias("id")).agg(F.min("text").alias("text"))
     near = resolve(members, materialize(lines, "paragraph-texts"), SIZE, PERCENT)
     grouped = classes.join(near, F.col("cls") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "cls"))
-    grouped = materialize(grouped.select("line", "h1", "h2", "grp", "low", "high"), "unit-groups")
+    grouped = materialize(grouped.select("line", "h1", "h2", "grp", "low", "high"), "unit-groups", n)
     spread = grouped.groupBy(F.col("grp").alias("of_grp")).agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("of_grp")
     keys = grouped.join(spread, F.col("grp") == F.col("of_grp")).select(F.col("line").alias("k_line"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "grp")
     hits = units.join(keys.hint("merge"), (F.col("line") == F.col("k_line")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("id", "first", "last", "start", "stop", "grp")
@@ -136,12 +137,12 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     islands = islands.withColumn("island", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("id", "island")
     islands = islands.withColumn("n_words", F.max("last").over(whole) - F.min("first").over(whole)).where(f"n_words >= {PASSAGE_WORDS}")
-    islands = materialize(islands.select("id", "island", "start", "stop", "n_words", "grp"), "islands")
+    islands = materialize(islands.select("id", "island", "start", "stop", "n_words", "grp"), "islands", n)
     found = islands.groupBy("id", "island").agg(F.min("start").alias("start_byte"), F.max("stop").alias("end_byte"), F.max("n_words").alias("n_words"), F.min("grp").alias("grp"))
     # Groups are the nodes: those of one passage belong together.
     edges = islands.join(found.select(F.col("id").alias("of_id"), F.col("island").alias("of_island"), F.col("grp").alias("a")), (F.col("id") == F.col("of_id")) & (F.col("island") == F.col("of_island"))).select("a", F.col("grp").alias("b"))
     parts = components(edges)
-    found = materialize(found.join(parts, F.col("grp") == F.col("node"), "left").withColumn("part", F.coalesce("component", "grp")).drop("node", "component", "grp"), "passages")
+    found = materialize(found.join(parts, F.col("grp") == F.col("node"), "left").withColumn("part", F.coalesce("component", "grp")).drop("node", "component", "grp"), "passages", n)
     low = found.groupBy(F.col("part").alias("of_part")).agg(F.min("id").alias("component_id"))
     out = found.join(low, F.col("part") == F.col("of_part"))
     return out.select(F.col("id").alias(id_col), "start_byte", "end_byte", F.col("n_words").cast("long").alias("n_words"), "component_id", (F.col("id") != F.col("component_id")).alias("removed"))

@@ -35,6 +35,8 @@ MISS = 2e-4
 PER_BUCKET = 16
 BLOCK = 256
 MOST_BITS = 30
+#: A vector's row counts as so many narrow ones.
+VALUES = 16
 
 
 def parameters(largest: int, threshold: float = THRESHOLD) -> tuple[int, int]:
@@ -121,16 +123,17 @@ def assign(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     rows = materialize(rows.withColumn("sound", sound), "vectors")
+    n = rows.count()
     good = rows.where("sound")
     classes = good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "vector-classes")
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "vector-classes", n * VALUES)
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
     bits, tables = parameters(largest, threshold)
     codes = classes.select("cid", "v", "dim").mapInArrow(_hash(bits, tables), "cid long, codes array<long>").join(classes.select("cid", "label", "dim"), "cid")
     spots = codes.select("cid", "label", "dim", F.posexplode("codes").alias("table", "code")).select("cid", "table", F.xxhash64("label", "dim", "table", "code").alias("bucket"))
-    spots = materialize(spots, "buckets")
+    spots = materialize(spots, "buckets", n * tables)
     sizes = spots.groupBy(F.col("bucket").alias("of_bucket")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialize(spots.join(sizes, F.col("bucket") == F.col("of_bucket")).select("bucket", "m", "cid", "table"), "bucket-members")
+    members = materialize(spots.join(sizes, F.col("bucket") == F.col("of_bucket")).select("bucket", "m", "cid", "table"), "bucket-members", n * tables)
     tasks = members.where(f"m <= {BLOCK}").select(F.col("bucket").alias("task"), "table", F.lit(0).alias("side"), "cid")
     large = members.where(f"m > {BLOCK}")
     if not large.isEmpty():
@@ -146,7 +149,7 @@ def assign(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     parts = components(found.where("b IS NOT NULL").select("a", "b"))
     named = classes.select("cid", "rep", "label", "v", "copies").join(parts, F.col("cid") == F.col("node"), "left").drop("node")
     named = named.withColumn("component", F.coalesce("component", "cid")).join(sums, "cid", "left")
-    named = materialize(named.select("cid", "rep", "label", "v", "component", (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("n_links")), "named")
+    named = materialize(named.select("cid", "rep", "label", "v", "component", (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("n_links")), "named", n * VALUES)
     low = named.groupBy(F.col("component").alias("of_component")).agg(F.min("rep").alias("component_id"))
     named = named.join(low, F.col("component") == F.col("of_component")).select(F.col("label").alias("of_label"), F.col("v").alias("of_v"), "n_links", "component_id")
     out = good.join(named, (F.col("label") == F.col("of_label")) & (F.col("v") == F.col("of_v"))).select("id", "n_links", "component_id")
