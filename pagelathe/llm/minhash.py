@@ -219,7 +219,10 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     regions = regions.groupBy("m", "low", "who").agg(F.min("region").alias("of_region")).select("of_region", "m")
     members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("rep").alias("id"), "deep"), "members", n * TREES)
 
-    found = resolve(members, texts, size, percent)
+    # Whole texts travel once; the rounds of comparison then read those of candidates alone.
+    wanted = members.select("id").distinct()
+    candidates = materialize(texts.join(wanted.hint("merge"), "id", "left_semi"), "candidate-texts")
+    found = resolve(members, candidates, size, percent)
     out = mapped.join(found, mapped["rep"] == found["node"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
