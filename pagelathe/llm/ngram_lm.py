@@ -11,10 +11,11 @@ which is the count table partitioned by hash; joined back to each split's n-gram
 totals in the split's own order; splits meet their totals and sum log scores per document. Hashes
 travel as differences of sorted values, about six bytes an n-gram, each once a split however often it occurs.
 
-Scale: a split is some tens of MB of text; a part's group holds a share of all distinct n-grams, and the
-number of parts follows the number of splits, so tasks stay level and an n-gram that is in every text is
-one entry a split. The parts of all splits are splits times parts small rows, which suits up to tens of
-thousands of splits. Texts are shuffled once, to meet their totals.
+Scale: a split is 16 MB of text or, for large inputs, as much as the square root of the input asks for: the
+parts of all splits are splits times parts rows, and none is then below a kilobyte or so (at 100 TB a
+split has some 400 MB). A part's group holds a share of all distinct n-grams, and the number of parts
+follows the number of splits, so tasks stay level and an n-gram that is in every text is one entry a
+split. Texts are shuffled once, to meet their totals.
 
 Words are runs outside ASCII white space, A-Z lowered. N-grams do not cross documents. Defined results:
 null or empty texts have 0 words and score 0; null ids pass through; rows that repeat an id are documents
@@ -23,6 +24,7 @@ of their own; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,8 @@ from pagelathe.runtime import materialize, ship_package
 ORDER = 2
 ALPHA = 0.4
 UNSEEN = 0.5
-#: Bytes of text in a split's group; larger input files are cut further by a hash of the id.
-GROUP_BYTES = 16 << 20
+#: Bytes of text in a split, and bytes of text that a split has for each part, at least.
+GROUP_BYTES, PART_BYTES = 16 << 20, 1700
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -189,7 +191,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    splits = max(1, -(-size // GROUP_BYTES))
+    splits = max(1, -(-size // max(GROUP_BYTES, math.isqrt(size * PART_BYTES))))
     split = F.pmod(F.xxhash64("id", F.substring("text", 1, 32)), F.lit(splits)).cast("long").alias("split")
     # One exchange serves both passes: rows of a split lie together.
     dealt = rows.select(split, "id", "text").repartition(splits, "split")
