@@ -1,8 +1,8 @@
 """Repeated passages across documents: paragraph MinHash banding, exact Jaccard, components.
 
 1. Texts are cut into paragraphs (lines of at least LINE_WORDS words) and, as passages need not begin
-   and end with a line, into sentence units (whole sentences joined until they have UNIT_WORDS words).
-2. Paragraphs and units that are equal word by word are one class. Short units are compared for
+   and end with a line, into chunks of a few words whose ends depend on the words around them only.
+2. Paragraphs and chunks that are equal word by word are one class. Chunks are compared for
    equality only: with five-word shingles one changed word leaves them far below the threshold.
 3. Classes of paragraphs get BANDS bands of ROWS MinHash values. Classes that collide in a band are
    compared in blocks and confirmed by exact Jaccard on their full shingle sets (`minhash.resolve`).
@@ -10,9 +10,11 @@
    PASSAGE_WORDS words are clustered by the classes they share; of each cluster the passages in the
    document with the smallest id stay and the others are to be removed.
 
-A pair of paragraphs at 0.8 is missed by all bands with probability 0.003.
+A pair of paragraphs at 0.8 is missed by all bands with probability 0.003. Of a run of words that two
+documents share, the chunks between its first and last own end are found; a few words at its ends can be
+left out.
 
-Scale: one narrow row a unit is shuffled; counts are combined on the map side, so a passage that a third
+Scale: one narrow row a chunk is shuffled; counts are combined on the map side, so a passage that a third
 of all documents hold is one row a task. Whole texts are shuffled once, for the paragraphs to confirm.
 
 Defined results: null or empty texts have no passages; rows with a null id are left out, as nothing
@@ -35,25 +37,28 @@ from pagelathe.llm.shingles import minima, mix, ngrams, pieces, words
 from pagelathe.runtime import materialize, ship_package
 
 LINE_WORDS = 20
-UNIT_WORDS = 8
+REACH, LONGEST = 3, 32
 PASSAGE_WORDS = 30
 GAP_WORDS = 8
 BANDS, ROWS = 8, 3
 SIZE, PERCENT = 5, 80
 
 _UNITS = "id long, line boolean, first int, last int, start int, stop int, h1 long, h2 long, bands array<long>"
-_STOP = np.zeros(256, bool)
-_STOP[[33, 46, 63]] = True
 
 
-def _cut(last: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Runs of words that end where `last` holds and have at least `least` words; a short rest is dropped."""
-    out, at = [], 0
-    for end in (np.flatnonzero(last) + 1).tolist():
-        if end - at >= least:
-            out.append((at, end))
-            at = end
-    return out
+def chunks(values: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of words that end at the smallest of the values REACH to its left and right.
+
+    Where a run of words is repeated, its ends are found again whatever stands around it. Equal
+    values, of which the first counts, make long chunks; those are cut after LONGEST words.
+    """
+    n = len(values)
+    padded = np.full(n + 2 * REACH, np.iinfo(np.uint64).max, np.uint64)
+    padded[REACH : REACH + n] = values
+    around = np.lib.stride_tricks.sliding_window_view(padded, 2 * REACH + 1)
+    lowest = (values <= around.min(axis=1)) & (values < around[:, :REACH].min(axis=1))
+    ends = [*(np.flatnonzero(lowest) + 1).tolist(), n]
+    return [(x, min(x + LONGEST, b)) for a, b in zip([0, *ends], ends, strict=False) for x in range(a, b, LONGEST)]
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,14 +74,13 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols: list[list] = [[] for _ in range(9)]
             sets, at_line = [], []
             for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                if ids[d] is None or b - a < UNIT_WORDS:
+                if ids[d] is None or b - a < PASSAGE_WORDS:
                     continue
                 newline = np.ones(b - a, bool)
                 newline[:-1] = breaks[starts[a + 1 : b]] > breaks[ends[a : b - 1]]
-                stop = newline | _STOP[data[ends[a:b] - 1]]
                 lines = np.flatnonzero(newline) + 1
                 spans = [(True, x, y) for x, y in zip([0, *lines[:-1].tolist()], lines.tolist(), strict=True) if y - x >= LINE_WORDS]
-                for line, x, y in spans + [(False, x, y) for x, y in _cut(stop, UNIT_WORDS)]:
+                for line, x, y in spans + [(False, x, y) for x, y in chunks(mix(hashes[a:b]))]:
                     h = hashes[a + x : a + y]
                     cols[0].append(ids[d])
                     cols[1].append(line)
@@ -114,7 +118,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     units = materialize(texts.mapInArrow(_units, _UNITS), "units")
     n = units.count()
     same = units.groupBy("line", "h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "start", "stop")).alias("at"), F.any_value("bands").alias("bands"))
-    # Short units must repeat in another document; paragraphs may also have near copies.
+    # Chunks must repeat in another document; paragraphs may also have near copies.
     classes = materialize(same.where("line OR low < high").withColumn("cls", F.monotonically_increasing_id()), "unit-classes", n * BANDS)
 
     spots = classes.where("line").select("cls", F.explode("bands").alias("region"))
