@@ -3,7 +3,7 @@
 Features of a whole text: densities of a lexicon of words and word beginnings, second-person words near
 lexicon words, capitals, punctuation, and obfuscation (letters replaced by digits or signs). The
 lexicon, the trees and the calibration are learned here from labelled rows: a bounded sample of SAMPLE
-rows by hash of the id, dealt into three parts by that hash, one for each.
+rows by hash of the id.
 
 Labels, lang, source and doc_id are no inputs of a score. Rows whose crc32 of the id mod 3 is 1 are
 held out of learning.
@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,11 @@ from pagelathe.runtime import ship_package
 SAMPLE = 12_000
 CUT = 0.7
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
+FOLDS = 4
+#: Lengths of the word beginnings that are looked at.
+BEGINNINGS = (3, 4, 5, 6, 7)
+#: Toxic texts that must hold a word, and a beginning.
+LEAST = (5, 8)
 KEEP_WORDS, KEEP_LENGTH, ROWS = 300_000, 64, 256
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,7 +70,7 @@ class Lexicon:
         return {"words": self.words, "beginnings": self.beginnings, "_known": {}}
 
     def _hit(self, w: str) -> int:
-        return LEXICON if w in self.words else BEGINNING if any(w[:k] in self.beginnings for k in (4, 5, 6) if len(w) >= k) else 0
+        return LEXICON if w in self.words else BEGINNING if any(w[:k] in self.beginnings for k in BEGINNINGS if len(w) >= k) else 0
 
     def bits(self, word: str) -> int:
         w = plain(word)
@@ -117,20 +123,50 @@ class Lexicon:
         ]
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray) -> Lexicon:
-    """Words and word beginnings that toxic texts hold far more often than others; equal texts count once."""
-    once = dict(zip(texts, toxic.tolist(), strict=True))
-    texts, toxic = list(once), np.array(list(once.values()), bool)
-    bad, rest = int(toxic.sum()), int((~toxic).sum())
-    tables = (Counter(), Counter())
-    starts = (Counter(), Counter())
-    for text, y in zip(texts, toxic.tolist(), strict=True):
-        seen = {plain(w) for w in _WORD.findall(text or "")} - {""}
-        tables[y].update(seen)
-        starts[y].update({w[:k] for w in seen for k in (4, 5, 6) if len(w) >= k and w[:k].isalpha()})
-    telling = lambda a, b, least: a >= least and (a + 0.5) / bad >= 20 * (b + 0.5) / rest
-    words = frozenset(w for w, a in tables[1].items() if telling(a, tables[0][w], 5))
-    return Lexicon(words, frozenset(p for p, a in starts[1].items() if telling(a, starts[0][p], 8)))
+def terms(word: str) -> list[str]:
+    """The word and, marked by ^, its beginnings."""
+    w = plain(word)
+    return [w, *(f"^{w[:k]}" for k in BEGINNINGS if len(w) >= k and w[:k].isalpha())] if w else []
+
+
+class TermCounts:
+    """In how many toxic and other texts a term stands, by fold; equal texts count once.
+
+    Only terms that enough toxic texts hold are counted in the others, so the tables stay small.
+    """
+
+    def __init__(self, texts: list[str], toxic: np.ndarray, folds: int) -> None:
+        self.texts = np.zeros((folds, 2))
+        self.counts = [(Counter(), Counter()) for _ in range(folds)]
+        known: dict[str, tuple[str, ...]] = {}
+        once = sorted(dict(zip(texts, toxic.tolist(), strict=True)).items(), key=lambda x: not x[1])  # toxic ones first
+        wanted: set[str] | None = None
+        for text, y in once:
+            fold = fold_of(text, folds)
+            self.texts[fold, int(y)] += 1
+            found = set(_WORD.findall(text))
+            if y:
+                self.counts[fold][1].update({t for w in found for t in terms(w)})
+                continue
+            if wanted is None:
+                often = sum((c[1] for c in self.counts), Counter())
+                wanted = {t for t, a in often.items() if a >= LEAST[t[0] == "^"]}
+            for w in found.difference(known):
+                known[w] = tuple(t for t in terms(w) if t in wanted)
+            self.counts[fold][0].update({t for w in found for t in known[w]})
+
+    def lexicon(self, without: int | None = None) -> Lexicon:
+        """What toxic texts hold far more often than others, in all folds but one."""
+        used = [k for k in range(len(self.counts)) if k != without]
+        rest, bad = self.texts[used].sum(axis=0).tolist()
+        often = sum((self.counts[k][1] for k in used), Counter())
+        telling = [t for t, a in often.items() if a >= LEAST[t[0] == "^"] and (a + 0.5) / bad >= 20 * (sum(self.counts[k][0][t] for k in used) + 0.5) / rest]
+        return Lexicon(frozenset(t for t in telling if t[0] != "^"), frozenset(t[1:] for t in telling if t[0] == "^"))
+
+
+def fold_of(text: str, folds: int) -> int:
+    """Equal texts share a fold."""
+    return crc32(text.encode("utf-8", "replace")) % folds
 
 
 @dataclass
@@ -218,18 +254,25 @@ class Scorer:
 
 
 def train(texts: list[str], toxic: np.ndarray) -> Scorer:
-    """From rows in hash order: two fifths for the lexicon, two for the trees, one for the calibration."""
+    """From rows in hash order.
+
+    Features of a row come from a lexicon that was learned without the row's fold, so trees and
+    calibration see words as they will see them in new texts; the lexicon that stays is learned from all
+    rows. Trees are fitted on three fifths of the rows, the calibration on the rest.
+    """
     n = len(texts)
     share = float(toxic.mean()) if n else 0.0
-    a, b = 2 * n // 5, 4 * n // 5
-    parts = [toxic[:a], toxic[a:b], toxic[b:]]
-    if any(not len(p) or p.all() or not p.any() for p in parts):
+    cut = 3 * n // 5
+    if n < 2 * FOLDS or any(p.all() or not p.any() for p in (toxic[:cut], toxic[cut:])):
+        return Scorer(Lexicon(), None, np.zeros(1), np.zeros(1), share)
+    counts = TermCounts(texts, toxic, FOLDS)
+    if (counts.texts.sum(axis=0) - counts.texts).min() < 1:
         return Scorer(Lexicon(), None, np.zeros(1), np.zeros(1), share)
-    lexicon = learn_lexicon(texts[:a], parts[0])
-    rows = np.array([lexicon.features(t) for t in texts[a:]], float)
-    booster = Booster().fit(rows[: b - a], parts[1].astype(float))
-    xs, ys = isotonic(booster.margin(rows[b - a :]), parts[2].astype(float))
-    return Scorer(lexicon, booster, xs, ys, share)
+    lexicons = [counts.lexicon(k) for k in range(FOLDS)]
+    rows = np.array([lexicons[fold_of(t, FOLDS)].features(t) for t in texts], float)
+    booster = Booster().fit(rows[:cut], toxic[:cut].astype(float))
+    xs, ys = isotonic(booster.margin(rows[cut:]), toxic[cut:].astype(float))
+    return Scorer(counts.lexicon(), booster, xs, ys, share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
