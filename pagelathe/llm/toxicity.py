@@ -3,7 +3,7 @@
 Features of a whole text: densities of a lexicon of words and word beginnings, second-person words near
 lexicon words, capitals, punctuation, and obfuscation (letters replaced by digits or signs). The
 lexicon, the trees and the calibration are learned here from labelled rows: a bounded sample of SAMPLE
-rows by hash of the id.
+rows by hash of the id, with SAMPLE_BYTES of text.
 
 Labels, lang, source and doc_id are no inputs of a score. Rows whose crc32 of the id mod 3 is 1 are
 held out of learning.
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from pagelathe.runtime import ship_package
 
-SAMPLE = 12_000
+#: Bounds of the sample: rows, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 12_000, 64 << 20
 CUT = 0.7
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 FOLDS = 4
@@ -276,10 +277,15 @@ def train(texts: list[str], toxic: np.ndarray) -> Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
-    """Learn from at most `sample` labelled rows that are not held out."""
+    """Learn from at most `sample` labelled rows that are not held out, in the order of a hash, and of those from as many as have SAMPLE_BYTES of text."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).alias("_toxic"))
     chosen = known.where(~held_out(F.col("_id"))).withColumn("_order", F.xxhash64("_id", F.lit("sample"))).orderBy("_order", "_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_order", "_id", F.col(text_col).alias("_text"), "_toxic").toArrow().sort_by([("_order", "ascending"), ("_id", "ascending"), ("_text", "ascending")])
+    held = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_order", "_id", F.col(text_col).alias("_text"), "_toxic")
+    # The limits hold for rows that repeat an id, too.
+    sizes = held.select("_order", F.coalesce(F.octet_length("_text"), F.lit(0)).alias("n")).orderBy("_order", "n").limit(sample).collect()
+    fits = np.cumsum([r["n"] for r in sizes]) <= SAMPLE_BYTES
+    last = max([r["_order"] for r, ok in zip(sizes, fits.tolist(), strict=True) if ok], default=None)
+    rows = held.where(F.col("_order") <= F.lit(last).cast("long")).orderBy("_order", "_id", "_text").limit(sample).toArrow()
     return train([t or "" for t in rows.column("_text").to_pylist()], np.array(rows.column("_toxic").to_pylist(), bool))
 
 
