@@ -6,9 +6,10 @@
    equality only: with five-word shingles one changed word leaves them far below the threshold.
 3. Classes of paragraphs get BANDS bands of ROWS MinHash values. Classes that collide in a band are
    compared in blocks and confirmed by exact Jaccard on their full shingle sets (`minhash.resolve`).
-4. In each document, repeated pieces that touch or nearly touch are one passage. Passages of at least
-   PASSAGE_WORDS words are clustered by the classes they share; of each cluster the passages in the
-   document with the smallest id stay and the others are to be removed.
+4. Linked paragraphs are one component. Of each component, and of each repeated chunk, the document with
+   the smallest id keeps its copy. In each document, pieces to remove that touch or nearly touch are one
+   passage, and so are pieces to keep; passages of at least PASSAGE_WORDS words are returned. So nothing
+   is removed that no earlier document holds.
 
 A pair of paragraphs at 0.8 is missed by all bands with probability 0.003. Of a run of words that two
 documents share, the chunks between its first and last own end are found; a few words at its ends can be
@@ -31,9 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelathe.llm.components import components
 from pagelathe.llm.minhash import resolve
-from pagelathe.llm.shingles import minima, mix, ngrams, pieces, words
+from pagelathe.llm.shingles import mix, ngrams, pieces, range_minima, words
 from pagelathe.runtime import materialize, ship_package
 
 LINE_WORDS = 20
@@ -43,110 +43,126 @@ GAP_WORDS = 8
 BANDS, ROWS = 8, 3
 SIZE, PERCENT = 5, 80
 
-_UNITS = "id long, line boolean, first int, last int, start int, stop int, h1 long, h2 long, bands array<long>"
+_UNITS = "id long, line boolean, first int, words int, start int, size int, h1 long, h2 long, bands array<long>"
 
 
-def chunks(values: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of words that end at the smallest of the values REACH to its left and right.
+_BANDS = pa.list_(pa.int64())
+_KINDS = {"id": pa.int64(), "line": pa.bool_(), "first": pa.int32(), "words": pa.int32(), "start": pa.int32(), "size": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "bands": _BANDS}
 
+
+def chunks(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of runs of words that end at the smallest of the values REACH to its left and right.
+
+    `first` has the first word of each document, with the total last; no run crosses a document's end.
     Where a run of words is repeated, its ends are found again whatever stands around it. Equal
     values, of which the first counts, make long chunks; those are cut after LONGEST words.
     """
     n = len(values)
-    padded = np.full(n + 2 * REACH, np.iinfo(np.uint64).max, np.uint64)
-    padded[REACH : REACH + n] = values
-    around = np.lib.stride_tricks.sliding_window_view(padded, 2 * REACH + 1)
-    lowest = (values <= around.min(axis=1)) & (values < around[:, :REACH].min(axis=1))
-    ends = [*(np.flatnonzero(lowest) + 1).tolist(), n]
-    return [(x, min(x + LONGEST, b)) for a, b in zip([0, *ends], ends, strict=False) for x in range(a, b, LONGEST)]
+    place = np.arange(n) + REACH * (np.repeat(np.arange(len(first) - 1), np.diff(first)) + 1)
+    padded = np.full(n + REACH * len(first), np.iinfo(np.uint64).max, np.uint64)
+    padded[place] = values
+    around = np.lib.stride_tricks.sliding_window_view(padded, 2 * REACH + 1)[place - REACH]
+    last = (values <= around.min(axis=1)) & (values < around[:, :REACH].min(axis=1))
+    last[first[1:][np.diff(first) > 0] - 1] = True
+    stops = np.flatnonzero(last) + 1
+    starts = np.concatenate(([0], stops[:-1]))
+    cuts = -(-(stops - starts) // LONGEST)
+    nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    starts = np.repeat(starts, cuts) + nth * LONGEST
+    return starts, np.minimum(starts + LONGEST, np.repeat(stops, cuts))
+
+
+def _hashes(words_: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each of the runs, which lie side by side."""
+    lengths = stops - starts
+    powers = np.multiply.accumulate(np.full(int(lengths.max()), 0xD6E8FEB86659FD93, np.uint64))
+    weight = powers[np.arange(len(words_)) - np.repeat(starts, lengths)]
+    one = mix(np.add.reduceat(words_ * weight, starts))
+    two = mix(np.add.reduceat(mix(words_) * weight, starts) + lengths.astype(np.uint64))
+    return one.view(np.int64), two.view(np.int64)
+
+
+def _band_keys(words_: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """The band keys of lines, each of ROWS MinHash values of its shingles."""
+    sig = range_minima(ngrams(words_, SIZE), starts, stops - SIZE + 1, BANDS * ROWS).astype(np.uint64).reshape(len(starts), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
+    for r in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(starts) + 1, BANDS), pa.int32()), pa.array(key.view(np.int64).ravel()))
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = np.multiply.accumulate(np.full(1 << 16, 0xD6E8FEB86659FD93, np.uint64))
     for batch in batches:
+        ids = batch.column(0)
         for row0, data, bounds in pieces(batch.column(1)):
             hashes, starts, ends, first = words(data, bounds)
             n = len(hashes)
-            if n > len(powers):
-                powers = np.multiply.accumulate(np.full(1 << n.bit_length(), 0xD6E8FEB86659FD93, np.uint64))
+            if not n:
+                continue
+            sizes = np.diff(first)
+            own = ids.slice(row0, len(sizes))
+            told = own.is_valid().to_numpy(zero_copy_only=False) & (sizes >= PASSAGE_WORDS)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
             breaks = np.concatenate(([0], np.cumsum(data == 10)))
-            ids = batch.column(0).slice(row0, len(bounds) - 1).to_pylist()
-            cols: list[list] = [[] for _ in range(9)]
-            sets, at_line = [], []
-            for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                if ids[d] is None or b - a < PASSAGE_WORDS:
+            newline = np.ones(n, bool)
+            newline[:-1] = breaks[starts[1:]] > breaks[ends[:-1]]
+            newline[first[1:][sizes > 0] - 1] = True
+            stops = np.flatnonzero(newline) + 1
+            for line, (a, b) in ((True, (np.concatenate(([0], stops[:-1])), stops)), (False, chunks(mix(hashes), first))):
+                h1, h2 = _hashes(hashes, a, b)
+                keep = np.flatnonzero(told[doc[a]] & (b - a >= (LINE_WORDS if line else 1)))
+                if not len(keep):
                     continue
-                newline = np.ones(b - a, bool)
-                newline[:-1] = breaks[starts[a + 1 : b]] > breaks[ends[a : b - 1]]
-                lines = np.flatnonzero(newline) + 1
-                spans = [(True, x, y) for x, y in zip([0, *lines[:-1].tolist()], lines.tolist(), strict=True) if y - x >= LINE_WORDS]
-                for line, x, y in spans + [(False, x, y) for x, y in chunks(mix(hashes[a:b]))]:
-                    h = hashes[a + x : a + y]
-                    cols[0].append(ids[d])
-                    cols[1].append(line)
-                    cols[2].append(x)
-                    cols[3].append(y)
-                    cols[4].append(int(starts[a + x] - bounds[d]))
-                    cols[5].append(int(ends[a + y - 1] - bounds[d]))
-                    whole = np.array([(h * powers[: y - x]).sum(), (mix(h) * powers[: y - x]).sum() + np.uint64(y - x)], np.uint64)
-                    h1, h2 = mix(whole).view(np.int64).tolist()
-                    cols[6].append(h1)
-                    cols[7].append(h2)
-                    cols[8].append(None)
-                    if line:
-                        at_line.append(len(cols[8]) - 1)
-                        sets.append(np.unique(ngrams(h, SIZE)))
-            if sets:
-                sig = minima(sets, BANDS * ROWS).astype(np.uint64).reshape(len(sets), BANDS, ROWS)
-                key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
-                for r in range(ROWS):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-                for k, bands in zip(at_line, key.view(np.int64).tolist(), strict=True):
-                    cols[8][k] = bands
-            kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in _UNITS.split(", ")])
+                a, b = a[keep], b[keep]
+                d = doc[a]
+                cols = [
+                    own.take(pa.array(d)), np.full(len(keep), line), a - first[d], b - a, starts[a] - bounds[d], ends[b - 1] - starts[a], h1[keep], h2[keep] if line else np.zeros(len(keep), np.int64),
+                    _band_keys(hashes, a, b) if line else pa.nulls(len(keep), _BANDS),
+                ]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, _KINDS.values(), strict=True)], list(_KINDS))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Repeated passages: id, start_byte, end_byte, n_words, component_id, removed.
 
-    Bytes are those of the UTF-8 text. component_id is the smallest id of a document with a passage of
-    the cluster; that document's passages stay.
+    Bytes are those of the UTF-8 text. component_id is the document that keeps the copy of the most
+    of the passage's words (the smallest id of ties): this one, unless the passage is removed.
     """
     ship_package(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     units = materialize(texts.mapInArrow(_units, _UNITS), "units")
     n = units.count()
-    same = units.groupBy("line", "h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "start", "stop")).alias("at"), F.any_value("bands").alias("bands"))
+    ends = [F.min("id").alias("low"), F.max("id").alias("high")]
     # Chunks must repeat in another document; paragraphs may also have near copies.
-    classes = materialize(same.where("line OR low < high").withColumn("cls", F.monotonically_increasing_id()), "unit-classes", n * BANDS)
-
-    spots = classes.where("line").select("cls", F.explode("bands").alias("region"))
-    regions = spots.groupBy(F.col("region").alias("of_region")).agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("low"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("m > 1")
-    regions = regions.groupBy("m", "low", "who").agg(F.min("of_region").alias("of_region"))
-    members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("cls").alias("id"), F.xxhash64("cls").alias("deep")), "paragraph-members", n * BANDS)
-    wanted = members.select(F.col("id").alias("cls")).distinct().join(classes.select("cls", "at"), "cls").select("cls", F.col("at.id").alias("of_id"), F.col("at.start").alias("start"), F.col("at.stop").alias("stop"))
-    cut = F.decode(F.substring(F.encode("text", "UTF-8"), F.col("start") + 1, F.col("stop") - F.col("start")), "UTF-8")
-    lines = texts.join(wanted.hint("merge"), F.col("id") == F.col("of_id")).select("cls", cut.alias("text")).groupBy(F.col("cls").alias("id")).agg(F.min("text").alias("text"))
-    near = resolve(members, materialize(lines, "paragraph-texts"), SIZE, PERCENT)
-    grouped = classes.join(near, F.col("cls") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "cls"))
-    grouped = materialize(grouped.select("line", "h1", "h2", "grp", "low", "high"), "unit-groups", n)
-    spread = grouped.groupBy(F.col("grp").alias("of_grp")).agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("of_grp")
-    keys = grouped.join(spread, F.col("grp") == F.col("of_grp")).select(F.col("line").alias("k_line"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "grp")
-    hits = units.join(keys.hint("merge"), (F.col("line") == F.col("k_line")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("id", "first", "last", "start", "stop", "grp")
-
-    by_doc = Window.partitionBy("id").orderBy("first", "last", "start", "stop", "grp")
-    reach = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    short = units.where("NOT line").groupBy("h1").agg(*ends).where("low < high").select(F.lit(False).alias("line"), "h1", F.lit(0).cast("long").alias("h2"), "low", "high")
+    lines = units.where("line").groupBy("h1", "h2").agg(*ends, F.min(F.struct("id", "start", "size")).alias("at"), F.any_value("bands").alias("bands"))
+    lines = materialize(lines.withColumn("cls", F.monotonically_increasing_id()), "line-classes", n)
+
+    spots = lines.select("cls", F.explode("bands").alias("region"))
+    regions = spots.groupBy(F.col("region").alias("of_region")).agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("first"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("m > 1")
+    regions = regions.groupBy("m", "first", "who").agg(F.min("of_region").alias("of_region"))
+    members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("cls").alias("id"), F.xxhash64("cls").alias("deep")), "line-members", n)
+    wanted = members.select(F.col("id").alias("cls")).distinct().join(lines.select("cls", "at"), "cls").select("cls", F.col("at.id").alias("of_id"), F.col("at.start").alias("start"), F.col("at.size").alias("size"))
+    cut = F.decode(F.substring(F.encode("text", "UTF-8"), F.col("start") + 1, F.col("size")), "UTF-8")
+    told = texts.join(wanted.hint("merge"), F.col("id") == F.col("of_id")).select("cls", cut.alias("text")).groupBy(F.col("cls").alias("id")).agg(F.min("text").alias("text"))
+    near = resolve(members, materialize(told, "line-texts"), SIZE, PERCENT)
+    grouped = lines.join(near, F.col("cls") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "cls"))
+    grouped = materialize(grouped.select("h1", "h2", "grp", "low", "high"), "line-groups", n)
+    spread = materialize(grouped.groupBy(F.col("grp").alias("of_grp")).agg(F.min("low").alias("keep"), F.max("high").alias("last_id")).where("keep < last_id").select("of_grp", "keep"), "line-spread", n)
+    repeated = grouped.join(spread, F.col("grp") == F.col("of_grp")).select(F.lit(True).alias("line"), "h1", "h2", "keep")
+    keys = repeated.unionByName(short.select("line", "h1", "h2", F.col("low").alias("keep")))
+    keys = materialize(keys.select(F.col("line").alias("k_line"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keep"), "repeated")
+    hits = units.join(keys.hint("merge"), (F.col("line") == F.col("k_line")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    hits = hits.select("id", F.col("keep") < F.col("id"), "first", "words", "start", "size", "keep").toDF("id", "removed", "first", "words", "start", "size", "keep")
+
+    # What an earlier document holds and what this one keeps are passages of their own.
+    by_doc = Window.partitionBy("id", "removed").orderBy("first", "words", "start", "size", "keep")
+    reach = F.max(F.col("first") + F.col("words")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     islands = hits.withColumn("fresh", F.coalesce((F.col("first") > reach + GAP_WORDS).cast("int"), F.lit(1)))
     islands = islands.withColumn("island", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("id", "island")
-    islands = islands.withColumn("n_words", F.max("last").over(whole) - F.min("first").over(whole)).where(f"n_words >= {PASSAGE_WORDS}")
-    islands = materialize(islands.select("id", "island", "start", "stop", "n_words", "grp"), "islands", n)
-    found = islands.groupBy("id", "island").agg(F.min("start").alias("start_byte"), F.max("stop").alias("end_byte"), F.max("n_words").alias("n_words"), F.min("grp").alias("grp"))
-    # Groups are the nodes: those of one passage belong together.
-    edges = islands.join(found.select(F.col("id").alias("of_id"), F.col("island").alias("of_island"), F.col("grp").alias("a")), (F.col("id") == F.col("of_id")) & (F.col("island") == F.col("of_island"))).select("a", F.col("grp").alias("b"))
-    parts = components(edges)
-    found = materialize(found.join(parts, F.col("grp") == F.col("node"), "left").withColumn("part", F.coalesce("component", "grp")).drop("node", "component", "grp"), "passages", n)
-    low = found.groupBy(F.col("part").alias("of_part")).agg(F.min("id").alias("component_id"))
-    out = found.join(low, F.col("part") == F.col("of_part"))
-    return out.select(F.col("id").alias(id_col), "start_byte", "end_byte", F.col("n_words").cast("long").alias("n_words"), "component_id", (F.col("id") != F.col("component_id")).alias("removed"))
+    key = ["id", "removed", "island"]
+    parts = islands.groupBy(*key, "keep").agg(F.sum("words").alias("weight"), F.min("first").alias("first"), F.max(F.col("first") + F.col("words")).alias("last"), F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("stop"))
+    found = parts.groupBy(*key).agg(
+        F.min("start").alias("start_byte"), F.max("stop").alias("end_byte"), (F.max("last") - F.min("first")).cast("long").alias("n_words"), F.max_by("keep", F.struct("weight", -F.col("keep"))).alias("component_id")
+    )
+    return found.where(f"n_words >= {PASSAGE_WORDS}").select(F.col("id").alias(id_col), "start_byte", "end_byte", "n_words", "component_id", "removed")

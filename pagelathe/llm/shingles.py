@@ -132,3 +132,14 @@ def minima(sets: list[np.ndarray], count: int) -> np.ndarray:
     for j in range(count):
         out[:, j] = np.minimum.reduceat(joined * factors[j], starts) >> np.uint64(32)
     return out
+
+
+def range_minima(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, count: int) -> np.ndarray:
+    """MinHash of the values between each start and stop, which are in order and hold one at least."""
+    factors = mix(np.arange(1, count + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    spots = np.stack([starts, stops], axis=1).ravel()
+    padded = np.append(values, np.uint64(0))  # a stop may be the end
+    out = np.empty((len(starts), count), np.uint32)
+    for j in range(count):
+        out[:, j] = np.minimum.reduceat(padded * factors[j], spots)[::2] >> np.uint64(32)
+    return out

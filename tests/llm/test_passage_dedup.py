@@ -126,11 +126,16 @@ def test_chunks_find_their_ends_again():
     ends = []
     for n in (0, 3, 17, 40):
         before = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        made = pd_.chunks(np.concatenate([before, shared]))
-        assert [b for _, b in made[:-1]] == [a for a, _ in made[1:]]
-        ends.append({b - n for _, b in made if b - n > pd_.REACH})
+        starts, stops = pd_.chunks(np.concatenate([before, shared]), np.array([0, 0, n + 60, n + 60]))
+        assert (stops[:-1] == starts[1:]).all()
+        ends.append({b - n for b in stops.tolist() if b - n > pd_.REACH})
     assert ends[0] == ends[1] == ends[2] == ends[3]
-    assert pd_.chunks(np.zeros(70, np.uint64))[-1][1] == 70
+    starts, stops = pd_.chunks(np.zeros(70, np.uint64), np.array([0, 70]))
+    assert stops[-1] == 70
+    assert (stops - starts).max() <= pd_.LONGEST
+    # No chunk crosses a document's end, and a document is cut as if it were alone.
+    both = pd_.chunks(np.concatenate([shared, shared]), np.array([0, 60, 120]))[1]
+    assert both[both <= 60].tolist() == (both[both > 60] - 60).tolist()
 
 
 def test_repeats_inside_one_document_do_not_count(spark):
