@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from pagelathe.runtime import ship_package
 
 #: Bounds of the sample: rows, and bytes of their texts.
-SAMPLE, SAMPLE_BYTES = 12_000, 64 << 20
+SAMPLE, SAMPLE_BYTES = 8_000, 32 << 20
 CUT = 0.7
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
-FOLDS = 4
+FOLDS = 3
 #: Lengths of the word beginnings that are looked at.
 BEGINNINGS = (3, 4, 5, 6, 7)
+#: Entries that the learner keeps for words.
+KEEP_TERMS = 100_000
 #: Toxic texts that must hold a word, and a beginning.
 LEAST = (5, 8)
 KEEP_WORDS, KEEP_LENGTH, ROWS = 300_000, 64, 256
@@ -139,22 +141,22 @@ class TermCounts:
     def __init__(self, texts: list[str], toxic: np.ndarray, folds: int) -> None:
         self.texts = np.zeros((folds, 2))
         self.counts = [(Counter(), Counter()) for _ in range(folds)]
+        once = dict(zip(texts, toxic.tolist(), strict=True))
+        often: Counter = Counter()
+        for text in (t for t, y in once.items() if y):
+            often.update({t for w in set(_WORD.findall(text)) for t in terms(w)})
+        wanted = {t for t, a in often.items() if a >= LEAST[t[0] == "^"]}
+        del often
         known: dict[str, tuple[str, ...]] = {}
-        once = sorted(dict(zip(texts, toxic.tolist(), strict=True)).items(), key=lambda x: not x[1])  # toxic ones first
-        wanted: set[str] | None = None
-        for text, y in once:
+        for text, y in once.items():
+            if len(known) > KEEP_TERMS:
+                known.clear()
             fold = fold_of(text, folds)
             self.texts[fold, int(y)] += 1
             found = set(_WORD.findall(text))
-            if y:
-                self.counts[fold][1].update({t for w in found for t in terms(w)})
-                continue
-            if wanted is None:
-                often = sum((c[1] for c in self.counts), Counter())
-                wanted = {t for t, a in often.items() if a >= LEAST[t[0] == "^"]}
             for w in found.difference(known):
                 known[w] = tuple(t for t in terms(w) if t in wanted)
-            self.counts[fold][0].update({t for w in found for t in known[w]})
+            self.counts[fold][y].update({t for w in found for t in known[w]})
 
     def lexicon(self, without: int | None = None) -> Lexicon:
         """What toxic texts hold far more often than others, in all folds but one."""
@@ -269,8 +271,13 @@ def train(texts: list[str], toxic: np.ndarray) -> Scorer:
     counts = TermCounts(texts, toxic, FOLDS)
     if (counts.texts.sum(axis=0) - counts.texts).min() < 1:
         return Scorer(Lexicon(), None, np.zeros(1), np.zeros(1), share)
-    lexicons = [counts.lexicon(k) for k in range(FOLDS)]
-    rows = np.array([lexicons[fold_of(t, FOLDS)].features(t) for t in texts], float)
+    rows = np.zeros((n, FEATURES))
+    for k in range(FOLDS):  # one after the other, as each keeps what it knows of words
+        lexicon = counts.lexicon(k)
+        for i, t in enumerate(texts):
+            if fold_of(t, FOLDS) == k:
+                rows[i] = lexicon.features(t)
+        del lexicon
     booster = Booster().fit(rows[:cut], toxic[:cut].astype(float))
     xs, ys = isotonic(booster.margin(rows[cut:]), toxic[cut:].astype(float))
     return Scorer(counts.lexicon(), booster, xs, ys, share)
@@ -286,7 +293,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     fits = np.cumsum([r["n"] for r in sizes]) <= SAMPLE_BYTES
     last = max([r["_order"] for r, ok in zip(sizes, fits.tolist(), strict=True) if ok], default=None)
     rows = held.where(F.col("_order") <= F.lit(last).cast("long")).orderBy("_order", "_id", "_text").limit(sample).toArrow()
-    return train([t or "" for t in rows.column("_text").to_pylist()], np.array(rows.column("_toxic").to_pylist(), bool))
+    texts, toxic = [t or "" for t in rows.column("_text").to_pylist()], np.array(rows.column("_toxic").to_pylist(), bool)
+    del rows, sizes
+    return train(texts, toxic)
 
 
 def held_out(id_col) -> F.Column:
