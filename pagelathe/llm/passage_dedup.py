@@ -1,22 +1,29 @@
-"""Repeated passages across documents: paragraph MinHash banding, exact Jaccard, components.
+"""Repeated passages across documents: paragraph MinHash banding, exact Jaccard, components, aligned pairs.
 
-1. Texts are cut into paragraphs (lines of at least LINE_WORDS words) and, as passages need not begin
-   and end with a line, into chunks of a few words whose ends depend on the words around them only.
+1. Texts are cut into paragraphs of at least LINE_WORDS words (lines, and blocks of lines between blank
+   ones, so wrapped lines are joined) and, as passages need not begin and end with a line, into chunks
+   of a few words whose ends depend on the words around them only.
 2. Paragraphs and chunks that are equal word by word are one class. Chunks are compared for
    equality only: with five-word shingles one changed word leaves them far below the threshold.
 3. Classes of paragraphs get BANDS bands of ROWS MinHash values. Classes that collide in a band are
    compared in blocks and confirmed by exact Jaccard on their full shingle sets (`minhash.resolve`).
 4. Linked paragraphs are one component. Of each component, and of each repeated chunk, the document with
-   the smallest id keeps its copy. In each document, pieces to remove that touch or nearly touch are one
-   passage, and so are pieces to keep; passages of at least PASSAGE_WORDS words are returned. So nothing
-   is removed that no earlier document holds.
+   the smallest id keeps its copy.
+5. Near copies need not be paragraphs. Where a document shares chunks of SEED_WORDS words or more with the
+   document that keeps them, at about the same distance from each other, the two texts there and MARGIN
+   bytes around are aligned by all their common shingles. Each run of equal words is followed word by
+   word to its ends, and runs are joined while the exact Jaccard of the joined stretches is PERCENT or
+   more (`aligned`). Stretches of at least LINE_WORDS words count like paragraphs.
+6. In each document, pieces to remove that touch or nearly touch are one passage, and so are pieces to
+   keep; passages of at least PASSAGE_WORDS words are returned. So nothing is removed of which no earlier
+   document holds a copy or a near copy.
 
-A pair of paragraphs at 0.8 is missed by all bands with probability 0.003. Of a run of words that two
-documents share, the chunks between its first and last own end are found; a few words at its ends can be
-left out.
+A pair of paragraphs at 0.8 is missed by all bands with probability 0.003. A passage that stands inside
+longer lines is missed if no chunk of it is shared; its ends are exact where it is aligned.
 
 Scale: one narrow row a chunk is shuffled; counts are combined on the map side, so a passage that a third
-of all documents hold is one row a task. Whole texts are shuffled once, for the paragraphs to confirm.
+of all documents hold is one row a task. Whole texts are shuffled once, for the paragraphs to confirm and
+the stretches to align; of these the pairs' texts are shuffled again, a copy with its keeper's.
 
 Defined results: null or empty texts have no passages; rows with a null id are left out, as nothing
 could name them; rows that repeat an id are one document, and what repeats only inside a document does
@@ -42,6 +49,10 @@ PASSAGE_WORDS = 30
 GAP_WORDS = 8
 BANDS, ROWS = 8, 3
 SIZE, PERCENT = 5, 80
+#: Words that a document must share with a keeper to be aligned with it, and bytes around them that are looked at.
+SEED_WORDS, MARGIN = 8, 1024
+#: Words between seeds, and shifts between them, over which texts are aligned; words of a run that may shift them further.
+FAR, SURE = 48, 16
 
 _UNITS = "id long, line boolean, first int, words int, start int, size int, h1 long, h2 long, bands array<long>"
 
@@ -108,9 +119,15 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             newline[:-1] = breaks[starts[1:]] > breaks[ends[:-1]]
             newline[first[1:][sizes > 0] - 1] = True
             stops = np.flatnonzero(newline) + 1
-            for line, (a, b) in ((True, (np.concatenate(([0], stops[:-1])), stops)), (False, chunks(mix(hashes), first))):
+            blank = newline.copy()
+            blank[:-1] &= breaks[starts[1:]] > breaks[ends[:-1]] + 1
+            blank[first[1:][sizes > 0] - 1] = True
+            block_stops = np.flatnonzero(blank) + 1
+            block_starts = np.concatenate(([0], block_stops[:-1]))
+            folded = np.add.reduceat(newline, block_starts, dtype=np.int64) > 1  # a block of one line is that line
+            for line, whole, (a, b) in ((True, True, (np.concatenate(([0], stops[:-1])), stops)), (True, folded, (block_starts, block_stops)), (False, True, chunks(mix(hashes), first))):
                 h1, h2 = _hashes(hashes, a, b)
-                keep = np.flatnonzero(told[doc[a]] & (b - a >= (LINE_WORDS if line else 1)))
+                keep = np.flatnonzero(told[doc[a]] & (b - a >= (LINE_WORDS if line else 1)) & whole)
                 if not len(keep):
                     continue
                 a, b = a[keep], b[keep]
@@ -122,6 +139,113 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, _KINDS.values(), strict=True)], list(_KINDS))
 
 
+def _runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first in a, first in b, words) of runs of SIZE equal words or more, in the order of `a`.
+
+    A run goes on along its shift as far as words are equal; short ones that shift by more than FAR are left out.
+    """
+    ga, gb = ngrams(a, SIZE), ngrams(b, SIZE)
+    out: list[tuple[int, int, int]] = []
+    if not len(ga) or not len(gb):
+        return out
+    values, where = np.unique(gb, return_index=True)
+    at = np.minimum(np.searchsorted(values, ga), len(values) - 1)
+    hits = np.flatnonzero(values[at] == ga)
+    place = where[at]
+    k, shift = 0, None
+    while k < len(hits):
+        i = int(hits[k])
+        j = int(place[i])
+        if shift is not None and 0 <= i + shift < len(gb) and gb[i + shift] == ga[i]:
+            j = i + shift
+        n, step = 1, 64
+        while step:
+            m = min(step, len(ga) - i - n, len(gb) - j - n)
+            same = ga[i + n : i + n + m] == gb[j + n : j + n + m]
+            good = m if same.all() else int(np.argmin(same))
+            n += good
+            step = step * 2 if m and good == m else 0
+        if shift is None or abs(j - i - shift) <= FAR or n + SIZE - 1 >= SURE:
+            out.append((i, j, n + SIZE - 1))
+            shift = j - i
+        k = int(np.searchsorted(hits, i + n))
+    return out
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first in a, end in a, first in b, end in b) of stretches of word hashes with exact Jaccard of PERCENT or more.
+
+    Runs of equal words are joined over at most FAR words; where the joined stretches are less alike
+    than that, they are parted at the widest gap.
+    """
+    runs = np.array(_runs(a, b), np.int64).reshape(-1, 3)
+    if not len(runs):
+        return []
+    ga, gb = ngrams(a, SIZE), ngrams(b, SIZE)
+    a0, b0, n = runs.T
+    gaps = np.maximum(a0[1:] - (a0 + n)[:-1], np.abs((b0 - a0)[1:] - (b0 - a0)[:-1]))
+    shared = np.concatenate(([0], np.cumsum(n - SIZE + 1)))
+    cuts = [0, *(np.flatnonzero(gaps > FAR) + 1).tolist(), len(runs)]
+    todo, out = list(zip(cuts[:-1], cuts[1:], strict=True)), []
+    while todo:
+        i, j = todo.pop()
+        p, q, r, s = int(a0[i]), int((a0 + n)[i:j].max()), int(b0[i:j].min()), int((b0 + n)[i:j].max())
+        if j - i > 1:
+            both, all_ = int(shared[j] - shared[i]), q - p + s - r - 2 * (SIZE - 1)
+            fits = 100 * both >= PERCENT * (all_ - both)  # quick; the sets decide
+            if fits:
+                one, two = np.unique(ga[p : q - SIZE + 1]), np.unique(gb[r : s - SIZE + 1])
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                fits = 100 * both >= PERCENT * (len(one) + len(two) - both)
+            if not fits:
+                cut = i + 1 + int(np.argmax(gaps[i : j - 1]))
+                todo += [(i, cut), (cut, j)]
+                continue
+        out.append((p, q, r, s))
+    return out
+
+
+_NEAR = {"id": pa.int64(), "removed": pa.bool_(), "first": pa.int32(), "words": pa.int32(), "start": pa.int32(), "size": pa.int32(), "keep": pa.int64()}
+
+
+def _whole_words(cut: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashes, starts and ends in the document's bytes, and first word's number, of the words that the cut has whole."""
+    data = np.frombuffer(cut["text"], np.uint8)
+    hashes, starts, ends, _ = words(data, np.array([0, len(data)]))
+    seed = int(np.searchsorted(starts, cut["start"] - cut["base"]))
+    head = int(len(starts) > 0 and cut["base"] > 0 and starts[0] == 0)
+    tail = len(starts) - int(len(starts) > 0 and cut["more"] and ends[-1] == len(data))
+    return hashes[head:tail], starts[head:tail] + cut["base"], ends[head:tail] + cut["base"], cut["first"] - seed + head
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = _whole_words(one), _whole_words(two)
+            for p, q, r, s in aligned(a[0], b[0]):
+                # Stretches without a seed are found by the pair that has one.
+                if q - p >= LINE_WORDS and a[1][p] < one["seeds_end"] and a[2][q - 1] > one["start"]:
+                    for cut, (_, starts, ends, number), x, y in ((one, a, p, q), (two, b, r, s)):
+                        rows.append((cut["id"], cut is one, number + x, y - x, int(starts[x]), int(ends[y - 1] - starts[x]), two["id"]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_NEAR.values())], list(_NEAR))
+
+
+def _pairs(hits: DataFrame) -> DataFrame:
+    """Stretches to align: of a document (id) and of the one that keeps its chunks (keep), each by first word and bytes."""
+    own = hits.where("id = keep").groupBy(F.col("h1").alias("of_h1")).agg(F.min("first").alias("k_first"), F.min("start").alias("k_start"), F.min("size").alias("k_size"))
+    seeds = hits.where("id > keep").join(own, F.col("h1") == F.col("of_h1")).select("id", "keep", "first", "words", "start", "size", "k_first", "k_start", "k_size", (F.col("k_first") - F.col("first")).alias("shift"))
+    by_pair = Window.partitionBy("id", "keep").orderBy("first", "k_first")
+    apart = (F.col("first") - F.lag(F.col("first") + F.col("words")).over(by_pair) > FAR) | (F.abs(F.col("shift") - F.lag("shift").over(by_pair)) > FAR)
+    seeds = seeds.withColumn("fresh", F.coalesce(apart.cast("int"), F.lit(1)))
+    seeds = seeds.withColumn("stretch", F.sum("fresh").over(by_pair.rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = seeds.groupBy("id", "keep", "stretch").agg(
+        F.sum("words").alias("weight"), F.min("first").alias("first"), F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("stop"),
+        F.min("k_first").alias("k_first"), F.min("k_start").alias("k_start"), F.max(F.col("k_start") + F.col("k_size")).alias("k_stop"),
+    )
+    return pairs.where(f"weight >= {SEED_WORDS}").drop("weight", "stretch")
+
+
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Repeated passages: id, start_byte, end_byte, n_words, component_id, removed.
 
@@ -134,7 +258,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n = units.count()
     ends = [F.min("id").alias("low"), F.max("id").alias("high")]
     # Chunks must repeat in another document; paragraphs may also have near copies.
-    short = units.where("NOT line").groupBy("h1").agg(*ends).where("low < high").select(F.lit(False).alias("line"), "h1", F.lit(0).cast("long").alias("h2"), "low", "high")
+    short = units.where("NOT line").groupBy("h1").agg(*ends).where("low < high").select(F.col("h1").alias("k1"), F.col("low").alias("keep"))
+    short = materialize(short, "repeated-chunks", n)
+    chunk_hits = units.where("NOT line").join(short.hint("merge"), F.col("h1") == F.col("k1")).select("h1", "id", "first", "words", "start", "size", "keep")
+    chunk_hits = materialize(chunk_hits, "chunk-hits", n)
+    pairs = materialize(_pairs(chunk_hits).withColumn("pair", F.monotonically_increasing_id()), "pairs", n)
     lines = units.where("line").groupBy("h1", "h2").agg(*ends, F.min(F.struct("id", "start", "size")).alias("at"), F.any_value("bands").alias("bands"))
     lines = materialize(lines.withColumn("cls", F.monotonically_increasing_id()), "line-classes", n)
 
@@ -142,18 +270,29 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     regions = spots.groupBy(F.col("region").alias("of_region")).agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("first"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("m > 1")
     regions = regions.groupBy("m", "first", "who").agg(F.min("of_region").alias("of_region"))
     members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("cls").alias("id"), F.xxhash64("cls").alias("deep")), "line-members", n)
-    wanted = members.select(F.col("id").alias("cls")).distinct().join(lines.select("cls", "at"), "cls").select("cls", F.col("at.id").alias("of_id"), F.col("at.start").alias("start"), F.col("at.size").alias("size"))
-    cut = F.decode(F.substring(F.encode("text", "UTF-8"), F.col("start") + 1, F.col("size")), "UTF-8")
-    told = texts.join(wanted.hint("merge"), F.col("id") == F.col("of_id")).select("cls", cut.alias("text")).groupBy(F.col("cls").alias("id")).agg(F.min("text").alias("text"))
+    wanted = members.select(F.col("id").alias("cls")).distinct().join(lines.select("cls", "at"), "cls")
+    none = F.lit(None).cast("int")
+    wanted = wanted.select(F.lit(None).cast("boolean").alias("copy"), F.col("cls").alias("key"), F.col("at.id").alias("of_id"), F.col("at.start").alias("base"), F.col("at.size").alias("stop"), none.alias("first"), none.alias("start"))
+    wanted = wanted.withColumn("stop", F.col("base") + F.col("stop"))
+    for copy, (of_id, first, start, stop) in ((True, ("id", "first", "start", "stop")), (False, ("keep", "k_first", "k_start", "k_stop"))):
+        base = F.greatest(F.col(start) - MARGIN, F.lit(0))
+        wanted = wanted.unionByName(pairs.select(F.lit(copy).alias("copy"), F.col("pair").alias("key"), F.col(of_id).alias("of_id"), base.alias("base"), (F.col(stop) + MARGIN).alias("stop"), F.col(first).alias("first"), F.col(start).alias("start")))
+    cut = F.substring(F.col("text").cast("binary"), F.col("base") + 1, F.col("stop") - F.col("base"))
+    cuts = texts.join(wanted.hint("merge"), F.col("id") == F.col("of_id")).select("copy", "key", "id", "base", "first", "start", (F.col("stop") - MARGIN).alias("seeds_end"), (F.octet_length("text") > F.col("stop")).alias("more"), cut.alias("text"))
+    cuts = materialize(cuts, "cuts")
+    told = cuts.where("copy IS NULL").groupBy(F.col("key").alias("id")).agg(F.min(F.decode("text", "UTF-8")).alias("text"))
     near = resolve(members, materialize(told, "line-texts"), SIZE, PERCENT)
+    sides = [F.min(F.when(F.col("copy") == F.lit(c), F.struct("id", "base", "first", "start", "seeds_end", "more", "text"))).alias(name) for c, name in ((True, "one"), (False, "two"))]
+    both = cuts.where("copy IS NOT NULL").groupBy("key").agg(*sides).where("one IS NOT NULL AND two IS NOT NULL").select("one", "two")
+    stretches = both.mapInArrow(_near, "id long, removed boolean, first int, words int, start int, size int, keep long")
     grouped = lines.join(near, F.col("cls") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "cls"))
     grouped = materialize(grouped.select("h1", "h2", "grp", "low", "high"), "line-groups", n)
     spread = materialize(grouped.groupBy(F.col("grp").alias("of_grp")).agg(F.min("low").alias("keep"), F.max("high").alias("last_id")).where("keep < last_id").select("of_grp", "keep"), "line-spread", n)
-    repeated = grouped.join(spread, F.col("grp") == F.col("of_grp")).select(F.lit(True).alias("line"), "h1", "h2", "keep")
-    keys = repeated.unionByName(short.select("line", "h1", "h2", F.col("low").alias("keep")))
-    keys = materialize(keys.select(F.col("line").alias("k_line"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keep"), "repeated")
-    hits = units.join(keys.hint("merge"), (F.col("line") == F.col("k_line")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    hits = hits.select("id", F.col("keep") < F.col("id"), "first", "words", "start", "size", "keep").toDF("id", "removed", "first", "words", "start", "size", "keep")
+    repeated = grouped.join(spread, F.col("grp") == F.col("of_grp")).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keep")
+    keys = materialize(repeated, "repeated", n)
+    line_hits = units.where("line").join(keys.hint("merge"), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    told = ["id", (F.col("keep") < F.col("id")).alias("removed"), "first", "words", "start", "size", "keep"]
+    hits = line_hits.select(*told).unionByName(chunk_hits.select(*told)).unionByName(stretches)
 
     # What an earlier document holds and what this one keeps are passages of their own.
     by_doc = Window.partitionBy("id", "removed").orderBy("first", "words", "start", "size", "keep")
@@ -163,6 +302,15 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     key = ["id", "removed", "island"]
     parts = islands.groupBy(*key, "keep").agg(F.sum("words").alias("weight"), F.min("first").alias("first"), F.max(F.col("first") + F.col("words")).alias("last"), F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("stop"))
     found = parts.groupBy(*key).agg(
-        F.min("start").alias("start_byte"), F.max("stop").alias("end_byte"), (F.max("last") - F.min("first")).cast("long").alias("n_words"), F.max_by("keep", F.struct("weight", -F.col("keep"))).alias("component_id")
+        F.min("start").alias("start_byte"), F.max("stop").alias("end_byte"), F.min("first").alias("first"), F.max("last").alias("last"), (F.max("last") - F.min("first")).cast("long").alias("n_words"), F.max_by("keep", F.struct("weight", -F.col("keep"))).alias("component_id")
     )
-    return found.where(f"n_words >= {PASSAGE_WORDS}").select(F.col("id").alias(id_col), "start_byte", "end_byte", "n_words", "component_id", "removed")
+    # What is removed is not kept: a kept passage needs PASSAGE_WORDS words beside the removed ones before and after it.
+    around = Window.partitionBy("id").orderBy("first", F.desc("removed"))
+    gone = F.when(F.col("removed"), F.struct("first", "last"))
+    found = found.where(f"n_words >= {PASSAGE_WORDS}")
+    found = found.withColumn("prior", F.max(gone).over(around.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.min(gone).over(around.rowsBetween(1, Window.unboundedFollowing)))
+    # least and greatest pass over nulls
+    prior = F.greatest(F.least(F.coalesce("prior.last", "first"), "last") - F.col("first"), F.lit(0))
+    later = F.greatest(F.least(F.coalesce("next.last", "last"), "last") - F.coalesce("next.first", "last"), F.lit(0))
+    found = found.where(F.col("removed") | (F.col("n_words") - prior - later >= PASSAGE_WORDS))
+    return found.select(F.col("id").alias(id_col), "start_byte", "end_byte", "n_words", "component_id", "removed")

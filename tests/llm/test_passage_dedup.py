@@ -147,3 +147,63 @@ def test_repeats_inside_one_document_do_not_count(spark):
 
 def test_empty_table(spark):
     assert pd_.passages(empty(spark)).collect() == []
+
+
+def planted(spark, passage_of, pairs: int = 40):
+    """Found passages by document; pair k's passages are in documents 2k + 1 and 2k + 2, inside long lines."""
+    rng = random.Random(15)
+    rows = []
+    for _ in range(pairs):
+        rows += [f"{sentence(rng, 30)} {p} {sentence(rng, 30)}" for p in passage_of(rng)]
+    return rows, found(pd_.passages(documents(spark, rows, clashing=False)))
+
+
+def fresh_words(rng: random.Random, n: int) -> list[str]:
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n)]
+
+
+def test_near_copies_inside_longer_lines(spark):
+    """60 words with one changed word (Jaccard 0.84), without a line of their own."""
+
+    def passage(rng):
+        words = fresh_words(rng, 60)
+        return [" ".join(words), " ".join([*words[:30], "another", *words[31:]])]
+
+    rows, got = planted(spark, passage)
+    for k in range(1, len(rows), 2):
+        assert {(c, r) for _, _, c, r in got[k]} == {(k, False)}
+        assert {(c, r) for _, _, c, r in got[k + 1]} == {(k, True)}
+        assert covered(rows[k], got[k + 1]) >= set(range(30, 90))
+
+
+def test_near_copies_of_wrapped_paragraphs(spark):
+    """100 words with two changed words (0.81), wrapped at other places."""
+
+    def passage(rng):
+        words = fresh_words(rng, 100)
+        other = [*words[:33], "another", *words[34:66], "change", *words[67:]]
+        return ["\n\n" + "\n".join(" ".join(w[i : i + n]) for i in range(0, 100, n)) + "\n\n" for w, n in ((words, 10), (other, 12))]
+
+    rows, got = planted(spark, passage)
+    for k in range(1, len(rows), 2):
+        assert {(c, r) for _, _, c, r in got[k + 1]} == {(k, True)}
+        assert covered(rows[k], got[k + 1]) >= set(range(30, 130))
+
+
+def test_blocks_of_wrapped_lines_are_paragraphs():
+    text = "\n".join(f"a{i} b c d e f g h i j" for i in range(6))
+    table = pd_.pa.RecordBatch.from_arrays([pd_.pa.array([7]), pd_.pa.array([f"head\n\n{text}\n \ntail"])], ["id", "text"])
+    lines = [(u["first"], u["words"]) for b in pd_._units([table]) for u in b.to_pylist() if u["line"]]
+    assert lines == [(1, 60)]
+
+
+def test_alignment_needs_the_threshold():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+    b = a.copy()
+    b[45] = 1
+    assert pd_.aligned(a, b) == [(0, 90, 0, 90)]
+    b[[40, 50]] = 1
+    assert sorted(pd_.aligned(a, b)) == [(0, 40, 0, 40), (51, 90, 51, 90)]
+    assert pd_.aligned(a, np.concatenate([a[:60], b[40:42], a[60:]])) == [(0, 90, 0, 92)]
+    assert pd_.aligned(a, a[:4]) == []
