@@ -3,7 +3,8 @@
 Features of a whole text: densities of a lexicon of words and word beginnings, second-person words near
 lexicon words, capitals, punctuation, and obfuscation (letters replaced by digits or signs). The
 lexicon, the trees and the calibration are learned here from labelled rows: a bounded sample of SAMPLE
-rows by hash of the id, with SAMPLE_BYTES of text.
+rows by hash of the id, with SAMPLE_BYTES of text. Texts of more than TEXT_BYTES are taken last, and a
+text that does not fit is passed over, so a few very long ones do not use up the sample.
 
 Labels, lang, source and doc_id are no inputs of a score. Rows whose crc32 of the id mod 3 is 1 are
 held out of learning.
@@ -26,13 +27,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.runtime import ship_package
 
 #: Bounds of the sample: rows, and bytes of their texts.
 SAMPLE, SAMPLE_BYTES = 8_000, 32 << 20
+#: Texts above are learned from only as far as the others leave room.
+TEXT_BYTES = 128 << 10
 CUT = 0.7
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 FOLDS = 3
@@ -284,20 +287,57 @@ def train(texts: list[str], toxic: np.ndarray) -> Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
-    """Learn from at most `sample` labelled rows that are not held out, in the order of a hash, and of those from as many as have SAMPLE_BYTES of text."""
+    """Learn from at most `sample` labelled rows that are not held out, with SAMPLE_BYTES of text, in the order of a hash.
+
+    Where rows are passed over, further ids are looked at until the rows or half of the bytes are used.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).alias("_toxic"))
-    chosen = known.where(~held_out(F.col("_id"))).withColumn("_order", F.xxhash64("_id", F.lit("sample"))).orderBy("_order", "_id").limit(sample)
-    held = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_order", "_id", F.col(text_col).alias("_text"), "_toxic")
-    # The limits hold for rows that repeat an id, too.
-    sizes = held.select("_order", F.coalesce(F.octet_length("_text"), F.lit(0)).alias("n")).orderBy("_order", "n").limit(sample).collect()
-    fits = np.cumsum([r["n"] for r in sizes]) <= SAMPLE_BYTES
-    last = max([r["_order"] for r, ok in zip(sizes, fits.tolist(), strict=True) if ok], default=None)
-    rows = held.where(F.col("_order") <= F.lit(last).cast("long")).orderBy("_order", "_id", "_text").limit(sample).toArrow()
-    texts, toxic = [t or "" for t in rows.column("_text").to_pylist()], np.array(rows.column("_toxic").to_pylist(), bool)
-    del rows, sizes
+    known = known.where(~held_out(F.col("_id"))).withColumn("_order", F.xxhash64("_id", F.lit("sample")))
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).alias("_size")
+    seen: list[tuple[int, int]] = []  # order and bytes of the rows that may be taken
+    tables, after = [], None
+    while True:
+        rest = known if after is None else known.where(F.struct("_order", "_id") > F.struct(F.lit(after[0]).alias("_order"), F.lit(after[1]).cast(known.schema["_id"].dataType).alias("_id")))
+        chosen = rest.orderBy("_order", "_id").limit(sample)
+        held = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_order", "_id", F.col(text_col).alias("_text"), "_toxic").withColumn("_size", size)
+        tables.append(held)
+        # The limits hold for rows that repeat an id, too.
+        found = [(r["_order"], r["_size"]) for r in held.select("_order", "_size").orderBy("_order", "_size").limit(sample).collect()]
+        seen += found
+        taken = fitting(seen, sample)
+        if len(taken) >= sample or sum(n for _, n in taken) >= SAMPLE_BYTES // 2 or len(taken) == len(seen):
+            break
+        seen = [r for r in seen if r[1] <= SAMPLE_BYTES]
+        ends = chosen.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("_order", "_id")).alias("last")).first()
+        if ends["n"] < sample:
+            break
+        after = ends["last"]
+    rows = []
+    spark = docs.sparkSession
+    picked = F.broadcast(spark.createDataFrame([(*r, k) for r, k in Counter(taken).items()], "_o long, _n long, _k long"))
+    same = Window.partitionBy("_order", "_size").orderBy("_id", "_text")
+    for held in tables:
+        part = held.join(picked, (F.col("_order") == F.col("_o")) & (F.col("_size") == F.col("_n")))
+        part = part.withColumn("_nth", F.row_number().over(same)).where("_nth <= _k").select("_order", "_id", "_text", "_toxic")
+        part = part.orderBy("_order", "_id", "_text").limit(sample).toArrow()
+        rows += zip(part.column("_text").to_pylist(), part.column("_toxic").to_pylist(), strict=True)
+        del part
+    texts, toxic = [t or "" for t, _ in rows], np.array([y for _, y in rows], bool)
+    del rows, seen, taken
     return train(texts, toxic)
 
 
+def fitting(rows: list[tuple[int, int]], sample: int, most: int | None = None, long: int | None = None) -> list[tuple[int, int]]:
+    """The (order, bytes) that are taken: texts of up to `long` bytes first, none that would bring the sum over `most`."""
+    most, long = SAMPLE_BYTES if most is None else most, TEXT_BYTES if long is None else long
+    out, used = [], 0
+    for row in sorted(rows, key=lambda r: r[1] > long):
+        if len(out) < sample and used + row[1] <= most:
+            out.append(row)
+            used += row[1]
+    return out
+
+
 def held_out(id_col) -> F.Column:
     """Whether the crc32 of the id as text has remainder 1 by 3; false for a null id."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))

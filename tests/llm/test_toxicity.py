@@ -91,3 +91,22 @@ def test_hidden_spellings():
     for told in ("v1lla1n", "v.i.l.l.a.i.n", "viiillain", "VILLAIN!", "v!lla!n"):
         assert known.bits(told) & (toxicity.LEXICON | toxicity.HIDDEN)
     assert not known.bits("villa") & (toxicity.LEXICON | toxicity.HIDDEN)
+
+
+def test_very_long_texts_do_not_use_up_the_sample(spark, monkeypatch):
+    """The first rows in hash order are over the bound, or fill most of it; the others are still learned from."""
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 40_000)
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 1_000)
+    ids = [r["id"] for r in spark.range(400).where(~toxicity.held_out(F.col("id"))).orderBy(F.xxhash64("id", F.lit("sample"))).collect()]
+    texts = {i: ("awful vile words here" if k % 2 else "a kind and quiet text") + f" number {i}" for k, i in enumerate(ids)}
+    texts[ids[0]], texts[ids[1]], texts[ids[2]] = "long " * 9_000, "long " * 7_999, "long " * 7_998
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, k % 2) for k, i in enumerate(ids)], LABELS)
+    learned = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: learned.append((texts, toxic)))
+    toxicity.fit(docs, labels)
+    assert learned[0][0] == [texts[i] for i in ids[3:]]
+    assert learned[0][1].tolist() == [k % 2 == 1 for k in range(3, len(ids))]
+    toxicity.fit(docs, labels, sample=50)  # goes on after the first ids
+    assert len(learned[1][0]) == 50
+    assert learned[1][0] == [texts[i] for i in ids[3:53]]
