@@ -209,12 +209,12 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     least = made.where("digest IS NOT NULL AND id IS NOT NULL").groupBy(F.col("digest").alias("of")).agg(F.min("id").alias("rep"))
     n = made.count()
     least = materialize(least, "least", n)  # apart from the join, which can then be split for a hot digest
-    mapped = materialize(made.join(least, F.col("digest") == F.col("of"), "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys")), "classes", n * TREES)
+    mapped = materialize(made.join(least, F.col("digest") == F.col("of"), "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys"), F.xxhash64("digest").alias("mark")), "classes", n * TREES)
 
-    heads = mapped.where("keys IS NOT NULL").groupBy("rep").agg(F.any_value("keys").alias("keys"))
-    spots = heads.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.get("keys", t * 2).alias("region"), F.get("keys", t * 2 + 1).alias("deep")))).alias("s")).select("rep", "s.region", "s.deep")
+    heads = mapped.where("keys IS NOT NULL").groupBy("rep", "mark").agg(F.any_value("keys").alias("keys"))
+    spots = heads.select("rep", "mark", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.get("keys", t * 2).alias("region"), F.get("keys", t * 2 + 1).alias("deep")))).alias("s")).select("rep", "mark", "s.region", "s.deep")
     spots = materialize(spots, "forest", n * TREES)
-    regions = spots.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("m > 1")
+    regions = spots.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep", "mark")).alias("who")).where("m > 1")
     # Regions that several trees found with the same members
     regions = regions.groupBy("m", "low", "who").agg(F.min("region").alias("of_region")).select("of_region", "m")
     members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("rep").alias("id"), "deep"), "members", n * TREES)
@@ -223,7 +223,13 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     wanted = members.select("id").distinct()
     candidates = materialize(texts.join(wanted.hint("merge"), "id", "left_semi"), "candidate-texts")
     found = resolve(members, candidates, size, percent)
-    out = mapped.join(found, mapped["rep"] == found["node"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    # The classes of an id's rows are one node.
+    nodes = mapped.where("id IS NOT NULL").select("id", F.coalesce("rep", "id").alias("rep"))
+    several = nodes.groupBy(F.col("id").alias("of_id")).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    ties = materialize(nodes.where("id <> rep").join(several, F.col("id") == F.col("of_id"), "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")), "ties", n)
+    if not ties.isEmpty():
+        found = components(materialize(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(ties), "tied", n))
+    out = mapped.join(found, F.coalesce(mapped["rep"], mapped["id"]) == found["node"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 

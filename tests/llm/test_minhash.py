@@ -80,3 +80,16 @@ def test_empty_table(spark):
 
 def test_query_equals_its_oracle(spark):
     assert spark_rows(op2_minhash(spark, SMALL)) == duck_rows(minhash.ORACLE)
+
+
+def test_a_repeated_id_has_the_links_of_each_of_its_texts(spark):
+    """Both texts of id 2 are looked for, and its rows are one node."""
+    rng = random.Random(21)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    held = [(2, a), (2, b), (3, f"{a} more"), (4, f"{b} more"), (5, sentence(rng, 60)), (1, sentence(rng, 60))]
+    docs = spark.createDataFrame(held, "doc_id long, text string")
+    assert rows_of(minhash.assign(docs)) == sorted(brute.near_duplicates(held, 5, 80), key=str)
+    held = [(1, a), (2, a), (2, b), (4, f"{b} more")]
+    docs = spark.createDataFrame(held, "doc_id long, text string")
+    assert {(r["component_id"], r["kept"]) for r in minhash.assign(docs).collect() if r["doc_id"] == 2} == {(1, False)}
+    assert [r["doc_id"] for r in minhash.drop_near_duplicates(docs).collect()] == [1]
