@@ -207,3 +207,11 @@ def test_alignment_needs_the_threshold():
     assert sorted(pd_.aligned(a, b)) == [(0, 40, 0, 40), (51, 90, 51, 90)]
     assert pd_.aligned(a, np.concatenate([a[:60], b[40:42], a[60:]])) == [(0, 90, 0, 92)]
     assert pd_.aligned(a, a[:4]) == []
+
+
+def test_short_exact_passages_are_followed_to_their_ends(spark):
+    """Exact runs of 30 words that two documents share are whole, though their outer chunks differ."""
+    rows, got = planted(spark, lambda rng: [" ".join(fresh_words(rng, 30))] * 2, 60)
+    for k in range(1, len(rows), 2):
+        assert {(c, r) for _, _, c, r in got[k + 1]} == {(k, True)}
+        assert covered(rows[k], got[k + 1]) >= set(range(30, 60))
