@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Narrow rows that one file of an intermediate table holds.
 ROWS_PER_FILE = 1 << 18
+#: Fewer are not worth another task.
+ROWS_PER_TASK = 1 << 13
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -46,7 +51,8 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is spark.checkpoint.dir; only where that is unset (tests, one machine) a local one is made.
+    It is spark.checkpoint.dir; only where that is unset and all runs in one process (tests, one machine)
+    a local one is made. On a cluster an unset folder is an error, as executors would not see each other's files.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -54,6 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagelathe-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -63,15 +71,31 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     """Write `df` as Parquet in the shared folder and read it back.
 
     Cuts the lineage and freezes generated ids; the files outlive lost executors. `rows` is a bound of the
-    number of its (narrow) rows, where one is known: few rows then go to few files, a task for each core
-    at least, instead of a tiny file for every shuffle partition.
+    number of its (narrow) rows, where one is known: few rows then go to few files instead of a tiny file
+    for every shuffle partition, a task for each core if there are rows enough. What the write shuffled is deleted
+    when it has ended, as nothing reads it again.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
+        cores = min(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+        df = df.coalesce(max(1, cores, -(-rows // ROWS_PER_FILE)))
     path = f"{shared_dir(spark)}/pagelathe/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pagelathe_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` has written and that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table._pagelathe_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def free_name(df: DataFrame, base: str) -> str:
