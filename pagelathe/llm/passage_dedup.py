@@ -1,29 +1,30 @@
-"""Repeated passages across documents: paragraph MinHash banding, exact Jaccard, components, aligned pairs.
-
-1. Texts are cut into paragraphs of at least LINE_WORDS words (lines, and blocks of lines between blank
-   ones, so wrapped lines are joined) and, as passages need not begin and end with a line, into chunks
-   of a few words whose ends depend on the words around them only.
-2. Paragraphs and chunks that are equal word by word are one class. Chunks are compared for
-   equality only: with five-word shingles one changed word leaves them far below the threshold.
-3. Classes of paragraphs get BANDS bands of ROWS MinHash values. Classes that collide in a band are
-   compared in blocks and confirmed by exact Jaccard on their full shingle sets (`minhash.resolve`).
-4. Linked paragraphs are one component. Of each component, and of each repeated chunk, the document with
-   the smallest id keeps its copy.
-5. Near copies need not be paragraphs. Where a document shares chunks of SEED_WORDS words or more with the
-   document that keeps them, at about the same distance from each other, the two texts there and MARGIN
-   bytes around are aligned by all their common shingles. Each run of equal words is followed word by
-   word to its ends, and runs are joined while the exact Jaccard of the joined stretches is PERCENT or
-   more (`aligned`). Stretches of at least LINE_WORDS words count like paragraphs.
-6. In each document, pieces to remove that touch or nearly touch are one passage, and so are pieces to
-   keep; passages of at least PASSAGE_WORDS words are returned. So nothing is removed of which no earlier
-   document holds a copy or a near copy.
-
-A pair of paragraphs at 0.8 is missed by all bands with probability 0.003. A passage that stands inside
-longer lines is missed if no chunk of it is shared; its ends are exact where it is aligned.
-
-Scale: one narrow row a chunk is shuffled; counts are combined on the map side, so a passage that a third
-of all documents hold is one row a task. Whole texts are shuffled once, for the paragraphs to confirm and
-the stretches to align; of these the pairs' texts are shuffled again, a copy with its keeper's.
+"""Repeated passages across documents: paragraph MinHash banding, exact Jaccard, components.
+
+1. A passage need not begin or end with a line, so every run of PARAGRAPH words of a document is a paragraph.
+   Its MinHash is the least hash of its runs of SEED words; neighbours mostly share it, so a document
+   keeps each minimum once, with its place (`marks`; about one for seven words).
+2. Bands are tuned for recall: one band of one row, as a paragraph must not be missed. Equal
+   paragraphs always collide. Near copies of 0.8 on five-word shingles do, too: every change of a word costs
+   nine shingles of the union, so two passages of PASSAGE_WORDS words or more that alike have 20 equal words
+   in a row, which is a paragraph.
+3. Paragraphs that collide are joined: of each minimum the document with the smallest id is the keeper, and
+   every other document that holds it is compared with the keeper. So a minimum that n documents hold
+   makes n - 1 pairs. Collisions of two documents at about the same distance are one stretch.
+4. Stretches are verified on the words themselves: all common five-word runs are followed word by word to
+   their ends, and runs are joined while the exact Jaccard of the joined stretches is PERCENT or more
+   (`aligned`). Only verified stretches of PARAGRAPH words or more count.
+5. In each document, verified stretches that touch are one passage, those that an earlier document holds
+   (`removed`) apart from those that it keeps for later ones. Passages are clustered by the verified
+   links between them, as connected components.
+
+So each word of a removed passage stands in a verified stretch of an earlier document, and every run of
+PARAGRAPH words that an earlier document holds is in a stretch. A near copy is compared with the earliest
+document of each minimum that they share, not with all.
+
+Scale: one narrow row a minimum is shuffled, with counts combined on the map side, so a passage that a third of
+all documents hold is one row a task. Only rows of repeated minima go on. Of texts only the verified
+stretches travel, the keeper's once for all its copies. Joins are between written tables, so adaptive
+execution can split hot keys. What a step has written is deleted when the next one has read it.
 
 Defined results: null or empty texts have no passages; rows with a null id are left out, as nothing
 could name them; rows that repeat an id are one document, and what repeats only inside a document does
@@ -39,104 +40,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelathe.llm.minhash import resolve
-from pagelathe.llm.shingles import mix, ngrams, pieces, range_minima, words
-from pagelathe.runtime import materialize, ship_package
+from pagelathe.llm.components import components
+from pagelathe.llm.shingles import ngrams, pieces, words
+from pagelathe.runtime import materialize, release, ship_package
 
-LINE_WORDS = 20
-REACH, LONGEST = 3, 32
+#: Words of a paragraph, and of the runs whose hashes its MinHash is the least of.
+PARAGRAPH, SEED = 20, 8
 PASSAGE_WORDS = 30
-GAP_WORDS = 8
-BANDS, ROWS = 8, 3
 SIZE, PERCENT = 5, 80
-#: Words that a document must share with a keeper to be aligned with it, and bytes around them that are looked at.
-SEED_WORDS, MARGIN = 8, 1024
+#: Words before and after a paragraph's minimum that are looked at; the paragraph's own are among them.
+BEFORE, AFTER = 40, 60
 #: Words between seeds, and shifts between them, over which texts are aligned; words of a run that may shift them further.
 FAR, SURE = 48, 16
 
-_UNITS = "id long, line boolean, first int, words int, start int, size int, h1 long, h2 long, bands array<long>"
+_MARKS = "id long, row int, key long, first int, lo int, hi int"
+_MARK_TYPES = {"id": pa.int64(), "row": pa.int32(), "key": pa.int64(), "first": pa.int32(), "lo": pa.int32(), "hi": pa.int32()}
 
 
-_BANDS = pa.list_(pa.int64())
-_KINDS = {"id": pa.int64(), "line": pa.bool_(), "first": pa.int32(), "words": pa.int32(), "start": pa.int32(), "size": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "bands": _BANDS}
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """pick (np.minimum or np.maximum) of every `width` values in a row."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = pick(values[:-step], values[step:])
+        done += step
+    return values
 
 
-def chunks(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and stops of runs of words that end at the smallest of the values REACH to its left and right.
+def marks(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words at which the least run of some paragraph begins, and the runs' hashes.
 
-    `first` has the first word of each document, with the total last; no run crosses a document's end.
-    Where a run of words is repeated, its ends are found again whatever stands around it. Equal
-    values, of which the first counts, make long chunks; those are cut after LONGEST words.
+    `first` has the first word of each document, with the total last; no paragraph crosses a document's
+    end. Of equal minima in a row (repeated words) one for PARAGRAPH words is kept.
     """
-    n = len(values)
-    place = np.arange(n) + REACH * (np.repeat(np.arange(len(first) - 1), np.diff(first)) + 1)
-    padded = np.full(n + REACH * len(first), np.iinfo(np.uint64).max, np.uint64)
-    padded[place] = values
-    around = np.lib.stride_tricks.sliding_window_view(padded, 2 * REACH + 1)[place - REACH]
-    last = (values <= around.min(axis=1)) & (values < around[:, :REACH].min(axis=1))
-    last[first[1:][np.diff(first) > 0] - 1] = True
-    stops = np.flatnonzero(last) + 1
-    starts = np.concatenate(([0], stops[:-1]))
-    cuts = -(-(stops - starts) // LONGEST)
-    nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    starts = np.repeat(starts, cuts) + nth * LONGEST
-    return starts, np.minimum(starts + LONGEST, np.repeat(stops, cuts))
-
-
-def _hashes(words_: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each of the runs, which lie side by side."""
-    lengths = stops - starts
-    powers = np.multiply.accumulate(np.full(int(lengths.max()), 0xD6E8FEB86659FD93, np.uint64))
-    weight = powers[np.arange(len(words_)) - np.repeat(starts, lengths)]
-    one = mix(np.add.reduceat(words_ * weight, starts))
-    two = mix(np.add.reduceat(mix(words_) * weight, starts) + lengths.astype(np.uint64))
-    return one.view(np.int64), two.view(np.int64)
-
-
-def _band_keys(words_: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
-    """The band keys of lines, each of ROWS MinHash values of its shingles."""
-    sig = range_minima(ngrams(words_, SIZE), starts, stops - SIZE + 1, BANDS * ROWS).astype(np.uint64).reshape(len(starts), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
-    for r in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(starts) + 1, BANDS), pa.int32()), pa.array(key.view(np.int64).ravel()))
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    grams = ngrams(hashes, SEED)
+    width = PARAGRAPH - SEED + 1
+    if len(grams) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    least = _sliding(grams, width, np.minimum)
+    ends = np.repeat(first[1:], np.diff(first))[: len(least)]
+    least[np.arange(len(least)) + PARAGRAPH > ends] = 0
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(grams == _sliding(np.concatenate([edge, least, edge]), width, np.maximum))
+    if not len(at):
+        return at, grams[at]
+    doc = np.searchsorted(first, at, "right")
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (grams[at[1:]] != grams[at[:-1]]) | (doc[1:] != doc[:-1]) | (np.diff(at) > PARAGRAPH)
+    nth = (at - at[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]) // PARAGRAPH
+    fresh[1:] |= nth[1:] != nth[:-1]
+    at = at[fresh]
+    return at, grams[at]
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for row0, data, bounds in pieces(batch.column(1)):
+        for row0, data, bounds in pieces(batch.column(2)):
             hashes, starts, ends, first = words(data, bounds)
-            n = len(hashes)
-            if not n:
-                continue
             sizes = np.diff(first)
-            own = ids.slice(row0, len(sizes))
-            told = own.is_valid().to_numpy(zero_copy_only=False) & (sizes >= PASSAGE_WORDS)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            breaks = np.concatenate(([0], np.cumsum(data == 10)))
-            newline = np.ones(n, bool)
-            newline[:-1] = breaks[starts[1:]] > breaks[ends[:-1]]
-            newline[first[1:][sizes > 0] - 1] = True
-            stops = np.flatnonzero(newline) + 1
-            blank = newline.copy()
-            blank[:-1] &= breaks[starts[1:]] > breaks[ends[:-1]] + 1
-            blank[first[1:][sizes > 0] - 1] = True
-            block_stops = np.flatnonzero(blank) + 1
-            block_starts = np.concatenate(([0], block_stops[:-1]))
-            folded = np.add.reduceat(newline, block_starts, dtype=np.int64) > 1  # a block of one line is that line
-            for line, whole, (a, b) in ((True, True, (np.concatenate(([0], stops[:-1])), stops)), (True, folded, (block_starts, block_stops)), (False, True, chunks(mix(hashes), first))):
-                h1, h2 = _hashes(hashes, a, b)
-                keep = np.flatnonzero(told[doc[a]] & (b - a >= (LINE_WORDS if line else 1)) & whole)
-                if not len(keep):
-                    continue
-                a, b = a[keep], b[keep]
-                d = doc[a]
-                cols = [
-                    own.take(pa.array(d)), np.full(len(keep), line), a - first[d], b - a, starts[a] - bounds[d], ends[b - 1] - starts[a], h1[keep], h2[keep] if line else np.zeros(len(keep), np.int64),
-                    _band_keys(hashes, a, b) if line else pa.nulls(len(keep), _BANDS),
-                ]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, _KINDS.values(), strict=True)], list(_KINDS))
+            own = batch.slice(row0, len(sizes))
+            at, keys = marks(hashes, first)
+            if not len(at):
+                continue
+            doc = np.searchsorted(first, at, "right") - 1
+            told = own.column(0).is_valid().to_numpy(zero_copy_only=False) & (sizes >= PASSAGE_WORDS)
+            at, keys, doc = at[told[doc]], keys[told[doc]], doc[told[doc]]
+            lo = starts[np.maximum(at - BEFORE, first[doc])] - bounds[doc]
+            hi = ends[np.minimum(at + AFTER, first[doc + 1]) - 1] - bounds[doc]
+            d = pa.array(doc)
+            cols = [own.column(0).take(d), own.column(1).take(d), keys.view(np.int64), at - first[doc], lo, hi]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, _MARK_TYPES.values(), strict=True)], list(_MARK_TYPES))
 
 
 def _runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
@@ -205,112 +178,130 @@ def aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]:
     return out
 
 
-_NEAR = {"id": pa.int64(), "removed": pa.bool_(), "first": pa.int32(), "words": pa.int32(), "start": pa.int32(), "size": pa.int32(), "keep": pa.int64()}
+_SIDE = ("id", "row", "first", "last", "start", "stop")
+_FOUND = [*_SIDE, *(f"k_{c}" for c in _SIDE)]
+_FOUND_TYPES = {c: pa.int64() if c.endswith("id") else pa.int32() for c in _FOUND}
 
 
-def _whole_words(cut: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Hashes, starts and ends in the document's bytes, and first word's number, of the words that the cut has whole."""
-    data = np.frombuffer(cut["text"], np.uint8)
-    hashes, starts, ends, _ = words(data, np.array([0, len(data)]))
-    seed = int(np.searchsorted(starts, cut["start"] - cut["base"]))
-    head = int(len(starts) > 0 and cut["base"] > 0 and starts[0] == 0)
-    tail = len(starts) - int(len(starts) > 0 and cut["more"] and ends[-1] == len(data))
-    return hashes[head:tail], starts[head:tail] + cut["base"], ends[head:tail] + cut["base"], cut["first"] - seed + head
+def _cut_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(text, np.uint8)
+    return words(data, np.array([0, len(data)]))[:3]
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: tuple = (None, None)
     for batch in batches:
         rows = []
         for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = _whole_words(one), _whole_words(two)
+            a = _cut_words(one["text"])
+            if known[0] != two["text"]:  # the copies of one stretch lie together
+                known = (two["text"], _cut_words(two["text"]))
+            b = known[1]
             for p, q, r, s in aligned(a[0], b[0]):
-                # Stretches without a seed are found by the pair that has one.
-                if q - p >= LINE_WORDS and a[1][p] < one["seeds_end"] and a[2][q - 1] > one["start"]:
-                    for cut, (_, starts, ends, number), x, y in ((one, a, p, q), (two, b, r, s)):
-                        rows.append((cut["id"], cut is one, number + x, y - x, int(starts[x]), int(ends[y - 1] - starts[x]), two["id"]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_NEAR.values())], list(_NEAR))
+                # Stretches without a minimum of this pair are verified by the pair that has one.
+                if q - p >= PARAGRAPH and s - r >= PARAGRAPH and p + one["first"] <= one["last_mark"] and q + one["first"] > one["first_mark"]:
+                    row: list[int] = []
+                    for cut, (_, starts, ends), x, y in ((one, a, p, q), (two, b, r, s)):
+                        row += [cut["id"], cut["row"], cut["first"] + x, cut["first"] + y, cut["base"] + int(starts[x]), cut["base"] + int(ends[y - 1])]
+                    rows.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_FOUND_TYPES.values())], _FOUND)
 
 
 def _pairs(hits: DataFrame) -> DataFrame:
-    """Stretches to align: of a document (id) and of the one that keeps its chunks (keep), each by first word and bytes."""
-    own = hits.where("id = keep").groupBy(F.col("h1").alias("of_h1")).agg(F.min("first").alias("k_first"), F.min("start").alias("k_start"), F.min("size").alias("k_size"))
-    seeds = hits.where("id > keep").join(own, F.col("h1") == F.col("of_h1")).select("id", "keep", "first", "words", "start", "size", "k_first", "k_start", "k_size", (F.col("k_first") - F.col("first")).alias("shift"))
-    by_pair = Window.partitionBy("id", "keep").orderBy("first", "k_first")
-    apart = (F.col("first") - F.lag(F.col("first") + F.col("words")).over(by_pair) > FAR) | (F.abs(F.col("shift") - F.lag("shift").over(by_pair)) > FAR)
+    """Stretches to verify: of a document (id, row) and of the keeper (k_id, k_row), each by words and bytes."""
+    own = hits.where("id = keep").groupBy(F.col("key").alias("of_key")).agg(F.min(F.struct("row", "first", "lo", "hi")).alias("own"))
+    seeds = hits.where("id > keep").join(own, F.col("key") == F.col("of_key"))
+    seeds = seeds.select("id", "row", "first", "lo", "hi", F.col("keep").alias("k_id"), F.col("own.row").alias("k_row"), F.col("own.first").alias("k_first"), F.col("own.lo").alias("k_lo"), F.col("own.hi").alias("k_hi"))
+    sides = ["id", "row", "k_id", "k_row"]
+    by_pair = Window.partitionBy(*sides).orderBy("first", "k_first")
+    shift = F.col("k_first") - F.col("first")
+    apart = (F.col("first") - F.lag("first").over(by_pair) > FAR + PARAGRAPH) | (F.abs(shift - F.lag(shift).over(by_pair)) > FAR)
     seeds = seeds.withColumn("fresh", F.coalesce(apart.cast("int"), F.lit(1)))
     seeds = seeds.withColumn("stretch", F.sum("fresh").over(by_pair.rowsBetween(Window.unboundedPreceding, 0)))
-    pairs = seeds.groupBy("id", "keep", "stretch").agg(
-        F.sum("words").alias("weight"), F.min("first").alias("first"), F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("stop"),
-        F.min("k_first").alias("k_first"), F.min("k_start").alias("k_start"), F.max(F.col("k_start") + F.col("k_size")).alias("k_stop"),
-    )
-    return pairs.where(f"weight >= {SEED_WORDS}").drop("weight", "stretch")
+    return seeds.groupBy(*sides, "stretch").agg(
+        F.min("first").alias("first_mark"), F.max("first").alias("last_mark"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.min("k_first").alias("k_first_mark"), F.min("k_lo").alias("k_lo"), F.max("k_hi").alias("k_hi"),
+    ).drop("stretch")
+
+
+def _stretches(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The verified stretches of `pairs`, by _FOUND."""
+    first = lambda mark: F.greatest(F.col(mark) - BEFORE, F.lit(0)).alias("first")
+    same = ["k_id", "k_row", "k_first_mark", "k_lo", "k_hi"]
+    copies = pairs.select(F.col("id").alias("of_id"), F.col("row").alias("of_row"), F.col("lo").alias("base"), F.col("hi").alias("stop"), first("first_mark"), "first_mark", "last_mark", *same)
+    keepers = pairs.select(*same).distinct()
+    none = F.lit(None).cast("int")
+    keepers = keepers.select(F.col("k_id").alias("of_id"), F.col("k_row").alias("of_row"), F.col("k_lo").alias("base"), F.col("k_hi").alias("stop"), first("k_first_mark"), none.alias("first_mark"), none.alias("last_mark"), *same)
+    wanted = materialize(copies.unionByName(keepers), "wanted")
+    cut = F.substring(F.col("text").cast("binary"), F.col("base") + 1, F.col("stop") - F.col("base")).alias("text")
+    cuts = texts.join(wanted.hint("merge"), (F.col("id") == F.col("of_id")) & (F.col("row") == F.col("of_row"))).select("id", "row", "base", "first", "first_mark", "last_mark", *same, cut)
+    cuts = materialize(cuts, "cuts")
+    release(wanted)
+    side = F.struct("id", "row", "base", "first", "first_mark", "last_mark", "text")
+    two = cuts.where("first_mark IS NULL").select(*[F.col(c).alias(f"of_{c}") for c in same], side.alias("two"))
+    meet = F.lit(True)
+    for c in same:
+        meet = meet & (F.col(c) == F.col(f"of_{c}"))
+    both = cuts.where("first_mark IS NOT NULL").select(*same, side.alias("one")).join(two.hint("merge"), meet).select("one", "two")
+    out = materialize(both.mapInArrow(_verified, ", ".join(f"{c} {'long' if c.endswith('id') else 'int'}" for c in _FOUND)), "stretches")
+    release(cuts)
+    return out
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Repeated passages: id, start_byte, end_byte, n_words, component_id, removed.
 
-    Bytes are those of the UTF-8 text. component_id is the document that keeps the copy of the most
-    of the passage's words (the smallest id of ties): this one, unless the passage is removed.
+    Bytes are those of the UTF-8 text. component_id is the smallest id of the passage's component, in which
+    links are verified stretches. `removed`: an earlier document holds all of it.
     """
     ship_package(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units = materialize(texts.mapInArrow(_units, _UNITS), "units")
-    n = units.count()
-    ends = [F.min("id").alias("low"), F.max("id").alias("high")]
-    # Chunks must repeat in another document; paragraphs may also have near copies.
-    short = units.where("NOT line").groupBy("h1").agg(*ends).where("low < high").select(F.col("h1").alias("k1"), F.col("low").alias("keep"))
-    short = materialize(short, "repeated-chunks", n)
-    chunk_hits = units.where("NOT line").join(short.hint("merge"), F.col("h1") == F.col("k1")).select("h1", "id", "first", "words", "start", "size", "keep")
-    chunk_hits = materialize(chunk_hits, "chunk-hits", n)
-    pairs = materialize(_pairs(chunk_hits).withColumn("pair", F.monotonically_increasing_id()), "pairs", n)
-    lines = units.where("line").groupBy("h1", "h2").agg(*ends, F.min(F.struct("id", "start", "size")).alias("at"), F.any_value("bands").alias("bands"))
-    lines = materialize(lines.withColumn("cls", F.monotonically_increasing_id()), "line-classes", n)
-
-    spots = lines.select("cls", F.explode("bands").alias("region"))
-    regions = spots.groupBy(F.col("region").alias("of_region")).agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("first"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("m > 1")
-    regions = regions.groupBy("m", "first", "who").agg(F.min("of_region").alias("of_region"))
-    members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("cls").alias("id"), F.xxhash64("cls").alias("deep")), "line-members", n)
-    wanted = members.select(F.col("id").alias("cls")).distinct().join(lines.select("cls", "at"), "cls")
-    none = F.lit(None).cast("int")
-    wanted = wanted.select(F.lit(None).cast("boolean").alias("copy"), F.col("cls").alias("key"), F.col("at.id").alias("of_id"), F.col("at.start").alias("base"), F.col("at.size").alias("stop"), none.alias("first"), none.alias("start"))
-    wanted = wanted.withColumn("stop", F.col("base") + F.col("stop"))
-    for copy, (of_id, first, start, stop) in ((True, ("id", "first", "start", "stop")), (False, ("keep", "k_first", "k_start", "k_stop"))):
-        base = F.greatest(F.col(start) - MARGIN, F.lit(0))
-        wanted = wanted.unionByName(pairs.select(F.lit(copy).alias("copy"), F.col("pair").alias("key"), F.col(of_id).alias("of_id"), base.alias("base"), (F.col(stop) + MARGIN).alias("stop"), F.col(first).alias("first"), F.col(start).alias("start")))
-    cut = F.substring(F.col("text").cast("binary"), F.col("base") + 1, F.col("stop") - F.col("base"))
-    cuts = texts.join(wanted.hint("merge"), F.col("id") == F.col("of_id")).select("copy", "key", "id", "base", "first", "start", (F.col("stop") - MARGIN).alias("seeds_end"), (F.octet_length("text") > F.col("stop")).alias("more"), cut.alias("text"))
-    cuts = materialize(cuts, "cuts")
-    told = cuts.where("copy IS NULL").groupBy(F.col("key").alias("id")).agg(F.min(F.decode("text", "UTF-8")).alias("text"))
-    near = resolve(members, materialize(told, "line-texts"), SIZE, PERCENT)
-    sides = [F.min(F.when(F.col("copy") == F.lit(c), F.struct("id", "base", "first", "start", "seeds_end", "more", "text"))).alias(name) for c, name in ((True, "one"), (False, "two"))]
-    both = cuts.where("copy IS NOT NULL").groupBy("key").agg(*sides).where("one IS NOT NULL AND two IS NOT NULL").select("one", "two")
-    stretches = both.mapInArrow(_near, "id long, removed boolean, first int, words int, start int, size int, keep long")
-    grouped = lines.join(near, F.col("cls") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "cls"))
-    grouped = materialize(grouped.select("h1", "h2", "grp", "low", "high"), "line-groups", n)
-    spread = materialize(grouped.groupBy(F.col("grp").alias("of_grp")).agg(F.min("low").alias("keep"), F.max("high").alias("last_id")).where("keep < last_id").select("of_grp", "keep"), "line-spread", n)
-    repeated = grouped.join(spread, F.col("grp") == F.col("of_grp")).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keep")
-    keys = materialize(repeated, "repeated", n)
-    line_hits = units.where("line").join(keys.hint("merge"), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    told = ["id", (F.col("keep") < F.col("id")).alias("removed"), "first", "words", "start", "size", "keep"]
-    hits = line_hits.select(*told).unionByName(chunk_hits.select(*told)).unionByName(stretches)
-
-    # What an earlier document holds and what this one keeps are passages of their own.
-    by_doc = Window.partitionBy("id", "removed").orderBy("first", "words", "start", "size", "keep")
-    reach = F.max(F.col("first") + F.col("words")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    islands = hits.withColumn("fresh", F.coalesce((F.col("first") > reach + GAP_WORDS).cast("int"), F.lit(1)))
-    islands = islands.withColumn("island", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    key = ["id", "removed", "island"]
-    parts = islands.groupBy(*key, "keep").agg(F.sum("words").alias("weight"), F.min("first").alias("first"), F.max(F.col("first") + F.col("words")).alias("last"), F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("stop"))
-    found = parts.groupBy(*key).agg(
-        F.min("start").alias("start_byte"), F.max("stop").alias("end_byte"), F.min("first").alias("first"), F.max("last").alias("last"), (F.max("last") - F.min("first")).cast("long").alias("n_words"), F.max_by("keep", F.struct("weight", -F.col("keep"))).alias("component_id")
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("row"), F.col(text_col).alias("text"))
+    marked = materialize(texts.mapInArrow(_marked, _MARKS), "marks")
+    n = marked.count()
+    keys = marked.groupBy("key").agg(F.min("id").alias("keep"), F.max("id").alias("high")).where("keep < high").select(F.col("key").alias("of_key"), "keep")
+    keys = materialize(keys, "repeated-minima", n)
+    hits = materialize(marked.join(keys.hint("merge"), F.col("key") == F.col("of_key")).drop("of_key"), "hits", n)
+    release(marked, keys)
+    pairs = materialize(_pairs(hits), "pairs", n)
+    release(hits)
+    found = _stretches(texts, pairs)
+    release(pairs)
+
+    # A span is the longest stretch that begins at a word; so a document's spans are no more than its words.
+    spans = found.select(*_SIDE, F.col("k_id").alias("keep"), F.lit(True).alias("removed"))
+    spans = spans.unionByName(found.select(*[F.col(f"k_{c}").alias(c) for c in _SIDE], F.col("k_id").alias("keep"), F.lit(False).alias("removed")))
+    n = 2 * found.count()
+    spans = spans.groupBy("id", "row", "removed", "first", "start").agg(F.max("last").alias("last"), F.max("stop").alias("stop"), F.min("keep").alias("keep"))
+    by_doc = Window.partitionBy("id", "row", "removed").orderBy("first")
+    reach = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    islands = spans.withColumn("fresh", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
+    islands = materialize(islands.withColumn("island", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh"), "islands", n)
+    key = ["id", "row", "removed", "island"]
+    told = islands.groupBy(*key).agg(F.min("start").alias("start_byte"), F.max("stop").alias("end_byte"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("keep").alias("keep"))
+    told = told.withColumn("n_words", (F.col("last") - F.col("first")).cast("long")).where(f"n_words >= {PASSAGE_WORDS}")
     # What is removed is not kept: a kept passage needs PASSAGE_WORDS words beside the removed ones before and after it.
-    around = Window.partitionBy("id").orderBy("first", F.desc("removed"))
+    around = Window.partitionBy("id", "row").orderBy("first", F.desc("removed"))
     gone = F.when(F.col("removed"), F.struct("first", "last"))
-    found = found.where(f"n_words >= {PASSAGE_WORDS}")
-    found = found.withColumn("prior", F.max(gone).over(around.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.min(gone).over(around.rowsBetween(1, Window.unboundedFollowing)))
+    told = told.withColumn("prior", F.max(gone).over(around.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.min(gone).over(around.rowsBetween(1, Window.unboundedFollowing)))
     # least and greatest pass over nulls
     prior = F.greatest(F.least(F.coalesce("prior.last", "first"), "last") - F.col("first"), F.lit(0))
     later = F.greatest(F.least(F.coalesce("next.last", "last"), "last") - F.coalesce("next.first", "last"), F.lit(0))
-    found = found.where(F.col("removed") | (F.col("n_words") - prior - later >= PASSAGE_WORDS))
-    return found.select(F.col("id").alias(id_col), "start_byte", "end_byte", "n_words", "component_id", "removed")
+    told = told.where(F.col("removed") | (F.col("n_words") - prior - later >= PASSAGE_WORDS)).drop("prior", "next")
+    told = materialize(told.withColumn("node", F.monotonically_increasing_id()), "passages", n)
+
+    # Verified links between passages
+    named = told.select(*key, "node").join(islands.select(*key, "first"), key).drop("island")
+    named = materialize(named, "nodes", n)
+    ends = lambda side, removed: named.where(F.col("removed") == removed).select(*[F.col(c).alias(f"of_{c}") for c in ("id", "row", "first")], F.col("node").alias(side))
+    links = found.select("id", "row", "first", "k_id", "k_row", "k_first").distinct()
+    links = materialize(links.join(ends("a", True), (F.col("id") == F.col("of_id")) & (F.col("row") == F.col("of_row")) & (F.col("first") == F.col("of_first"))).select("a", "k_id", "k_row", "k_first"), "half-links", n)
+    links = links.join(ends("b", False), (F.col("k_id") == F.col("of_id")) & (F.col("k_row") == F.col("of_row")) & (F.col("k_first") == F.col("of_first"))).select("a", "b")
+    parts = materialize(components(links), "passage-components", n)
+    release(found, islands, named)
+    out = told.join(parts, told["node"] == parts["node"], "left").select("id", "start_byte", "end_byte", "n_words", "removed", "keep", F.col("component").alias("part"))
+    # A passage is kept for one that is removed; a removed one may take its parts from shorter passages.
+    out = materialize(out.where("removed OR part IS NOT NULL"), "parts", n)
+    low = out.where("part IS NOT NULL").groupBy(F.col("part").alias("of_part")).agg(F.min("id").alias("low"))
+    low = materialize(low, "least-ids", n)
+    out = out.join(low, F.col("part") == F.col("of_part"), "left")
+    return out.select(F.col("id").alias(id_col), "start_byte", "end_byte", "n_words", F.coalesce("low", "keep").alias("component_id"), "removed")

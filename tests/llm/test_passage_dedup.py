@@ -119,23 +119,23 @@ def test_awkward_rows(spark):
     assert {13, 14, 15} <= {r["doc_id"] for r in got}  # equal texts of 60 words
 
 
-def test_chunks_find_their_ends_again():
-    """Whatever stands before, the same words have the same chunk ends, but for the first few."""
+def test_every_paragraph_keeps_its_least_run():
+    """`marks` by the definition: the least run of every PARAGRAPH words, inside each document only."""
     rng = np.random.default_rng(1)
-    shared = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
-    ends = []
-    for n in (0, 3, 17, 40):
-        before = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        starts, stops = pd_.chunks(np.concatenate([before, shared]), np.array([0, 0, n + 60, n + 60]))
-        assert (stops[:-1] == starts[1:]).all()
-        ends.append({b - n for b in stops.tolist() if b - n > pd_.REACH})
-    assert ends[0] == ends[1] == ends[2] == ends[3]
-    starts, stops = pd_.chunks(np.zeros(70, np.uint64), np.array([0, 70]))
-    assert stops[-1] == 70
-    assert (stops - starts).max() <= pd_.LONGEST
-    # No chunk crosses a document's end, and a document is cut as if it were alone.
-    both = pd_.chunks(np.concatenate([shared, shared]), np.array([0, 60, 120]))[1]
-    assert both[both <= 60].tolist() == (both[both > 60] - 60).tolist()
+    hashes = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
+    first = np.array([0, 0, 150, 150, 169, 189, 400])
+    at, keys = pd_.marks(hashes, first)
+    runs = pd_.ngrams(hashes, pd_.SEED)
+    want = set()
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        for s in range(a, b - pd_.PARAGRAPH + 1):
+            want.add(s + int(np.argmin(runs[s : s + pd_.PARAGRAPH - pd_.SEED + 1])))
+    assert at.tolist() == sorted(want)
+    assert (keys == runs[at]).all()
+    # Repeated words: one mark for PARAGRAPH words.
+    at, _ = pd_.marks(np.full(200, 7, np.uint64), np.array([0, 200]))
+    assert at.tolist() == list(range(0, 193, pd_.PARAGRAPH))
+    assert not len(pd_.marks(hashes[:19], np.array([0, 19]))[0])
 
 
 def test_repeats_inside_one_document_do_not_count(spark):
@@ -190,13 +190,6 @@ def test_near_copies_of_wrapped_paragraphs(spark):
         assert covered(rows[k], got[k + 1]) >= set(range(30, 130))
 
 
-def test_blocks_of_wrapped_lines_are_paragraphs():
-    text = "\n".join(f"a{i} b c d e f g h i j" for i in range(6))
-    table = pd_.pa.RecordBatch.from_arrays([pd_.pa.array([7]), pd_.pa.array([f"head\n\n{text}\n \ntail"])], ["id", "text"])
-    lines = [(u["first"], u["words"]) for b in pd_._units([table]) for u in b.to_pylist() if u["line"]]
-    assert lines == [(1, 60)]
-
-
 def test_alignment_needs_the_threshold():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
@@ -215,3 +208,80 @@ def test_short_exact_passages_are_followed_to_their_ends(spark):
     for k in range(1, len(rows), 2):
         assert {(c, r) for _, _, c, r in got[k + 1]} == {(k, True)}
         assert covered(rows[k], got[k + 1]) >= set(range(30, 60))
+
+
+def earlier_runs(rows: list[tuple[int, str]], n: int) -> tuple[dict, dict]:
+    """By document, words in runs of `n` words that an earlier document holds, and that a later one holds."""
+    low, high = {}, {}
+    for i, t in rows:
+        w = brute.words(t)
+        for k in range(len(w) - n + 1):
+            run = tuple(w[k : k + n])
+            low[run], high[run] = min(low.get(run, i), i), max(high.get(run, i), i)
+    before, after = defaultdict(set), defaultdict(set)
+    for i, t in rows:
+        w = brute.words(t)
+        for k in range(len(w) - n + 1):
+            run = tuple(w[k : k + n])
+            before[i].update(range(k, k + n) if low[run] < i else ())
+            after[i].update(range(k, k + n) if high[run] > i else ())
+    return before, after
+
+
+def islands(numbers: set[int]) -> list[set[int]]:
+    out: list[set[int]] = []
+    for k in sorted(numbers):
+        if out and k - 1 in out[-1]:
+            out[-1].add(k)
+        else:
+            out.append({k})
+    return out
+
+
+def test_removed_words_of_a_whole_table_by_brute_force(spark):
+    """Over every run of PARAGRAPH words of a table: all that an earlier document holds is removed, and all that
+    is removed beyond such runs stands in a near copy, so that nearly all of its shingles are held earlier."""
+    folder = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    texts, got = dict(rows), found(op8_passage_dedup(spark, folder))
+    before, after = earlier_runs(rows, pd_.PARAGRAPH)
+    holders = defaultdict(set)
+    for i, t in rows:
+        for g in brute.shingles(t, pd_.SIZE):
+            holders[g].add(i)
+    for i, text in rows:
+        spans = [s for s in got.get(i, []) if s[3]]
+        gone = covered(text, spans)
+        for island in islands(before[i]):
+            if len(island) >= pd_.PASSAGE_WORDS:
+                assert island <= gone
+        for one in spans:
+            told = covered(text, [one])
+            assert told & before[i]
+            w = brute.words(text)
+            runs = [tuple(w[k : k + pd_.SIZE]) for k in sorted(told) if k + pd_.SIZE - 1 in told]
+            assert sum(min(holders[g]) < i for g in runs) >= 0.8 * len(runs)
+            assert one[2] < i
+        for one in (s for s in got.get(i, []) if not s[3]):
+            assert covered(text, [one]) & after[i]
+    # A component's least document is one of its own, and keeps a passage or takes part in one.
+    assert {c for spans in got.values() for _, _, c, _ in spans} <= set(texts)
+
+
+def test_removed_passages_of_copies_name_the_first(spark):
+    """Exact copies: component, removal and span of each by the definition."""
+    rng = random.Random(21)
+    bodies = [" ".join(fresh_words(rng, 70)) for _ in range(5)]
+    rows = [bodies[rng.randrange(5)] for _ in range(60)]
+    got = found(pd_.passages(documents(spark, rows, clashing=False)))
+    for i, t in enumerate(rows, 1):
+        low = rows.index(t) + 1
+        assert got.get(i, []) == ([(0, len(t), low, i != low)] if rows.count(t) > 1 else [])
+
+
+def test_words_of_common_runs_alone_are_no_passage(spark):
+    """Two documents that share a dozen words in a row have no paragraph in common."""
+    rng = random.Random(22)
+    common = " ".join(fresh_words(rng, 12))
+    rows = [f"{' '.join(fresh_words(rng, 40))} {common} {' '.join(fresh_words(rng, 40))}" for _ in range(30)]
+    assert found(pd_.passages(documents(spark, rows, clashing=False))) == {}
