@@ -2,15 +2,19 @@
 
 1. One pass makes each document's set of word shingles, a digest of the set and its signature.
    Documents with equal sets become one class, whose smallest id stands for it.
-2. Each tree of the forest sorts the classes by its own order of signature values. Classes that agree
-   on a tree's first `depth` values are its regions. Regions with the same members in several trees
-   are kept once.
-3. A region of up to `BLOCK` classes is compared whole. A larger one is adaptively refined: it is
-   sorted by its deeper signature values, so that neighbours have the longest common prefixes, and
-   cut into blocks of `BLOCK`, each compared whole.
-4. The exact way for the rest: where a large region still has several components, its members
-   outside the most frequent component are compared with all blocks of the region, but for pairs
-   that are already connected. So every two classes that share a region are compared or connected.
+2. Each tree of the forest has its own order of signature values, by which the classes lie sorted. Classes
+   that agree on a tree's first values are a region of it: those whose longest common prefix is at
+   least so long. A region's depth follows the crowd in it. It begins at `depth - 1` values; where more
+   than ROOM classes agree on these, the region is parted by its next value. A pair at the threshold
+   agrees on `depth` values of some tree but for MISS, and on fewer more often, so sparse regions are
+   searched beyond what the bound needs. Regions with the same members in several trees are kept once.
+3. A region of up to BLOCK classes is compared whole. A larger one is refined further: sorted by its
+   deeper signature values, so that neighbours have the longest common prefixes, and cut into blocks of
+   BLOCK, each compared whole.
+4. The exact way for the rest: where a large region still has several components, its members outside
+   the most frequent component are sorted by the size of their sets, as are all members; blocks of both
+   are compared where sizes allow a link at all, but for pairs that are already connected. So every two
+   classes that share a region are compared or connected.
 5. Links are confirmed on the full sets. Tasks emit only a spanning star of what they link.
 
 Scale: the signature table is narrow; whole texts are read twice and shuffled once, for the join with
@@ -35,9 +39,11 @@ from pyspark.sql import functions as F
 from pagelathe.llm.components import components
 from pagelathe.llm.numbering import gapless
 from pagelathe.llm.shingles import minima, mix, shingle_sets
-from pagelathe.runtime import materialize, ship_package
+from pagelathe.runtime import materialize, release, ship_package
 
 TREES = 16
+#: Classes in a region beyond which it is parted by the next value.
+ROOM = 24
 BLOCK = 128
 DEEPER = 2
 #: Most that a pair at the threshold may be missed by all trees.
@@ -53,6 +59,7 @@ def depth_for(percent: int, trees: int = TREES) -> int:
 
 
 def _signatures(size: int, depth: int):
+    """Per document and tree: hashes of the first depth - 1 and depth values, and the values after those as a number."""
     count = TREES * depth
     rng = np.random.default_rng(17)
     orders = [[*range(t * depth, (t + 1) * depth), *rng.permutation([j for j in range(count) if j // depth != t])[:DEEPER]] for t in range(TREES)]
@@ -66,13 +73,14 @@ def _signatures(size: int, depth: int):
                 keys = iter(())
                 if full:
                     sig = minima(full, count).astype(np.uint64)
-                    trees = np.empty((len(full), TREES, 2), np.int64)
+                    trees = np.empty((len(full), TREES, 3), np.int64)
                     for t, order in enumerate(orders):
                         key = np.full(len(full), t, np.uint64)
                         for j in order[:depth]:
+                            trees[:, t, 0] = key.view(np.int64)  # at last that of depth - 1
                             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j])
-                        trees[:, t, 0] = key.view(np.int64)
-                        trees[:, t, 1] = (sig[:, order[depth]] >> np.uint64(1) << np.uint64(32) | sig[:, order[depth + 1]]).view(np.int64)
+                        trees[:, t, 1] = key.view(np.int64)
+                        trees[:, t, 2] = (sig[:, order[depth]] >> np.uint64(1) << np.uint64(32) | sig[:, order[depth + 1]]).view(np.int64)
                     keys = iter(trees.reshape(len(full), -1).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -166,36 +174,47 @@ def _confirmed(members: DataFrame, texts: DataFrame, size: int, percent: int) ->
 def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Components, as (node, component), of the confirmed links inside regions.
 
-    `members`: frozen rows (region, m, id, deep), m the region's size and deep the order inside it;
-    `texts`: (id, text). Ids without a link may be absent.
+    `members`: frozen rows (region, m, id, n, deep), m the region's size, n that of the set and deep the
+    order inside the region; `texts`: (id, text). Ids without a link may be absent.
     """
-    small = members.where(f"m <= {BLOCK}").select(F.col("region").alias("task"), F.lit(0).alias("side"), "id", F.lit(None).cast("long").alias("comp"))
+    none = F.lit(None).cast("long").alias("comp")
+    small = members.where(f"m <= {BLOCK}").select(F.col("region").alias("task"), F.lit(0).alias("side"), "id", none)
     large = members.where(f"m > {BLOCK}")
     hot = not large.isEmpty()
     if hot:
         placed = gapless(large, ["region"], ["deep", "id"], "nth")
-        placed = materialize(placed.select("region", "id", F.floor(F.col("nth") / BLOCK).alias("block"), F.ceil(F.col("m") / BLOCK).alias("blocks")), "blocks")
-        small = small.unionByName(placed.select(F.xxhash64("region", "block").alias("task"), F.lit(0).alias("side"), "id", F.lit(None).cast("long").alias("comp")))
-    found = components(materialize(_confirmed(small, texts, size, percent), "links"))
+        placed = materialize(placed.select("region", "id", "n", F.floor(F.col("nth") / BLOCK).alias("block")), "blocks")
+        small = small.unionByName(placed.select(F.xxhash64("region", "block").alias("task"), F.lit(0).alias("side"), "id", none))
+    linked = materialize(_confirmed(small, texts, size, percent), "links")
+    found = components(linked)
     if hot:
         n = members.count()  # a bound of what follows, but for the pairs of blocks
         found = materialize(found, "components", n)
-        comps = placed.join(found, placed["id"] == found["node"], "left").select(placed["region"], placed["id"], "block", "blocks", F.coalesce("component", placed["id"]).alias("comp"))
+        comps = placed.join(found, placed["id"] == found["node"], "left").select("region", "id", "n", F.coalesce("component", "id").alias("comp"))
         comps = materialize(comps, "block-components", n)
         sizes = comps.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
         main = sizes.groupBy(F.col("region").alias("of_region")).agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        apart = comps.join(main, F.col("region") == F.col("of_region")).drop("of_region", "parts")
-        rest = materialize(apart.where("comp <> main").select("region", "id", "comp", "blocks"), "rest", n)
-        if not rest.isEmpty():
-            rest = gapless(rest, ["region"], ["comp", "id"], "nth").withColumn("part", F.floor(F.col("nth") / BLOCK))
-            rest = materialize(rest.select("region", "id", "comp", "blocks", "part"), "rest-parts", n)
-            parts = rest.groupBy(F.col("region").alias("of_region")).agg(F.max("part").alias("last"))
-            left = rest.select("region", "id", "comp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
-            right = apart.join(parts, F.col("region") == F.col("of_region")).select("region", "id", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("part"), "block", F.lit(1).alias("side"))
-            both = left.unionByName(right).select(F.xxhash64("region", "part", "block", F.lit(1)).alias("task"), "side", "id", "comp")
-            more = materialize(_confirmed(both, texts, size, percent), "more-links")
+        apart = materialize(comps.join(main, F.col("region") == F.col("of_region")).select("region", "id", "n", "comp", (F.col("comp") != F.col("main")).alias("rest")), "apart", n)
+        release(placed, comps)
+        if not apart.isEmpty():
+            dealt = []
+            for side, rows in ((0, apart.where("rest")), (1, apart)):
+                rows = gapless(rows, ["region"], ["n", "id"], "nth").select("region", "id", "n", "comp", F.floor(F.col("nth") / BLOCK).alias("block"))
+                dealt.append(materialize(rows, f"sized-{side}", n))
+            low, high = (d.groupBy("region", "block").agg(F.min("n").alias("least"), F.max("n").alias("most")).toDF("region", *[f"{c}_{side}" for c in ("block", "least", "most")]) for side, d in enumerate(dealt))
+            # Sets link only if the smaller has PERCENT of the larger's size at least.
+            meet = low.join(high, "region").where((100 * F.col("most_1") >= percent * F.col("least_0")) & (100 * F.col("most_0") >= percent * F.col("least_1")))
+            meet = materialize(meet.select("region", "block_0", "block_1"), "block-pairs")
+            both = []
+            for side, rows in enumerate(dealt):
+                named = rows.select(F.col("region").alias("of_region"), F.col("block").alias("of_block"), "id", "comp")
+                named = named.join(meet, (F.col("of_region") == F.col("region")) & (F.col("of_block") == F.col(f"block_{side}")))
+                both.append(named.select(F.xxhash64("region", "block_0", "block_1", F.lit(1)).alias("task"), F.lit(side).alias("side"), "id", "comp"))
+            more = materialize(_confirmed(both[0].unionByName(both[1]), texts, size, percent), "more-links")
+            release(*dealt, meet)
             if not more.isEmpty():
                 found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        release(apart)
     return found
 
 
@@ -210,19 +229,35 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     n = made.count()
     least = materialize(least, "least", n)  # apart from the join, which can then be split for a hot digest
     mapped = materialize(made.join(least, F.col("digest") == F.col("of"), "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys"), F.xxhash64("digest").alias("mark")), "classes", n * TREES)
-
-    heads = mapped.where("keys IS NOT NULL").groupBy("rep", "mark").agg(F.any_value("keys").alias("keys"))
-    spots = heads.select("rep", "mark", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.get("keys", t * 2).alias("region"), F.get("keys", t * 2 + 1).alias("deep")))).alias("s")).select("rep", "mark", "s.region", "s.deep")
-    spots = materialize(spots, "forest", n * TREES)
-    regions = spots.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep", "mark")).alias("who")).where("m > 1")
-    # Regions that several trees found with the same members
-    regions = regions.groupBy("m", "low", "who").agg(F.min("region").alias("of_region")).select("of_region", "m")
-    members = materialize(spots.join(regions, F.col("region") == F.col("of_region")).select("region", "m", F.col("rep").alias("id"), "deep"), "members", n * TREES)
+    release(made, least)
+
+    heads = mapped.where("keys IS NOT NULL").groupBy("rep", "mark").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(*[F.get("keys", t * 3 + k).alias(c) for k, c in enumerate(("short", "long", "deep"))]))
+    spots = materialize(heads.select("rep", "mark", "n", F.explode(trees).alias("s")).select("rep", "mark", "n", "s.*"), "forest", n * TREES)
+    who = [F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep", "mark")).alias("who")]
+
+    def once(regions: DataFrame) -> DataFrame:
+        """Regions that several trees found with the same members are kept once."""
+        return regions.groupBy("m", "low", "who").agg(F.min("region").alias("of_region")).select("of_region", "m")
+
+    shorts = materialize(spots.groupBy(F.col("short").alias("region")).agg(F.count(F.lit(1)).alias("m"), *who).where("m > 1"), "short-regions", n * TREES)
+    # Crowded regions are parted by their next value.
+    wide = once(shorts.where(f"m <= {ROOM}")).unionByName(shorts.where(f"m > {ROOM}").select(F.col("region").alias("of_region"), "m"))
+    near = materialize(spots.join(wide.hint("merge"), F.col("short") == F.col("of_region")).select("rep", "mark", "n", "short", "long", "deep", "m"), "neighbours", n * TREES)
+    release(spots, shorts)
+    crowded = near.where(f"m > {ROOM}").drop("m")
+    longs = once(crowded.groupBy(F.col("long").alias("region")).agg(F.count(F.lit(1)).alias("m"), *who).where("m > 1"))
+    longs = materialize(longs, "long-regions", n * TREES)
+    members = near.where(f"m <= {ROOM}").select(F.col("short").alias("region"), "m", F.col("rep").alias("id"), "n", "deep")
+    members = members.unionByName(crowded.join(longs.hint("merge"), F.col("long") == F.col("of_region")).select(F.col("long").alias("region"), "m", F.col("rep").alias("id"), "n", "deep"))
+    members = materialize(members, "members", n * TREES)
+    release(near, longs)
 
     # Whole texts travel once; the rounds of comparison then read those of candidates alone.
     wanted = members.select("id").distinct()
     candidates = materialize(texts.join(wanted.hint("merge"), "id", "left_semi"), "candidate-texts")
-    found = resolve(members, candidates, size, percent)
+    found = materialize(resolve(members, candidates, size, percent), "linked", n)
+    release(members, candidates)
     # The classes of an id's rows are one node.
     nodes = mapped.where("id IS NOT NULL").select("id", F.coalesce("rep", "id").alias("rep"))
     several = nodes.groupBy(F.col("id").alias("of_id")).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")

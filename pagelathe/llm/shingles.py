@@ -118,7 +118,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             if b - a >= size:
                 yield np.unique(runs[a : b - size + 1])
             elif b > a:
-                yield mix(np.array([(hashes[a:b] * _SLOT[: b - a]).sum() + np.uint64(b - a) * _SLOT[15]], np.uint64))
+                yield mix((hashes[a:b] * _SLOT[: b - a]).sum(keepdims=True) + _SLOT[15:] * np.uint64(b - a))
             else:
                 yield np.zeros(0, np.uint64)
 
