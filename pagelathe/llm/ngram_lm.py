@@ -192,7 +192,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     splits = max(1, -(-size // max(GROUP_BYTES, math.isqrt(size * PART_BYTES))))
-    split = F.pmod(F.xxhash64("id", F.substring("text", 1, 32)), F.lit(splits)).cast("long").alias("split")
+    split = F.pmod(F.xxhash64("id", "text"), F.lit(splits)).cast("long").alias("split")
     # One exchange serves both passes: rows of a split lie together.
     dealt = rows.select(split, "id", "text").repartition(splits, "split")
     counted = dealt.select("split", "text").sortWithinPartitions("split").mapInArrow(_count(order, splits), "split long, part int, k int, grams binary, counts binary")
