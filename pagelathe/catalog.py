@@ -1,6 +1,8 @@
 """All queries of the engine and, where SQL can state them, their oracles."""
 
-from pagelathe.plans.oracles import ORACLES
-from pagelathe.plans.queries import QUERIES
+from pagelathe.plans import mined, oracles, queries
+
+QUERIES = queries.QUERIES | mined.QUERIES
+ORACLES = oracles.ORACLES | mined.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

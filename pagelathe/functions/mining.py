@@ -7,6 +7,7 @@ an HTTP call are left out.
 
 from __future__ import annotations
 
+import datetime
 import html
 import json
 import re
@@ -19,15 +20,14 @@ from pagelathe.functions.tree import Node, parse
 
 _SPACE = re.compile(r"\s+")
 _SITE = re.compile(r"https?://[^/]+")
-_set = lambda words: frozenset(words.split())
 #: The field that a meta tag of some name speaks for.
 _SPEAKS = {
-    **dict.fromkeys(_set(vocab.TITLE_NAMES), "title"), **dict.fromkeys(_set(vocab.DESCRIPTION_NAMES), "description"), **dict.fromkeys(_set(vocab.AUTHOR_NAMES), "author"),
-    **dict.fromkeys(_set(vocab.PUBLISHER_NAMES), "sitename"), **dict.fromkeys(_set(vocab.APPLICATION_NAMES), "application"), **dict.fromkeys(_set(vocab.TAG_NAMES), "tags"), "twitter:url": "url",
+    **dict.fromkeys(vocab.TITLE_NAMES, "title"), **dict.fromkeys(vocab.DESCRIPTION_NAMES, "description"), **dict.fromkeys(vocab.AUTHOR_NAMES, "author"),
+    **dict.fromkeys(vocab.PUBLISHER_NAMES, "sitename"), **dict.fromkeys(vocab.APPLICATION_NAMES, "application"), **dict.fromkeys(vocab.TAG_NAMES, "tags"), "twitter:url": "url",
 }
 _SPEAKS_PROPERTY = {"article:tag": "tags", "author": "author", "article:author": "author", "article:publisher": "sitename"}
 _SPEAKS_ITEM = {"author": "author", "description": "description", "headline": "title"}
-_ARTICLES, _PUBLISHERS = _set(vocab.ARTICLE_TYPES), _set(vocab.PUBLISHER_TYPES)
+_ARTICLES, _PUBLISHERS = frozenset(vocab.ARTICLE_TYPES), frozenset(vocab.PUBLISHER_TYPES)
 
 
 def trim(s: str | None) -> str | None:
@@ -44,49 +44,28 @@ def clean(s: str | None) -> str | None:
     return trim(s) or None
 
 
-# Rules on elements
+# Marked elements
 
 
-@dataclass(frozen=True)
-class Rule:
-    """One line of a rule table: tags, perhaps a parent's tag, and conditions of which one must hold."""
+def _tokens(n: Node, name: str) -> list[str]:
+    return (n.get(name) or "").split()
 
-    tags: frozenset[str]
-    parent: str | None
-    conditions: tuple[tuple[str, str, str], ...]
 
-    @staticmethod
-    def read(line: str) -> Rule:
-        tags, _, told = line.partition(":")
-        parent, _, tag = tags.strip().rpartition(">")
-        conditions = tuple(m.groups() for m in re.finditer(r"(\w+)(=|\^=|\*=)(\S+)", told))
-        return Rule(frozenset(tag.split()), parent or None, conditions)
-
-    def fits(self, n: Node) -> bool:
-        if "*" not in self.tags and n.tag not in self.tags:
-            return False
-        for name, how, want in self.conditions:
-            value = n.get(name)
-            if value is not None and (value == want if how == "=" else value.startswith(want) if how == "^=" else want in value):
-                return True
-        return not self.conditions
-
-    def among(self, root: Node) -> Iterator[Node]:
-        if self.parent is None:
-            return (n for n in root.iter() if self.fits(n))
-        return (c for n in root.iter(self.parent) for c in n.children if self.fits(c))
-
-
-def _rules(lines: Iterable[str]) -> list[Rule]:
-    return [Rule.read(x) for x in lines]
-
-
-TITLE_RULES, AUTHOR_RULES, CATEGORY_RULES, TAG_RULES = map(_rules, (vocab.TITLE_RULES, vocab.AUTHOR_RULES, vocab.CATEGORY_RULES, vocab.TAG_RULES))
+def marked(root: Node, marks: dict) -> Iterator[list[Node]]:
+    """The elements of each kind of mark, from the most explicit kind to the loosest."""
+    for kind, told in marks.items():
+        if kind == "tag":
+            yield list(root.iter(*told))
+        elif kind == "inside":
+            tags, words = told
+            yield [n for n in root.iter(*tags) if any(w in (n.get(a) or "").lower() for w in words for a in ("class", "id"))]
+        else:
+            yield [n for n in root.iter() if any(t in told for t in _tokens(n, kind))]
 
 
-def first_text(root: Node, rules: list[Rule], below: int) -> str | None:
-    """The first text of fewer than `below` characters that an element of the first rule that has one holds."""
-    texts = (n.all_text() for rule in rules for n in rule.among(root))
+def first_text(root: Node, marks: dict, below: int) -> str | None:
+    """The first text of fewer than `below` characters that a marked element holds."""
+    texts = (n.all_text() for nodes in marked(root, marks) for n in nodes)
     return next((trim(t) for t in texts if t.strip() and len(t) < below), None)
 
 
@@ -96,10 +75,10 @@ def split_tags(told: str) -> list[str]:
     return [t for t in map(trim, told.split(m[0]) if m else [told]) if t]
 
 
-def linked(root: Node, rules: list[Rule], path: str) -> list[str]:
-    """Texts of the links to `path` below the elements of the first rule that has any."""
-    for rule in rules:
-        links = {id(a): a for n in rule.among(root) for a in n.iter("a") if path in (a.get("href") or "")}
+def linked(root: Node, marks: dict, path: str) -> list[str]:
+    """Texts of the links to `path` that are marked elements or stand in one, of the first kind of mark that has any."""
+    for nodes in marked(root, marks):
+        links = {id(a): a for n in nodes for a in n.iter("a") if path in (a.get("href") or "")}
         if links:
             return [t for a in links.values() for t in split_tags(trim(a.all_text()))]
     return []
@@ -123,10 +102,11 @@ class Said:
 def meta_tags(root: Node) -> Said:
     """OpenGraph values hold over named ones, of which the first counts; authors and tags add up.
 
-    Where OpenGraph states title, author, address, description and site, nothing else is read.
+    Where OpenGraph states title, author, address, description and site, nothing else is read. Tags in the
+    body speak for parts of the page (comments, related articles), so those of the head alone count.
     """
     said = Said()
-    tags = [(n, n.get("content")) for n in root.iter("meta") if n.get("content")]
+    tags = [(n, n.get("content")) for head in root.iter("head") for n in head.iter("meta") if n.get("content")]
     for n, content in tags:
         name = n.get("property") or ""
         if name.startswith("og:"):
@@ -197,16 +177,30 @@ def json_objects(root: Node) -> Iterator[dict]:
             yield from (y for y in (_listed(inner) if inner else [x]) if isinstance(y, dict))
 
 
+def _unescaped(s: str) -> str:
+    """A JSON string's text, if its escapes are sound."""
+    try:
+        return json.loads(f'"{s}"', strict=False)
+    except ValueError:
+        return s
+
+
 def broken_json(text: str) -> dict:
     """An article with what single expressions find in JSON that does not parse."""
-    value = lambda key: (m := re.search(rf'"{key}"\s*:\s*"([^"\\]+)', text)) and m[1]
-    people = re.findall(r'"(?:author|person)"\s*:[^}\]]*?"name"\s*:\s*"([^"\\]+)', text, re.I)
+    told = r'"((?:[^"\\]|\\.)+)'
+    value = lambda key: (m := re.search(rf'"{key}"\s*:\s*{told}', text)) and _unescaped(m[1])
+    people = map(_unescaped, re.findall(rf'"(?:author|person)"\s*:[^}}\]]*?"name"\s*:\s*{told}', text, re.I))
     return {"@type": "Article", "headline": value("headline"), "articleSection": value("articleSection"), "author": [{"name": p} for p in people]}
 
 
 def _person(x) -> list[str]:
-    """The names that an author entry states: a text, a name, a list of names, or name parts."""
+    """The names that an author entry states: a text, JSON in a text, a name, a list of names, or name parts."""
     if isinstance(x, str):
+        if x.lstrip().startswith(("{", "[")):
+            try:
+                return [n for y in _listed(json.loads(x)) for n in _person(y)]
+            except ValueError:
+                pass
         return [x]
     if not isinstance(x, dict) or x.get("@type", "Person") not in ("Person", ["Person"]):
         return []
@@ -259,11 +253,11 @@ def from_json(objects: Iterable[dict], site: str | None = None) -> dict:
 
 
 def title(root: Node) -> str | None:
-    """A sole h1, an element of a rule, the title without its last suffix, the first h1 or h2."""
+    """A sole h1, a marked element, the title without its last suffix, the first h1 or h2."""
     heads = [t for n in root.iter("h1") if (t := trim(n.all_text()))]
     if len(heads) == 1:
         return heads[0]
-    if found := first_text(root, TITLE_RULES, 200):
+    if found := first_text(root, vocab.TITLE_MARKS, 200):
         return found
     told = next((t for n in root.iter("title") if (t := trim(n.all_text()))), None)
     if told:
@@ -280,8 +274,8 @@ def site_from_title(root: Node) -> str | None:
 
 
 def author(root: Node) -> str | None:
-    """An element of a rule, or a byline in running CJK text."""
-    if found := first_text(root, AUTHOR_RULES, 75):
+    """A marked element, or a byline in running CJK text."""
+    if found := first_text(root, vocab.AUTHOR_MARKS, 75):
         return byline(found)
     for pattern in vocab.CJK_BYLINES:
         for n in root.iter():
@@ -352,11 +346,27 @@ def site_name(told: str | None, address: str | None) -> str | None:
 
 def raw_date(root: Node, said: Said) -> str | None:
     """From a meta tag, or the first time element."""
-    stated = (said.dates[n] for n in vocab.DATE_NAMES.split() if n in said.dates)
+    stated = (said.dates[n] for n in vocab.DATE_NAMES if n in said.dates)
     shown = (t for n in root.iter("time") if (t := n.get("datetime") or trim(n.all_text())))
     return next(stated, None) or next(shown, None)
 
 
+def shown_date(root: Node) -> str | None:
+    """The first short text with a digit that an element marked as the date holds."""
+    texts = (trim(n.all_text()) for nodes in marked(root, vocab.DATE_MARKS) for n in nodes)
+    return next((t for t in texts if len(t) < 60 and any(c.isdigit() for c in t)), None)
+
+
+def address_date(u: str | None) -> str | None:
+    """The day that the path of an address names."""
+    if m := re.search(r"/(\d{4})/(\d{1,2})/(\d{1,2})(?:/|$)", u or ""):
+        try:
+            return datetime.date(*map(int, m.groups())).isoformat()
+        except ValueError:
+            return None
+    return None
+
+
 # Media
 
 
@@ -454,9 +464,9 @@ def extract(raw: str | None, default_url: str | None = None, blocked: Iterable[s
         "license": licence(root),
         "name": data.get("name"),
         "video": video(root, raw, said.graph),
-        "rawDate": raw_date(root, said) or data.get("rawDate"),
-        "categories": data.get("categories") or linked(root, CATEGORY_RULES, "/category/") or (split_tags(section) if section else []),
-        "tags": said.tags or linked(root, TAG_RULES, "/tags/"),
+        "rawDate": raw_date(root, said) or data.get("rawDate") or shown_date(root) or address_date(address),
+        "categories": data.get("categories") or linked(root, vocab.CATEGORY_MARKS, "/category/") or (split_tags(section) if section else []),
+        "tags": said.tags or linked(root, vocab.TAG_MARKS, "/tags/"),
         "audio": audio(root),
     }
     done = {k: clean(out[k]) for k in FIELDS} | {k: [c for c in map(clean, out[k]) if c] for k in LISTS}

@@ -133,6 +133,11 @@ def check_authors(authors: Column, blocked: Column) -> Column:
     return F.nullif(F.array_join(names, "; "), F.lit(""))
 
 
+def titled(s: Column) -> Column:
+    """Title case as Python has it: a letter after anything but a letter is a capital."""
+    return F.array_join(F.transform(F.split(s, r"(?<=[^\p{L}])"), F.initcap), "")
+
+
 def normalize_authors(s: Column) -> Column:
     """Names in a byline: split, what is no name taken off, in title case, none that holds one before it; null without any.
 
@@ -147,7 +152,7 @@ def normalize_authors(s: Column) -> Column:
 
     names = F.transform(F.split(told, f"(?U){NAME_SEPARATORS}"), one)
     fair = F.filter(names, lambda a: (a != "") & (a.contains(" ") | a.contains("-") | (F.length(a) < LONGEST_SINGLE_NAME)))
-    cased = F.transform(fair, lambda a: F.when(a.rlike(r"^\p{Lu}"), a).otherwise(F.initcap(a)))
+    cased = F.transform(fair, lambda a: F.when(a.rlike(r"^\p{Lu}"), a).otherwise(titled(a)))
     distinct = F.aggregate(cased, F.array().cast("array<string>"), lambda acc, a: F.when(F.exists(acc, lambda x: a.contains(x)), acc).otherwise(F.concat(acc, F.array(a))))
     return F.nullif(F.array_join(distinct, "; "), F.lit(""))
 

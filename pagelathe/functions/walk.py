@@ -9,15 +9,14 @@ from pagelathe.functions.tree import Node
 from pagelathe.functions.vocab import BAD_WORDS, BLOCK_TAGS, CLASS_WEIGHT, GOOD_WORDS, IGNORED, IGNORED_VOID, TAG_WEIGHTS
 
 _BLOCK, _SKIP = frozenset(BLOCK_TAGS), frozenset((*IGNORED, *IGNORED_VOID))
-_GOOD, _BAD = (re.compile("|".join(map(re.escape, words.split())), re.I) for words in (GOOD_WORDS, BAD_WORDS))
-_WEIGHTS = {tag: w for w, tags in TAG_WEIGHTS for tag in tags.split()}
+_GOOD, _BAD = (re.compile("|".join(map(re.escape, words)), re.I) for words in (GOOD_WORDS, BAD_WORDS))
 _PIECES = re.compile("[^A-Za-z0-9]+")
 _TOKENS = re.compile(r"[^ \t\n\r\f\v]+")
 
 
 def weight(node: Node) -> int:
     """Score of a node by its id, class and tag."""
-    out = _WEIGHTS.get(node.tag, 0)
+    out = TAG_WEIGHTS.get(node.tag, 0)
     for name in ("id", "class"):
         value = node.get(name)
         if value:

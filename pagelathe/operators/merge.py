@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,16 +44,19 @@ def last_date(found: Column) -> Column:
     return let(kept, lambda k: F.get(k, F.size(k) - 1))
 
 
-def records(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
-    """One record a page from decoded labels and `meta`; mined values win over scored ones."""
+def records(pages: DataFrame, key: str = "page_id", url: str = "url", names: Callable[[Column], Column] = names_of) -> DataFrame:
+    """One record a page from decoded labels and `meta`; mined values win over scored ones.
+
+    `names`: the names that the best author candidate's text holds, as a list.
+    """
     meta, top, date = F.col("meta"), F.col("_top"), F.col("_date")
     address = F.coalesce(meta["url"], F.col(url))
     pages = pages.select("*", F.get("ml_author", F.lit(0)).alias("_top"), last_date(F.col("ml_date")).alias("_date"), let(meta["rawDate"], parse_date).alias("_mined"))
     mined = F.col("_mined")
     return pages.select(
         key,
-        F.coalesce(meta["title"], F.col("ml_headline")).alias("title"),
-        F.coalesce(meta["author"], F.nullif(F.array_join(names_of(top["text"]), ","), F.lit(""))).alias("author"),
+        prefer(meta["title"], F.col("ml_headline")).alias("title"),
+        F.coalesce(meta["author"], F.nullif(F.array_join(names(top["text"]), ","), F.lit(""))).alias("author"),
         top["text"].alias("rawAuthor"),
         top["score"].alias("authorConfidence"),
         address.alias("url"),

@@ -9,10 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.operators.blocks import with_blocks
-from pagelathe.operators.decode import decode, rule_logits, with_logits
+from pagelathe.operators.decode import decode, names_of, rule_logits, with_logits
 from pagelathe.operators.dom import META, parse_pages
 from pagelathe.operators.merge import records
 from pagelathe.runtime import free_name
+from pagelathe.sources.pages import is_page
+
+
+def regex_rule(pattern: str, group: int = 1) -> Callable[[Column], Column]:
+    """A rule for `meta_postprocess`: a group of the first match of a Java pattern in the page; null without one."""
+    return lambda html: F.nullif(F.regexp_extract(html, pattern, group), F.lit(""))
 
 
 @dataclass
@@ -21,11 +27,13 @@ class Extractor:
 
     scorer: from a block to its logits. meta_postprocess: column builders by field of the record, used
     where mining found nothing (earlier ones win). postprocess: from the records to new columns, which
-    may only add names. Page-local work stays in the row, so there is no shuffle but for the tree
+    may only add names. author_extractor: from the text of the best author candidate to its names. What
+    cannot be a page (`is_page`) has no metadata. Page-local work stays in the row, so there is no shuffle but for the tree
     engine's join-free second column; streams take the same calls.
     """
 
     scorer: Callable[[Column], Column] = rule_logits
+    author_extractor: Callable[[Column], Column] = names_of
     meta_postprocess: list[dict[str, Callable[[Column], Column]]] = field(default_factory=list)
     postprocess: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
     parse_callback: Callable | None = None
@@ -34,19 +42,23 @@ class Extractor:
     def __call__(self, pages: DataFrame) -> DataFrame:
         return self.extract(pages)
 
-    def metadata(self, pages: DataFrame) -> DataFrame:
-        """Mined metadata alone."""
-        return parse_pages(pages, parse_callback=self.parse_callback, with_blocks=False).select("page_id", "meta.*", "_error")
+    def metadata(self, pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """Mined metadata alone, with the columns of `pages` that `keep` names."""
+        held = keep or []
+        packed = pages.select(F.struct("page_id", F.struct(*held).alias("keep") if held else F.lit(0).alias("keep"), is_page(F.col("html")).alias("sound")).alias("page"), "url", "html")
+        mined = parse_pages(packed, key="page", parse_callback=self.parse_callback, with_blocks=False)
+        meta = mined.select("page.*", F.when(F.col("page.sound"), F.col("meta")).alias("meta"), "_error")
+        return meta.select("page_id", *[F.col(f"keep.{c}") for c in held], "meta.*", "_error")
 
     def extract(self, pages: DataFrame) -> DataFrame:
         packed = pages.select(F.struct("page_id", "url", "html").alias("page"))
         # The tree engine passes the page through its key, so that nothing is joined back.
         mined = parse_pages(packed.select("page", F.col("page.url").alias("url"), F.col("page.html").alias("html")), key="page", parse_callback=self.parse_callback, with_blocks=False)
-        rows = mined.select("page.*", "meta", "_error")
+        rows = mined.select("page.*", F.when(is_page(F.col("page.html")), F.col("meta")).alias("meta"), "_error")
         for callbacks in self.meta_postprocess:
             for name, make in callbacks.items():
                 rows = rows.withColumn("meta", F.col("meta").withField(name, F.coalesce(F.col(f"meta.{name}"), make(F.col("html")))))
-        out = records(decode(with_logits(with_blocks(rows, link_mode=self.link_mode), self.scorer)))
+        out = records(decode(with_logits(with_blocks(rows, link_mode=self.link_mode), self.scorer)), names=self.author_extractor)
         for more in self.postprocess:
             held = free_name(out, "record")
             added = more(out.withColumn(held, F.struct(*out.columns)))
@@ -61,4 +73,4 @@ def extract_news(pages: DataFrame) -> DataFrame:
     return Extractor()(pages)
 
 
-__all__ = ["META", "Extractor", "extract_news"]
+__all__ = ["META", "Extractor", "extract_news", "regex_rule"]

@@ -9,7 +9,7 @@ from pagelathe.functions import text as tx
 from pagelathe.functions import urls
 from pagelathe.functions.binding import let
 from pagelathe.operators import blocks as bl
-from pagelathe.operators import decode, dom, evaluate
+from pagelathe.operators import decode, dom, evaluate, merge
 from pagelathe.operators import features as ft
 from pagelathe.plans.extractor import Extractor
 from pagelathe.runtime import read_table
@@ -111,8 +111,8 @@ def topk_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def page_content(spark: SparkSession, d: str) -> DataFrame:
     """Texts of the blocks with at least ten tokens, a line each."""
-    hit = F.filter("blocks", lambda b: F.size(F.split(b["text"], " ")) >= 10)
-    return bl.with_blocks(_pages(spark, d)).select("page_id", F.nullif(F.array_join(F.transform(hit, lambda b: b["text"]), "\n"), F.lit("")).alias("content"))
+    logit = F.transform("blocks", lambda b: F.size(F.split(b["text"], " ")) - 9.5)
+    return bl.with_blocks(_pages(spark, d)).select("page_id", decode.selected(F.col("blocks"), logit).alias("content"))
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
@@ -157,13 +157,13 @@ def entity_unescape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def whitespace_trim(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").select("doc_id", F.md5(tx.blanks(F.col("text")).cast("binary")).alias("digest"))
+    return read_table(spark, d, "documents").select("doc_id", F.md5(tx.blanks(F.col("text")).cast("binary")).alias("digest"), F.md5(tx.line(F.col("text")).cast("binary")).alias("line"))
 
 
 def link_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """Every link with the address and the page it stands on."""
-    href = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    links = _pages(spark, d).select("page_id", F.explode(href).alias("href"))
+    """Every link with the address and the page it stands on; addresses in double, single or no quotes."""
+    href = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    links = _pages(spark, d).select("page_id", F.explode(href).alias("href")).withColumn("href", F.regexp_replace("href", "^[\"']|[\"']$", ""))
     return links.groupBy("href").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("page_id").alias("n_pages"))
 
 
@@ -198,7 +198,7 @@ def author_normalize(spark: SparkSession, d: str) -> DataFrame:
 def meta_coalesce(spark: SparkSession, d: str) -> DataFrame:
     """Mined values win over scored ones: event properties over the event's own value."""
     events = read_table(spark, d, "events")
-    return events.select("event_id", F.coalesce(F.get_json_object("props", "$.page"), F.col("event_type")).alias("label"))
+    return events.select("event_id", merge.prefer(F.get_json_object("props", "$.page"), F.col("event_type")).alias("label"))
 
 
 def json_props(spark: SparkSession, d: str) -> DataFrame:
@@ -206,21 +206,21 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return events.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def token_prf(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of each passage of `benchmark` against the document of the same number."""
+def _against_benchmark(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.split(tx.blanks(F.lower(c)), " ")
-    a = read_table(spark, d, "benchmark").select("item_id", words(F.col("text")).alias("p"))
-    b = read_table(spark, d, "documents").select("doc_id", words(F.col("text")).alias("a"))
-    both = a.join(b, F.col("item_id") == F.col("doc_id")).select("item_id", evaluate.prf_sets(F.col("p"), F.col("a")).alias("m"))
-    return both.select("item_id", *[F.round(f"m.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+    a = read_table(spark, d, "benchmark").select("item_id", words(F.col("text")).alias("a"))
+    docs = read_table(spark, d, "documents").select("doc_id", words(F.coalesce("text", F.lit(""))).alias("p"))
+    return docs.join(a, F.col("doc_id") % 40 == F.col("item_id"))
+
+
+def token_prf(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each document against the passage of `benchmark` whose number is the rest of its own by 40."""
+    rows = _against_benchmark(spark, d).select("doc_id", evaluate.prf_sets(F.col("p"), F.col("a")).alias("m"))
+    return rows.select("doc_id", *[F.round(f"m.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def token_prf_multiset(spark: SparkSession, d: str) -> DataFrame:
-    words = lambda c: F.split(tx.blanks(F.lower(c)), " ")
-    a = read_table(spark, d, "benchmark").select("item_id", words(F.col("text")).alias("p"))
-    b = read_table(spark, d, "documents").select("doc_id", words(F.col("text")).alias("a"))
-    both = a.join(b, F.col("item_id") == F.col("doc_id")).select("item_id", "p", "a")
-    return evaluate.prf_multisets(both, "item_id", "p", "a").select("item_id", *[_rounded(c) for c in ("precision", "recall", "f1")])
+    return evaluate.prf_multisets(_against_benchmark(spark, d), "doc_id", "p", "a").select("doc_id", *[_rounded(c) for c in ("precision", "recall", "f1")])
 
 
 def lcs_inclusion(spark: SparkSession, d: str) -> DataFrame:
@@ -251,7 +251,8 @@ def lang_block_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_quality_features(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").join(read_table(spark, d, "labels"), "doc_id")
+    """By quality label and language; documents without a label are a group of their own."""
+    docs = read_table(spark, d, "documents").join(read_table(spark, d, "labels"), "doc_id", "left")
     return docs.groupBy("quality", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg(F.octet_length("text")), 4).alias("mean_bytes"))
 
 

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAGES = "page_id long, url string, html string"
 _CHARSET = {"utf8": "UTF-8", "utf-8": "UTF-8", "ascii": "US-ASCII", "us-ascii": "US-ASCII", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "iso8859-1": "ISO-8859-1", "windows-1252": "ISO-8859-1", "utf-16": "UTF-16", "utf-16be": "UTF-16BE", "utf-16le": "UTF-16LE", "utf-32": "UTF-32"}
 
+#: Names that stand for a larger set of characters.
+_LARGER = {"gb2312": "gb18030", "gbk": "gb18030", "shift_jis": "cp932", "shift-jis": "cp932", "sjis": "cp932", "euc-kr": "cp949", "ks_c_5601-1987": "cp949", "big5": "big5hkscs"}
+
+
+@F.pandas_udf(T.StringType())
+def _by_codec(markup: pd.Series, name: pd.Series) -> pd.Series:
+    """Bytes by a codec of Python; latin-1 for an unknown name. Null stays null."""
+    import codecs
+
+    def one(b: bytes | None, n: str) -> str | None:
+        if b is None:
+            return None
+        try:
+            known = codecs.lookup(_LARGER.get(n, n))
+        except LookupError:
+            known = codecs.lookup("latin-1")
+        return b.decode(known.name if known._is_text_encoding else "latin-1", "replace")
+
+    return pd.Series([one(b, n) for b, n in zip(markup, name, strict=True)], dtype=object)
+
 
 def guess_encoding(markup: Column, default: str = "utf-8") -> Column:
     """The name in an XML declaration of the first 1024 bytes, else in a meta charset of the first
@@ -20,12 +42,18 @@ def guess_encoding(markup: Column, default: str = "utf-8") -> Column:
 
 
 def to_html(markup: Column, default: str = "utf-8") -> Column:
-    """Bytes as text: UTF-8 where valid, else by the guessed encoding if Spark knows it, else latin-1."""
+    """Bytes as text: UTF-8 where valid, UTF-16 with its mark, else by the guessed encoding, else latin-1.
+
+    Only bytes in an encoding that Spark does not know go through Python.
+    """
+    valid, marked = F.is_valid_utf8(markup.cast("string")), F.hex(F.substring(markup, 1, 2)).isin("FFFE", "FEFF")
     name = F.lower(guess_encoding(markup, default))
-    text = F.decode(markup, "ISO-8859-1")
+    foreign = ~valid & ~marked & ~name.isin(*_CHARSET)
+    text = F.when(foreign, _by_codec(F.when(foreign, markup), name)).otherwise(F.decode(markup, "ISO-8859-1"))
+    text = F.when(marked, F.decode(markup, "UTF-16")).otherwise(text)
     for known in ("UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"):
         text = F.when(name.isin(*[k for k, v in _CHARSET.items() if v == known]), F.decode(markup, known)).otherwise(text)
-    return F.when(F.is_valid_utf8(markup.cast("string")), markup.cast("string")).otherwise(text)
+    return F.when(valid, markup.cast("string")).otherwise(text)
 
 
 def is_page(html: Column) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from pagelathe.functions import mining, names
+from pagelathe.functions import mining, names, text
 from pagelathe.functions.tree import parse
 
 
@@ -100,6 +101,63 @@ def test_authors(body, want):
     assert mining.author(parse(f"<html><body>{body}</body></html>")) == want
 
 
+def test_meta_tags_of_the_body_do_not_speak_for_the_page():
+    body = '<article><h1>Told</h1></article><div class="comments"><meta itemprop="author" content="A Reader"><meta name="title" content="A comment"><meta name="keywords" content="noise"></div>'
+    got = mined('<meta name="author" content="jane doe">', body)
+    assert (got["author"], got["title"], got["tags"]) == ("Jane Doe", "Told", [])
+    assert mined("", body)["author"] is None
+
+
+@pytest.mark.parametrize(
+    ("author", "want"),
+    [
+        (r'"{\"@type\": \"Person\", \"name\": \"jane doe\"}"', "Jane Doe"),
+        (r'"[{\"name\": \"Jane Doe\"}, {\"name\": \"John Roe\"}]"', "Jane Doe; John Roe"),
+        (r'"{broken"', "Broken"),
+        ('"jane doe"', "Jane Doe"),
+        ('["jane doe", {"@type": "Person", "givenName": "John", "familyName": "Roe"}]', "Jane Doe; John Roe"),
+    ],
+)
+def test_authors_of_json(author, want):
+    assert mined(JSON % f'{{"@context":"https://schema.org","@type":"Article","headline":"H","author":{author}}}')["name"] == want
+
+
+def test_broken_scripts_keep_no_escapes():
+    got = mined(JSON % r'{"@type":"Article","headline":"Caf\u00e9 \"open\" again","author":{"name":"Ren\u00e9 Doe"')
+    assert (got["title"], got["name"]) == ('Café "open" again', "René Doe")
+
+
+@pytest.mark.parametrize(
+    ("told", "want"),
+    [
+        ("by jane doe", ["Jane Doe"]),
+        ("Written by Jane Doe and John Roe", ["Jane Doe", "John Roe"]),
+        ("jane doe | john roe; ann smith", ["Jane Doe", "John Roe", "Ann Smith"]),
+        ("Jane Doe (Berlin)", ["Jane Doe"]),
+        ("Jane “Red” Doe", ["Jane Doe"]),
+        ("J. Doe, 12 May 2021", ["J Doe"]),
+        ("von Hans Meier und Eva Lang", ["Hans Meier", "Eva Lang"]),
+        ("Jane Doe in Paris", ["Jane Doe"]),
+        ("Jane Doe @jane", ["Jane Doe"]),
+        ("Mary-Ann O'Brien", ["Mary-Ann O'Brien"]),
+        ("words by ann smith", ["Ann Smith"]),
+        ("潘乃欣、王小明", ["潘乃欣", "王小明"]),
+        ("jane@paper.example.com", []),
+        ("https://paper.example.com/jane", []),
+        ("", []),
+    ],
+)
+def test_names_in_bylines(told, want):
+    assert names.split_names(told) == want
+
+
+def test_both_name_cleaners_agree(spark):
+    told = ["by jane doe and john o'brien, Reporter @x (Berlin)", "Written by J. Doe 12 May; von Hans Meier", "Jane “Red” Doe in Paris | ann smith", "x", "潘乃欣、王小明 und Eva", "a & b & a", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "i int, t string")
+    got = {r["i"]: r["a"] for r in rows.select("i", text.normalize_authors(F.col("t")).alias("a")).collect()}
+    assert got == {i: None if t is None else "; ".join(names.joined([], names.split_names(t))) or None for i, t in enumerate(told)}
+
+
 def test_blocked_author_falls_back_to_the_page():
     assert mined('<meta name="author" content="UDN">', "<span class='author'>Jane Doe</span>")["author"] == "Jane Doe"
 
