@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pagelathe.functions.tree import Node
 from pagelathe.functions.vocab import BAD_WORDS, BLOCK_TAGS, CLASS_WEIGHT, GOOD_WORDS, IGNORED, IGNORED_VOID, TAG_WEIGHTS
@@ -25,9 +26,13 @@ def weight(node: Node) -> int:
 
 
 class Walk:
-    """One depth-first pass; `blocks` holds a dict per block."""
+    """One depth-first pass; `blocks` holds a dict per block.
 
-    def __init__(self, root: Node) -> None:
+    `features`: by name, a number from the nodes that were met since the block before.
+    """
+
+    def __init__(self, root: Node, features: dict[str, Callable[[list[Node]], float]] | None = None) -> None:
+        self.features, self.nodes = features or {}, [root]
         self.blocks: list[dict] = []
         self.ids, self.path = 0, [0]
         self.tokens: list[str] = []
@@ -48,9 +53,9 @@ class Walk:
         if self.tokens:
             self.blocks.append({
                 "pos": len(self.blocks), "start_tag": self.tag, "css_id": " ".join(self.css["id"]), "css_class": " ".join(self.css["class"]), "text": " ".join(self.tokens),
-                "tagcount": self.count - 1, "since_last": self.since, "anchors": self.anchors, "min_depth": self.last, "ancestors": self.ancestors, "weights": self.weights,
+                "extra": {name: float(make(self.nodes)) for name, make in self.features.items()}, "tagcount": self.count - 1, "since_last": self.since, "anchors": self.anchors, "min_depth": self.last, "ancestors": self.ancestors, "weights": self.weights,
             })
-            self.weights, self.since = [], 0
+            self.weights, self.nodes, self.since = [], [], 0
             self.pending = self.last = self.depth
         else:
             self.since += self.count - 1
@@ -94,6 +99,7 @@ class Walk:
                 else:
                     self.last = self.pending
                 self.weights.append((here, weight(node)))
+                self.nodes.append(node)
                 self._style(node)
                 self.path.append(here)
                 self._read(node.text)
@@ -122,7 +128,7 @@ def readability(blocks: list[dict]) -> list[float]:
     return [max([0.0, *(score[n] / top for n in b["ancestors"] if n in score)]) for b in blocks]
 
 
-def blocks(root: Node) -> list[dict]:
-    """The blocks of a tree, each with its readability."""
-    made = Walk(root).blocks
+def blocks(root: Node, features: dict[str, Callable[[list[Node]], float]] | None = None) -> list[dict]:
+    """The blocks of a tree, each with its readability and `extra`, the numbers of `features`."""
+    made = Walk(root, features).blocks
     return [b | {"readability": r} for b, r in zip(made, readability(made), strict=True)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelathe.functions.binding import let
 from pagelathe.functions.text import blanks, unescape
 from pagelathe.functions.vocab import BLOCK_TAGS, IGNORED, IGNORED_VOID
 
@@ -74,19 +75,23 @@ def with_blocks(pages: DataFrame, html: str = "html", link_mode: str = "compat")
             F.when(start == "a", visible(F.regexp_extract(s, r"(?is)^<a[^>]*>(.*?)(?:</a\s*>|$)", 1))).otherwise("").alias("link_text"),
         )
 
-    # A select of its own, so that the cleaning runs once.
-    cleaned = pages.withColumn("_clean", clean(F.col(html)))
-    cut = cleaned.withColumn("_pieces", F.transform(F.split(F.col("_clean"), _CUT), piece)).drop("_clean")
-    empty = F.array().cast("array<struct<pos:int,start_tag:string,css_id:string,css_class:string,text:string,tagcount:bigint,since_last:bigint,anchors:bigint,link_density:double,text_density:double>>")
-    start = F.struct(empty.alias("out"), F.lit(0).cast("long").alias("carry"))
-
-    def add(acc: Column, p: Column) -> Column:
+    def block(held: Column, full: Column, at: Column, k: Column) -> Column:
+        p = F.get(held, at)
+        before = F.when(k > 0, F.get(full, k - 1)).otherwise(-1)
+        # Pieces without text since the block before; each is looked at once.
+        since = F.aggregate(F.slice(held, before + 2, at - before - 1), F.lit(0).cast("long"), lambda n, q: n + q["tags"])
         density = link_density(p["text"], p["link_text"]) if link_mode == "anchor" else link_density(p["text"])
-        block = F.struct(F.size(acc["out"]).alias("pos"), p["start_tag"], p["css_id"], p["css_class"], p["text"], p["tags"].alias("tagcount"), acc["carry"].alias("since_last"), p["anchors"], density.alias("link_density"), text_density(p["text"]).alias("text_density"))
-        full = p["text"] != ""
-        return F.struct(F.when(full, F.concat(acc["out"], F.array(block))).otherwise(acc["out"]).alias("out"), F.when(full, F.lit(0).cast("long")).otherwise(acc["carry"] + p["tags"]).alias("carry"))
+        told = (k.alias("pos"), p["start_tag"].alias("start_tag"), p["css_id"].alias("css_id"), p["css_class"].alias("css_class"), p["text"].alias("text"), p["tags"].alias("tagcount"), since.alias("since_last"), p["anchors"].alias("anchors"))
+        return F.struct(*told, density.alias("link_density"), text_density(p["text"]).alias("text_density"))
 
-    return cut.withColumn("blocks", F.aggregate("_pieces", start, add, lambda acc: acc["out"])).drop("_pieces")
+    def blocks(held: Column) -> Column:
+        """Of the pieces those with text; bound by `let`, so that nothing is computed for each of them anew."""
+        places = F.filter(F.transform(held, lambda p, i: F.when(p["text"] != "", i)), lambda i: i.isNotNull())
+        return let(places, lambda full: F.transform(full, lambda at, k: block(held, full, at, k)))
+
+    # A select of its own, so that the cleaning runs once.
+    cleaned = pages.withColumn("_clean", clean(F.col(html)))
+    return cleaned.withColumn("blocks", let(F.transform(F.split(F.col("_clean"), _CUT), piece), blocks)).drop("_clean")
 
 
 def explode_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:

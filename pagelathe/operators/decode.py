@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelathe.functions.binding import let
 
@@ -36,29 +37,42 @@ def with_logits(pages: DataFrame, scorer: Callable[[Column], Column] = rule_logi
 
 
 class OnnxScorer:
-    """A user's network: inputs `input[1,n,9]` and `css[1,n,43]`, output `[1,n,5]`; one session a worker."""
+    """A user's network: inputs `input[1,n,9]` and `css[1,n,43]`, output `[1,n,5]` in the order of LABELS.
+
+    The driver reads the file and broadcasts it; each Python worker makes one session.
+    """
 
     def __init__(self, path: str) -> None:
         self.path = path
 
     def apply(self, pages: DataFrame) -> DataFrame:
-        """`pages` needs f_dense (array of 9 doubles a block) and f_css (43); adds `raw_logits`."""
-        path = self.path
-        schema = f"{pages.select('*').schema.simpleString()[7:-1]},raw_logits:array<array<double>>"
+        """`pages` needs f_dense (array of 9 doubles a block) and f_css (43); adds `logits`."""
+        with open(self.path, "rb") as file:
+            shared = pages.sparkSession.sparkContext.broadcast(file.read())
+        kind = pa.list_(pa.struct([(n, pa.float64()) for n in LABELS]))
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A stage of its own: as a column, the scores could not be used inside expressions on arrays.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import numpy as np
             import onnxruntime
 
-            session = onnxruntime.InferenceSession(path)
-            for frame in frames:
+            global _SESSION
+            if _SESSION is None or _SESSION[0] != shared.value:
+                _SESSION = shared.value, onnxruntime.InferenceSession(shared.value)
+            session = _SESSION[1]
+            for batch in batches:
                 out = []
-                for dense, css in zip(frame["f_dense"], frame["f_css"], strict=True):
-                    x, c = np.array([[*map(list, dense)]], np.float32), np.array([[*map(list, css)]], np.float32)
-                    out.append(session.run(None, {"input": x, "css": c})[0][0].astype(float).tolist())
-                yield frame.assign(raw_logits=out)
+                for x, c in zip(batch.column("f_dense").to_pylist(), batch.column("f_css").to_pylist(), strict=True):
+                    raw = session.run(None, {"input": np.array([x], np.float32), "css": np.array([c], np.float32)})[0][0]
+                    out.append([dict(zip(LABELS, map(float, r), strict=True)) for r in raw])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "logits"])
+
+        logits = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in LABELS]))
+        return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("logits", logits)]))
+
 
-        return pages.mapInPandas(run, schema)
+#: A worker's network: its bytes and session.
+_SESSION: tuple | None = None
 
 
 def pad(blocks: Column) -> Column:

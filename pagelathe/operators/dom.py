@@ -14,20 +14,24 @@ from pyspark.sql.functions import udtf
 
 from pagelathe.runtime import ship_package
 
-BLOCK = "struct<pos:int,start_tag:string,css_id:string,css_class:string,text:string,tagcount:bigint,since_last:bigint,anchors:bigint,min_depth:int,ancestors:array<int>,weights:array<struct<node:int,weight:int>>,readability:double>"
+BLOCK = "struct<pos:int,start_tag:string,css_id:string,css_class:string,text:string,tagcount:bigint,since_last:bigint,anchors:bigint,min_depth:int,ancestors:array<int>,weights:array<struct<node:int,weight:int>>,readability:double,extra:map<string,double>>"
 META = (
     "struct<title:string,author:string,url:string,hostname:string,description:string,sitename:string,license:string,name:string,"
     "video:string,rawDate:string,categories:array<string>,tags:array<string>,audio:array<string>,og_properties:map<string,string>>"
 )
 _ARROW_BLOCK = pa.struct([
     ("pos", pa.int32()), ("start_tag", pa.string()), ("css_id", pa.string()), ("css_class", pa.string()), ("text", pa.string()), ("tagcount", pa.int64()), ("since_last", pa.int64()),
-    ("anchors", pa.int64()), ("min_depth", pa.int32()), ("ancestors", pa.list_(pa.int32())), ("weights", pa.list_(pa.struct([("node", pa.int32()), ("weight", pa.int32())]))), ("readability", pa.float64()),
+    ("anchors", pa.int64()), ("min_depth", pa.int32()), ("ancestors", pa.list_(pa.int32())), ("weights", pa.list_(pa.struct([("node", pa.int32()), ("weight", pa.int32())]))), ("readability", pa.float64()), ("extra", pa.map_(pa.string(), pa.float64())),
 ])
 _ARROW_META = pa.struct([(n, pa.string()) for n in ("title", "author", "url", "hostname", "description", "sitename", "license", "name", "video", "rawDate")] + [(n, pa.list_(pa.string())) for n in ("categories", "tags", "audio")] + [("og_properties", pa.map_(pa.string(), pa.string()))])
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", parse_callback: Callable | None = None, with_meta: bool = True, with_blocks: bool = True) -> DataFrame:
-    """key, dom_blocks, meta and _error of each page. `parse_callback` sees each tree before it is walked."""
+def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", parse_callback: Callable | None = None, with_meta: bool = True, with_blocks: bool = True, block_features: dict[str, Callable] | None = None) -> DataFrame:
+    """key, dom_blocks, meta and _error of each page. `parse_callback` sees each tree before it is walked.
+
+    `block_features`: by name, a function from the nodes met since the block before to a number; they are in
+    the blocks' `extra`.
+    """
     ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +46,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
                         root = tree.parse(h or "")
                         if parse_callback is not None:
                             parse_callback(root)
-                        blocks = [b | {"weights": [{"node": n, "weight": w} for n, w in b["weights"]]} for b in walk.blocks(root)] if with_blocks else None
+                        blocks = [b | {"weights": [{"node": n, "weight": w} for n, w in b["weights"]], "extra": list(b["extra"].items())} for b in walk.blocks(root, block_features)] if with_blocks else None
                         mined = mining.extract(h, u, root=root) if with_meta else None
                         if mined:
                             mined["og_properties"] = list(mined["og_properties"].items())

@@ -157,8 +157,8 @@ def readability_of(blocks: Column) -> Column:
     return F.transform(blocks, lambda b: b["readability"])
 
 
-def network_inputs(pages: DataFrame, compat: bool = False, key: str = "page_id") -> DataFrame:
-    """key, blocks, f_dense (9 numbers a block) and f_css (43), of at least three blocks a page.
+def network_inputs(pages: DataFrame, compat: bool = False, key: str = "page_id", with_meta: bool = False) -> DataFrame:
+    """key, (meta, _error,) blocks, f_dense (9 numbers a block) and f_css (43), of at least three blocks a page.
 
     Blocks come from the tree engine. Pages of one or two blocks are padded with their first and last,
     pages without any (or that cannot be parsed) get the three blocks of EMPTY_PAGE.
@@ -168,7 +168,7 @@ def network_inputs(pages: DataFrame, compat: bool = False, key: str = "page_id")
     from pagelathe.operators.decode import pad
     from pagelathe.operators.dom import BLOCK, parse_pages
 
-    rows = parse_pages(pages, key=key, with_meta=False).select(key, "dom_blocks")
+    rows = parse_pages(pages, key=key, with_meta=with_meta).select(key, *(("meta", "_error") if with_meta else ()), "dom_blocks")
     none = [b | {"weights": [{"node": n, "weight": w} for n, w in b["weights"]]} for b in walk.blocks(tree.parse(EMPTY_PAGE))]
     held = F.when(F.coalesce(F.size("dom_blocks"), F.lit(0)) > 0, F.col("dom_blocks")).otherwise(F.from_json(F.lit(json.dumps(none)), f"array<{BLOCK}>"))
     rows = rows.withColumn("blocks", pad(F.transform(held, lambda b: b.withField("link_density", link_density(b["text"])).withField("text_density", text_density(b["text"]))))).drop("dom_blocks")

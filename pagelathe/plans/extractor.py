@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.operators.blocks import with_blocks
-from pagelathe.operators.decode import decode, names_of, rule_logits, with_logits
+from pagelathe.operators.decode import OnnxScorer, decode, names_of, rule_logits, with_logits
 from pagelathe.operators.dom import META, parse_pages
+from pagelathe.operators.features import network_inputs
 from pagelathe.operators.merge import records
 from pagelathe.runtime import free_name
 from pagelathe.sources.pages import is_page
@@ -25,7 +26,7 @@ def regex_rule(pattern: str, group: int = 1) -> Callable[[Column], Column]:
 class Extractor:
     """Callable on a DataFrame of pages (page_id, url, html).
 
-    scorer: from a block to its logits. meta_postprocess: column builders by field of the record, used
+    scorer: from a block to its logits; or network: a model file on the inputs of `network_inputs`. meta_postprocess: column builders by field of the record, used
     where mining found nothing (earlier ones win). postprocess: from the records to new columns, which
     may only add names. author_extractor: from the text of the best author candidate to its names. What
     cannot be a page (`is_page`) has no metadata. Page-local work stays in the row, so there is no shuffle but for the tree
@@ -33,6 +34,7 @@ class Extractor:
     """
 
     scorer: Callable[[Column], Column] = rule_logits
+    network: OnnxScorer | None = None
     author_extractor: Callable[[Column], Column] = names_of
     meta_postprocess: list[dict[str, Callable[[Column], Column]]] = field(default_factory=list)
     postprocess: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
@@ -53,12 +55,18 @@ class Extractor:
     def extract(self, pages: DataFrame) -> DataFrame:
         packed = pages.select(F.struct("page_id", "url", "html").alias("page"))
         # The tree engine passes the page through its key, so that nothing is joined back.
-        mined = parse_pages(packed.select("page", F.col("page.url").alias("url"), F.col("page.html").alias("html")), key="page", parse_callback=self.parse_callback, with_blocks=False)
-        rows = mined.select("page.*", F.when(is_page(F.col("page.html")), F.col("meta")).alias("meta"), "_error")
+        packed = packed.select("page", F.col("page.url").alias("url"), F.col("page.html").alias("html"))
+        if self.network is not None:
+            mined = self.network.apply(network_inputs(packed, key="page", with_meta=True))
+        else:
+            mined = parse_pages(packed, key="page", parse_callback=self.parse_callback, with_blocks=False)
+        rows = mined.select("page.*", F.when(is_page(F.col("page.html")), F.col("meta")).alias("meta"), "_error", *(("blocks", "logits") if self.network is not None else ()))
         for callbacks in self.meta_postprocess:
             for name, make in callbacks.items():
                 rows = rows.withColumn("meta", F.col("meta").withField(name, F.coalesce(F.col(f"meta.{name}"), make(F.col("html")))))
-        out = records(decode(with_logits(with_blocks(rows, link_mode=self.link_mode), self.scorer)), names=self.author_extractor)
+        if self.network is None:
+            rows = with_logits(with_blocks(rows, link_mode=self.link_mode), self.scorer)
+        out = records(decode(rows), names=self.author_extractor)
         for more in self.postprocess:
             held = free_name(out, "record")
             added = more(out.withColumn(held, F.struct(*out.columns)))

@@ -20,6 +20,7 @@ from pagelathe.functions import urls
 from pagelathe.operators import blocks as bl
 from pagelathe.operators import decode, dom, evaluate, merge, tagging
 from pagelathe.operators import features as ft
+from pagelathe.plans import oracles
 from pagelathe.plans.extractor import Extractor, regex_rule
 from pagelathe.runtime import read_table, shared_dir
 from pagelathe.sources import pages as src
@@ -413,18 +414,13 @@ def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", (F.col("at") + 1).cast("long").alias("rank"), F.col("c.text").alias("text"), F.round("c.score", 6).alias("score"))
 
 
-@answer("""WITH RECURSIVE t AS (SELECT conv_id, turn, string_split(text, ' ') AS x, lead(string_split(text, ' ')) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM conversations),
+ORACLES["lcs_inclusion"] = """WITH RECURSIVE t AS (SELECT conv_id, turn, string_split(text, ' ') AS x, lead(string_split(text, ' ')) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM conversations),
     l AS (
       SELECT conv_id, turn, x, y, 0 AS i, list_transform(y, lambda v: 0) AS r FROM t WHERE y IS NOT NULL
       UNION ALL
       SELECT conv_id, turn, x, y, i + 1, list_transform(range(1, len(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN x[i + 1] = y[k] THEN CASE WHEN k > 1 THEN r[k - 1] ELSE 0 END + 1 ELSE r[k] END))) FROM l WHERE i < len(x)
     )
-    SELECT conv_id, turn, list_max(r)::BIGINT AS lcs, len(x) AS n_tokens FROM l WHERE i = len(x)""")
-def lcs_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of each turn that the next turn of the conversation holds in order."""
-    from pagelathe.plans.queries import lcs_inclusion
-
-    return lcs_inclusion(spark, d)
+    SELECT conv_id, turn, list_max(r)::BIGINT AS lcs, len(x) AS n_tokens FROM l WHERE i = len(x)"""
 
 
 @answer("""SELECT item_id AS page_id, len(string_split(text, ' ')) + 1 AS n_lines, 1::BIGINT AS n_new, true AS same FROM benchmark""")
@@ -440,6 +436,22 @@ def lcs_diffs(spark: SparkSession, d: str) -> DataFrame:
 # Extension points and streams
 
 
+@answer("""SELECT c_custkey AS page_id, pos::BIGINT AS pos, (CASE pos WHEN 0 THEN 2 ELSE 0 END)::DOUBLE AS depth, (CASE pos WHEN 1 THEN length(c_name) ELSE 0 END)::DOUBLE AS told FROM customer, (VALUES (0), (1), (2)) AS v(pos)""")
+def walk_features(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of the user's from the nodes of each block: how many are bold, and the length of an attribute."""
+    rows = page(read_table(spark, d, "customer"), "c_custkey", "", join("<p>a <b>b</b> <b>c</b></p><p data-name='", F.col("c_name"), "'>d</p><p>e</p>"))
+    made = dom.parse_pages(rows, with_meta=False, block_features={"bold": _bold, "told": _told}).select("page_id", F.explode("dom_blocks").alias("b"))
+    return made.select("page_id", F.col("b.pos").cast("long").alias("pos"), F.col("b.extra")["bold"].alias("depth"), F.col("b.extra")["told"].alias("told"))
+
+
+def _bold(nodes) -> float:
+    return sum(n.tag == "b" for n in nodes)
+
+
+def _told(nodes) -> float:
+    return sum(len(n.get("data-name") or "") for n in nodes)
+
+
 @answer(f"""SELECT s_suppkey AS page_id, 'No. ' || s_suppkey AS license, 'Jane ' || {_TITLED(_LETTERS('s_suppkey'))} || ',Second' AS author, length('Jane ' || {_LETTERS('s_suppkey')})::INT AS n FROM supplier""")
 def user_hooks(spark: SparkSession, d: str) -> DataFrame:
     """A rule of the user where mining found nothing, an author extractor of the user, and a column of the user."""
@@ -482,3 +494,14 @@ def link_modes(spark: SparkSession, d: str) -> DataFrame:
     rows = page(read_table(spark, d, "customer"), "c_custkey", "", "<p>word</p><a href='x'>two words</a>")
     both = [bl.explode_blocks(bl.with_blocks(rows, link_mode=m)).select("page_id", F.col("pos").cast("long").alias("pos"), F.round("link_density", 6).alias(m)) for m in ("compat", "anchor")]
     return both[0].join(both[1], ["page_id", "pos"])
+
+
+_METADATA = """SELECT page_id, h1 AS title, NULL::VARCHAR AS author, url, domain AS hostname, NULL::VARCHAR AS description, regexp_extract(url, '^https?://(?:www\\.|w[0-9]+\\.)?([^/]+)', 1) AS sitename,
+    NULL::VARCHAR AS license, NULL::VARCHAR AS video, NULL::VARCHAR AS "rawDate", '' AS tags, '' AS categories, NULL::VARCHAR AS _error"""
+ORACLES["page_metadata"] = f"""WITH t AS ({oracles.ORACLES["page_title"]}), h AS ({oracles.ORACLES["url_host"]}) {_METADATA} FROM (SELECT p.page_id, p.url, t.title AS h1, h.domain FROM pages p JOIN t USING (page_id) JOIN h USING (page_id))"""
+_LOGIT = """0.15 * (least(len(string_split(text, ' ')), 60) - 12) + CASE WHEN regexp_matches(text, '[.。!?]$') THEN 1.0 ELSE -0.5 END + CASE WHEN start_tag = 'a' THEN -3.0 WHEN start_tag IN ('h1', 'h2') THEN -6.0 ELSE 0.0 END
+    + CASE WHEN regexp_matches(concat_ws(' ', css_id, css_class), 'foot|nav|menu|comment|sidebar|ad$') THEN -2.0 ELSE 0.0 END"""
+ORACLES["article_token_f1"] = oracles.PLAIN + f""", c AS (SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS content FROM b WHERE {_LOGIT} > 0 GROUP BY 1),
+    x AS (SELECT p.page_id, list_distinct(string_split_regex(coalesce(content, ''), '\\s+')) AS p, list_distinct(string_split({oracles.blanks(oracles.unescape("regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')"))}, ' ')) AS a FROM pages p LEFT JOIN c ON c.page_id = p.page_id),
+    r AS (SELECT page_id, len(list_intersect(p, a)) / len(p)::DOUBLE AS p, len(list_intersect(p, a)) / len(a)::DOUBLE AS r FROM x)
+    SELECT page_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM r"""

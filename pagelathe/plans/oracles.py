@@ -2,8 +2,24 @@
 
 from __future__ import annotations
 
-from pagelathe.functions.text import ENTITIES
-from pagelathe.functions.vocab import BLOCK_TAGS, BYLINE_WORDS, CLASS_TOKENS, DATE_CHARACTERS, IGNORED, IGNORED_VOID, NAME_WORDS, SENTENCE_MARKS, SUFFIXES, TAG_INDEX
+# Fixed values. They are stated here again, apart from the engine, so that a wrong one there shows.
+BLOCK_TAGS = ("a", "author", "div", "font", "h1", "h2", "h3", "h4", "h5", "h6", "map", "p", "span", "table", "tag", "time")
+IGNORED = (
+    "applet", "bdo", "button", "caption", "fieldset", "frameset", "iframe", "legend", "like", "like-box", "math", "menu", "noframes", "noscript",
+    "object", "optgroup", "option", "plusone", "script", "select", "style", "svg", "textarea", "var", "xmp",
+)
+IGNORED_VOID = ("area", "base", "basefont", "input", "link", "param")
+CLASS_TOKENS = (
+    "menu", "widget", "nav", "top", "content", "breadcrumb", "block", "title", "button", "header", "ss", "post", "tag", "line", "foot", "para", "link", "published", "date",
+    "modif", "article", "click", "body", "card", "timestamp", "comment", "meta", "alt", "time", "depth", "author", "tool", "keyword", "url", "name",
+)
+TAG_INDEX = ("div", "h1", "h2", "h3", "h4", "h5", "h6", "html", "p", "span", "table", "author")
+NAME_WORDS = "author|name|publisher|contribute|label"
+BYLINE_WORDS = "By |記者|編輯|eporte|文| and "
+DATE_CHARACTERS = "[0-9一二三四五六七八九月年日]"
+SENTENCE_MARKS = "[.。,，]"
+SUFFIXES = ("co.jp", "co.uk", "com.au", "com.br", "com.tw", "org.uk")
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 _NAMES = "h[1-6]|" + "|".join(t for t in BLOCK_TAGS if t[0] != "h")
 _WS = r"[ \t\n\r\f\x0B]+"
@@ -13,7 +29,7 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _unescape(e: str) -> str:
+def unescape(e: str) -> str:
     for name, char in ENTITIES:
         e = f"replace({e}, {_q(name)}, {_q(char)})"
     return e
@@ -27,12 +43,12 @@ def _clean(e: str) -> str:
     return f"regexp_replace({e}, '<[!?][^>]*>', '', 'g')"
 
 
-def _blanks(e: str) -> str:
+def blanks(e: str) -> str:
     return f"trim(regexp_replace({e}, '{_WS}', ' ', 'g'))"
 
 
 def _visible(e: str) -> str:
-    return _blanks(_unescape(f"regexp_replace({e}, '<[^>]*>', ' ', 'g')"))
+    return blanks(unescape(f"regexp_replace({e}, '<[^>]*>', ' ', 'g')"))
 
 
 def _pieces(e: str) -> str:
@@ -66,7 +82,7 @@ WITH cut AS (
 )
 """
 # Without the byte-exact density, which is costly
-_PLAIN = _BLOCKS[: _BLOCKS.index(", d AS (")] + "\n"
+PLAIN = _BLOCKS[: _BLOCKS.index(", d AS (")] + "\n"
 _HOST = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1)"
 _URL = f"""
   SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) AS scheme, lower({_HOST}) AS h,
@@ -80,36 +96,36 @@ _CSS = "(CASE WHEN css_id = '' THEN '' ELSE css_id || ' ' END || CASE WHEN css_c
 _RATIO = "strlen(text) / greatest(tagcount, 1)::DOUBLE"
 _SMOOTH = [0.00013383062461474178, 0.004431861620031266, 0.05399112742070441, 0.24197144565660075, 0.3989434693560978]
 _TAPS = ", ".join(f"({k}, {_SMOOTH[4 - abs(k)]!r}::DOUBLE)" for k in range(-4, 5))
-_WORDS = lambda c: f"string_split({_blanks(f'lower({c})')}, ' ')"
+_WORDS = lambda c: f"string_split({blanks(f'lower({c})')}, ' ')"
 
 ORACLES = {
     "page_clean_text": f"SELECT page_id, {_visible(_clean('html'))} AS text FROM pages",
-    "blocks": _PLAIN + "SELECT page_id, pos, text FROM b",
+    "blocks": PLAIN + "SELECT page_id, pos, text FROM b",
     "block_density": _BLOCKS + "SELECT page_id, pos, round(link_density::DOUBLE, 6) AS link_density, round(text_density, 6) AS text_density FROM d",
-    "block_start_tags": _PLAIN + "SELECT start_tag, count(*) AS n_blocks, count(DISTINCT page_id) AS n_pages FROM b GROUP BY 1",
-    "block_tagcount": _PLAIN + "SELECT page_id, pos, tagcount, since_last, anchors FROM b",
-    "block_css": _PLAIN + "SELECT page_id, pos, css_id, css_class FROM b",
-    "css_flags": _PLAIN + f"SELECT page_id, pos, {_FLAGS} AS flags FROM b",
-    "text_flags": _PLAIN + f"""SELECT page_id, pos, concat_ws(',', regexp_matches({_CSS}, '{NAME_WORDS}')::INT, regexp_matches(text, '{BYLINE_WORDS}')::INT,
+    "block_start_tags": PLAIN + "SELECT start_tag, count(*) AS n_blocks, count(DISTINCT page_id) AS n_pages FROM b GROUP BY 1",
+    "block_tagcount": PLAIN + "SELECT page_id, pos, tagcount, since_last, anchors FROM b",
+    "block_css": PLAIN + "SELECT page_id, pos, css_id, css_class FROM b",
+    "css_flags": PLAIN + f"SELECT page_id, pos, {_FLAGS} AS flags FROM b",
+    "text_flags": PLAIN + f"""SELECT page_id, pos, concat_ws(',', regexp_matches({_CSS}, '{NAME_WORDS}')::INT, regexp_matches(text, '{BYLINE_WORDS}')::INT,
         contains(text, '／')::INT, coalesce(list_position({list(TAG_INDEX)}, start_tag), 0), length({_CSS}), regexp_matches(text, '{DATE_CHARACTERS}')::INT,
         regexp_matches(text, '{SENTENCE_MARKS}')::INT, length(text)) AS numbers FROM b""",
     "density_neighbours": _BLOCKS + """SELECT page_id, pos, round(coalesce(lag(link_density) OVER w, 0)::DOUBLE, 6) AS prev_link, round(coalesce(lag(text_density) OVER w, 0), 6) AS prev_text,
         round(link_density::DOUBLE, 6) AS link, round(text_density, 6) AS text, round(coalesce(lead(link_density) OVER w, 0)::DOUBLE, 6) AS next_link, round(coalesce(lead(text_density) OVER w, 0), 6) AS next_text
         FROM d WINDOW w AS (PARTITION BY page_id ORDER BY pos)""",
-    "tag_ratio_delta": _PLAIN + f""", x AS (SELECT page_id, pos, {_RATIO} AS r FROM b)
+    "tag_ratio_delta": PLAIN + f""", x AS (SELECT page_id, pos, {_RATIO} AS r FROM b)
         SELECT page_id, pos, round(r, 6) AS ratio, round(abs(coalesce(avg(r) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING),
                avg(r) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)) - r), 6) AS delta FROM x""",
-    "tag_ratio_smooth": _PLAIN + f""", x AS (SELECT page_id, pos, {_RATIO} AS r, count(*) OVER (PARTITION BY page_id) AS n FROM b),
+    "tag_ratio_smooth": PLAIN + f""", x AS (SELECT page_id, pos, {_RATIO} AS r, count(*) OVER (PARTITION BY page_id) AS n FROM b),
         y AS (SELECT *, abs(coalesce(avg(r) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), avg(r) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)) - r) AS dx FROM x),
         taps AS (SELECT y.page_id, y.pos, w, ((y.pos + k) % (2 * n) + 2 * n) % (2 * n) AS p, n FROM y, (VALUES {_TAPS}) AS t(k, w))
         SELECT taps.page_id, taps.pos, round(sum(w * y.r), 5) AS ratio, round(sum(w * y.dx), 5) AS delta
         FROM taps JOIN y ON y.page_id = taps.page_id AND y.pos = CASE WHEN p < taps.n THEN p ELSE 2 * taps.n - 1 - p END GROUP BY ALL""",
-    "dom_blocks": _PLAIN + "SELECT page_id, pos, start_tag, text FROM b",
+    "dom_blocks": PLAIN + "SELECT page_id, pos, start_tag, text FROM b",
     "block_softmax": _BLOCKS + """, m AS (SELECT page_id, pos, exp(text_density / 10 - max(text_density / 10) OVER (PARTITION BY page_id)) AS e FROM d)
         SELECT page_id, pos, round(e / sum(e) OVER (PARTITION BY page_id), 6) AS p FROM m""",
-    "topk_blocks": _PLAIN + """, r AS (SELECT page_id, pos, strlen(text) AS bytes, row_number() OVER (PARTITION BY page_id ORDER BY strlen(text) DESC, pos) AS rank FROM b)
+    "topk_blocks": PLAIN + """, r AS (SELECT page_id, pos, strlen(text) AS bytes, row_number() OVER (PARTITION BY page_id ORDER BY strlen(text) DESC, pos) AS rank FROM b)
         SELECT page_id, pos, bytes, rank FROM r WHERE rank <= 3""",
-    "page_content": _PLAIN + """SELECT p.page_id, string_agg(b.text, chr(10) ORDER BY b.pos) FILTER (WHERE len(string_split(b.text, ' ')) >= 10) AS content FROM pages p LEFT JOIN b ON b.page_id = p.page_id GROUP BY 1""",
+    "page_content": PLAIN + """SELECT p.page_id, string_agg(b.text, chr(10) ORDER BY b.pos) FILTER (WHERE len(string_split(b.text, ' ')) >= 10) AS content FROM pages p LEFT JOIN b ON b.page_id = p.page_id GROUP BY 1""",
     "page_title": f"""WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1\\s*>', 1) AS hs, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1) AS ti FROM pages),
         v AS (SELECT page_id, len(hs) AS n, {_visible("coalesce(hs[1], '')")} AS h1, {_visible('ti')} AS tt FROM t),
         c AS (SELECT *, regexp_extract(tt, '^(.+)\\s+[-|]\\s+.*$', 1) AS cut FROM v)
@@ -122,8 +138,8 @@ ORACLES = {
     "url_valid": f"""SELECT page_id, regexp_matches(url, '^https?://') AND length({_HOST}) >= 5 AND NOT (starts_with({_HOST}, 'www.') AND length({_HOST}) < 8) AS valid FROM pages""",
     "url_date_override": """SELECT o_orderkey, make_date((2000 + o_orderkey % 25)::INT, (1 + o_orderkey % 12)::INT,
         least(1 + o_orderkey % 31, day(last_day(make_date((2000 + o_orderkey % 25)::INT, (1 + o_orderkey % 12)::INT, 1))))::INT) AS day FROM orders""",
-    "entity_unescape": f"SELECT page_id, md5({_unescape('html')}) AS digest, length({_unescape('html')}) AS n_chars FROM pages",
-    "whitespace_trim": f"SELECT doc_id, md5({_blanks('text')}) AS digest, md5(nullif({_blanks('text')}, '')) AS line FROM documents",
+    "entity_unescape": f"SELECT page_id, md5({unescape('html')}) AS digest, length({unescape('html')}) AS n_chars FROM pages",
+    "whitespace_trim": f"SELECT doc_id, md5({blanks('text')}) AS digest, md5(nullif({blanks('text')}, '')) AS line FROM documents",
     "link_inventory": """WITH l AS (SELECT page_id, trim(unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1)), '"''') AS href FROM pages)
         SELECT href, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM l GROUP BY 1""",
     "tags_split": """WITH t AS (SELECT trim(unnest(string_split(replace(p_name, ' ', ','), ','))) AS tag FROM part) SELECT tag, count(*) AS n_parts FROM t WHERE tag <> '' GROUP BY 1""",
@@ -143,7 +159,7 @@ ORACLES = {
         SELECT doc_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM r""",
     "edit_distance": "SELECT n.n_nationkey, damerau_levenshtein(n.n_name, p.n_name) AS distance FROM nation n JOIN nation p ON p.n_nationkey = n.n_nationkey - 1",
     "author_normalize": "SELECT n_nationkey, 'Jane Doe; ' || upper(n_name[1]) || lower(regexp_extract(n_name, '^([A-Za-z]+)', 1))[2:] AS authors FROM nation",
-    "boilerplate_lines": _PLAIN + "SELECT text, count(*) AS n_blocks, count(DISTINCT page_id) AS n_pages FROM b GROUP BY 1 HAVING count(DISTINCT page_id) > 1",
+    "boilerplate_lines": PLAIN + "SELECT text, count(*) AS n_blocks, count(DISTINCT page_id) AS n_pages FROM b GROUP BY 1 HAVING count(DISTINCT page_id) > 1",
     "lang_block_stats": "SELECT lang, source, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY ROLLUP (lang, source)",
     "doc_quality_features": "SELECT quality, lang, count(*) AS n_docs, round(avg(strlen(text)), 4) AS mean_bytes FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2",
     "host_pages": f"WITH u AS ({_URL}), n AS (SELECT {_HOST} AS host, page_id FROM pages), m AS (SELECT page_id, {_NORMAL} AS u FROM u) SELECT host, count(*) AS n_pages, count(DISTINCT u) AS n_urls FROM n JOIN m USING (page_id) GROUP BY 1",
