@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.sentencepiece_bpe import SPACE, _fields
+from pagelathe.llm.sentencepiece_bpe import SPACE, _fields, once, read_bytes
 from pagelathe.runtime import ship_package
 
 KEEP_WORDS = 300_000
@@ -30,10 +30,10 @@ ROWS = 256
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def vocabulary(path: str) -> list[str]:
-    """The normal pieces of a SentencePiece model."""
-    with open(path, "rb") as file:
-        pieces = [dict(_fields(v)) for k, v in _fields(file.read()) if k == 1]
+def vocabulary(source: str | bytes) -> list[str]:
+    """The normal pieces of a SentencePiece model, by its path or bytes."""
+    blob = read_bytes(source) if isinstance(source, str) else source
+    pieces = [dict(_fields(v)) for k, v in _fields(blob) if k == 1]
     return [p[1].decode() for p in pieces if p.get(3, 1) == 1]
 
 
@@ -105,21 +105,21 @@ class Automaton:
         return len(words), total
 
 
-_MACHINES: dict[str, Automaton] = {}
+def automaton(blob: bytes) -> Automaton:
+    return Automaton(vocabulary(blob))
 
 
 def machine(path: str) -> Automaton:
-    if path not in _MACHINES:
-        _MACHINES[path] = Automaton(vocabulary(path))
-    return _MACHINES[path]
+    return once(automaton, read_bytes(path))
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_words, n_tokens."""
     ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(read_bytes(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = machine(model_path)
+        m = once(automaton, shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
