@@ -7,10 +7,11 @@ row's number among them, so reruns agree.
 
 Ceilings: a source's target stops at `ceiling` times its tokens; what it cannot take is shared among
 the others by weight until no target is above its ceiling. That is water filling: with sources in
-the order of ceiling / weight, the level is where the running sums meet the budget, so two window
+the order of ceiling / weight, the level is where the running sums meet the budget, so two running
 sums over the per-source totals solve it in one pass.
 
 Scale: the shuffle carries one row per source and task, and narrow rows for the few ids that repeat.
+Sources may be many (hosts): they are ranked and summed in ranges, and only ranges' totals are gathered.
 Rates go back to the documents by a join on the source; a hot source is split by adaptive execution.
 
 Defined results: a null text has no tokens; null is a source of its own, ordered last. A document
@@ -20,10 +21,10 @@ are taken 0 times. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.numbering import gapless
+from pagelathe.llm.numbering import gapless, running
 from pagelathe.runtime import free_name, materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -43,17 +44,16 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: flo
 
     Strings compare by their UTF-8 bytes in Spark, which is the order of code points.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    caps = totals.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(ceiling)))
-    caps = caps.withColumn("bound", F.col("cap") / F.col("weight"))
-    filled = Window.orderBy("bound", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) * F.lit(float(budget)) - (F.sum("cap").over(filled) - F.col("cap"))) / (F.sum("weight").over(whole) - (F.sum("weight").over(filled) - F.col("weight")))
+    held = materialize(totals.withColumn("none", F.col("source").isNull()).withColumn("one", F.lit(1)), "mix-sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    caps = running(held, ["none", "source"], {"rank": "one"}).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(ceiling)))
+    caps = materialize(caps.withColumn("bound", F.col("cap") / F.col("weight")), "mix-caps")
+    whole = caps.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    level = (F.lit(whole["size"]) * F.lit(float(budget)) - (F.col("caps_to") - F.col("cap"))) / (F.lit(whole["weight"]) - (F.col("weights_to") - F.col("weight")))
     # The level if this source and all with higher bounds are unbounded; the first that bears it sets it.
-    caps = caps.withColumn("level_here", level)
-    caps = caps.withColumn("level", F.max(F.when(F.col("level_here") <= F.col("bound"), F.col("level_here"))).over(whole))
-    target = F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("weight")), F.col("cap"))
+    caps = materialize(running(caps, ["bound", "none", "source"], {"caps_to": "cap", "weights_to": "weight"}).withColumn("level_here", level), "mix-levels")
+    found = caps.agg(F.max(F.when(F.col("level_here") <= F.col("bound"), F.col("level_here"))).alias("level")).first()["level"]
+    target = F.coalesce(F.least(F.col("cap"), F.lit(found).cast("double") * F.col("weight")), F.col("cap")) if found is not None else F.col("cap")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return caps.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
