@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -110,3 +111,62 @@ def test_very_long_texts_do_not_use_up_the_sample(spark, monkeypatch):
     toxicity.fit(docs, labels, sample=50)  # goes on after the first ids
     assert len(learned[1][0]) == 50
     assert learned[1][0] == [texts[i] for i in ids[3:53]]
+
+
+def slow_margins(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Boosting by the definition: of all cuts of all features the one with the greatest gain, row by row."""
+    edges = []
+    for j in range(x.shape[1]):
+        some = sorted(set(x[:, j]))
+        edges.append(sorted(set(np.quantile(some, np.linspace(0, 1, toxicity.BINS)[1:-1]))) if len(some) > 1 else [])
+    share = float(np.mean(y))
+    margin = [math.log(share / (1 - share))] * len(y)
+    for _ in range(toxicity.TREES):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        grad, hess = [a - b for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+        leaves = [list(range(len(y)))]
+        for _ in range(toxicity.DEPTH):
+            deeper = []
+            for rows in leaves:
+                best, parts = 1e-6, (rows, [])
+                if len(rows) >= 20:
+                    total = sum(grad[r] for r in rows), sum(hess[r] for r in rows)
+                    for j in range(x.shape[1]):
+                        for cut in edges[j]:
+                            left = [r for r in rows if x[r, j] < cut]
+                            g, h = sum(grad[r] for r in left), sum(hess[r] for r in left)
+                            gain = g * g / (h + 1) + (total[0] - g) ** 2 / (total[1] - h + 1) - total[0] ** 2 / (total[1] + 1)
+                            if gain > best + 1e-9:
+                                best, parts = gain, (left, [r for r in rows if x[r, j] >= cut])
+                deeper += parts
+            leaves = deeper
+        for rows in leaves:
+            value = -toxicity.RATE * sum(grad[r] for r in rows) / (sum(hess[r] for r in rows) + 1)
+            for r in rows:
+                margin[r] += value
+    return np.array(margin)
+
+
+def test_trees_equal_the_definition(monkeypatch):
+    monkeypatch.setattr(toxicity, "TREES", 5)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(120, 4)), 2)
+    y = (x[:, 0] + x[:, 2] ** 2 + rng.normal(size=120) / 2 > 0.8).astype(float)
+    assert np.allclose(toxicity.Booster().fit(x, y).margin(x), slow_margins(x, y), atol=1e-9)
+
+
+def test_calibration_equals_the_definition():
+    """Isotonic regression by its min-max formula; ties of the margin are one point."""
+    rng = np.random.default_rng(9)
+    margin = np.round(rng.normal(size=150), 1)
+    y = (margin + rng.normal(size=150) > 0).astype(float)
+    values = np.unique(margin)
+    means = [[float(np.mean(y[(margin >= a) & (margin <= b)])) if a <= b else None for b in values] for a in values]
+    want = [max(min(means[a][b] for b in range(i, len(values))) for a in range(i + 1)) for i in range(len(values))]
+    xs, ys = toxicity.isotonic(margin, y)
+    assert (np.diff(ys) > 0).all()
+    for v, w in zip(values, want, strict=True):
+        assert np.isclose(ys[np.argmin(np.abs(ys - w))], w)
+    assert np.isclose(np.interp(values[0], xs, ys), want[0])
+    assert np.isclose(np.interp(values[-1], xs, ys), want[-1])
+    assert set(np.round(ys, 9)) == set(np.round(want, 9))
