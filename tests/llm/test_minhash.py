@@ -93,3 +93,21 @@ def test_a_repeated_id_has_the_links_of_each_of_its_texts(spark):
     docs = spark.createDataFrame(held, "doc_id long, text string")
     assert {(r["component_id"], r["kept"]) for r in minhash.assign(docs).collect() if r["doc_id"] == 2} == {(1, False)}
     assert [r["doc_id"] for r in minhash.drop_near_duplicates(docs).collect()] == [1]
+
+
+def test_pairs_at_the_threshold_whatever_the_room(spark, monkeypatch):
+    """Pairs on both sides of the bound inside crowds that share half of their words; regions parted at once, or as usual."""
+    rng = random.Random(31)
+    rows = []
+    for _ in range(12):
+        shared = [f"s{rng.randint(0, 10**6)}" for _ in range(60)]
+        for _ in range(6):
+            own = shared + [f"o{rng.randint(0, 10**6)}" for _ in range(60)]
+            for cut in (0, 8, 9, 10):  # 118 shingles of 3 words: 8 words off leave a similarity of 0.87, 9 of 0.855, 10 of 0.84
+                rows.append(" ".join([*own[cut:], *[f"e{rng.randint(0, 10**6)}" for _ in range(cut and rng.randint(0, 2))]]))
+    rng.shuffle(rows)
+    docs = documents(spark, rows, clashing=False)
+    want = sorted(brute.near_duplicates(list(enumerate(rows, 1)), 3, 85), key=str)
+    for room in (1, minhash.ROOM):
+        monkeypatch.setattr(minhash, "ROOM", room)
+        assert rows_of(minhash.assign(docs, size=3, percent=85)) == want
