@@ -505,3 +505,15 @@ ORACLES["article_token_f1"] = oracles.PLAIN + f""", c AS (SELECT page_id, string
     x AS (SELECT p.page_id, list_distinct(string_split_regex(coalesce(content, ''), '\\s+')) AS p, list_distinct(string_split({oracles.blanks(oracles.unescape("regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')"))}, ' ')) AS a FROM pages p LEFT JOIN c ON c.page_id = p.page_id),
     r AS (SELECT page_id, len(list_intersect(p, a)) / len(p)::DOUBLE AS p, len(list_intersect(p, a)) / len(a)::DOUBLE AS r FROM x)
     SELECT page_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM r"""
+
+_AUTHOR = """CASE WHEN regexp_matches(concat_ws(' ', css_id, css_class), 'author|byline') THEN 4.0 WHEN regexp_matches(text, '^(?:By|Von) |記者') THEN 3.0 ELSE -4.0 END - CASE WHEN len(string_split(text, ' ')) > 12 THEN 4.0 ELSE 0.0 END"""
+_BARE = """regexp_replace(regexp_replace(text, '(?i)^\\s*(?:written |posted |words |story )?(?:by|von|por|par)[: ]+', ''), '記者|編輯|報導|撰文|文|攝影|專欄|即時|綜合|[〔〕【】（）()]', ' ', 'g')"""
+_PARTS = f"""list_transform(string_split_regex({_BARE}, '(?i)\\s*(?:,|;|/|／|、|\\||&|\\band\\b|\\bund\\b)\\s*|\\s{{2,}}'), lambda p: trim(regexp_replace(p, '^[\\s\\p{{P}}]+|[\\s\\p{{P}}]+$', '', 'g')))"""
+ORACLES["page_records"] = oracles.PLAIN + f""", c AS (SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS content FROM b WHERE {_LOGIT} > 0 GROUP BY 1),
+    l AS (SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS headline FROM b WHERE start_tag = 'h1' GROUP BY 1),
+    e AS (SELECT page_id, pos, text, exp(x - max(x) OVER (PARTITION BY page_id)) AS e FROM (SELECT page_id, pos, text, {_AUTHOR} AS x FROM b) u),
+    s AS (SELECT *, e / sum(e) OVER (PARTITION BY page_id) AS p, row_number() OVER (PARTITION BY page_id ORDER BY e DESC, pos) AS nth FROM e),
+    n AS (SELECT page_id, {_PARTS} AS ns FROM s WHERE nth = 1 AND p > 0.1),
+    a AS (SELECT page_id, nullif(array_to_string(list_filter(ns, lambda x, i: x <> '' AND NOT regexp_matches(x, '\\d') AND length(x) <= 50 AND list_position(ns, x) = i), ','), '') AS author FROM n),
+    m AS ({ORACLES["page_metadata"]})
+    SELECT m.page_id, m.title, a.author, m.url, m.hostname, m.sitename, m.license, NULL::DATE AS date, c.content, l.headline, m._error FROM m LEFT JOIN a USING (page_id) LEFT JOIN c USING (page_id) LEFT JOIN l USING (page_id)"""
