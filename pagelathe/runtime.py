@@ -22,7 +22,8 @@ _PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table `name` under `sf_dir`, by Spark's reader alone."""
+    """The Parquet table `name` under `sf_dir`, by Spark's reader alone; workers get this package with it."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelathe.runtime import ship_package
+
 PAGES = "page_id long, url string, html string"
 _CHARSET = {"utf8": "UTF-8", "utf-8": "UTF-8", "ascii": "US-ASCII", "us-ascii": "US-ASCII", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "iso8859-1": "ISO-8859-1", "windows-1252": "ISO-8859-1", "utf-16": "UTF-16", "utf-16be": "UTF-16BE", "utf-16le": "UTF-16LE", "utf-32": "UTF-32"}
 
@@ -62,11 +64,13 @@ def is_page(html: Column) -> Column:
 
 
 def from_parquet(spark: SparkSession, path: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(path)
 
 
 def from_files(spark: SparkSession, path: str) -> DataFrame:
     """One page a file: url is the path, page_id a hash of it."""
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), to_html(F.col("content")).alias("html"))
 

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagelathe.functions.urls import host, normalize
+from pagelathe.runtime import ship_package
 from pagelathe.sources.pages import PAGES
 
 
 def read_pages(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
     """Pages from Parquet files as they arrive."""
+    ship_package(spark)
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
