@@ -326,12 +326,12 @@ def url(root: Node, said: Said, default: str | None) -> str | None:
 
 
 def domain(u: str | None) -> str | None:
-    """The registered domain in lower case: two labels, three under a known suffix; none for numbers and bare names."""
+    """The registered domain in lower case: two labels, three below a country's second level; none for numbers and bare names."""
     m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", u or "", re.I)
     labels = m[1].lower().split(".") if m else []
     if len(labels) < 2 or labels[-1].isdigit():
         return None
-    keep = 3 if ".".join(labels[-2:]) in vocab.SUFFIXES else 2
+    keep = 3 if len(labels[-1]) == 2 and labels[-2] in vocab.SECOND_LEVEL else 2
     return ".".join(labels[-keep:])
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagelathe.functions.binding import let
-from pagelathe.functions.vocab import DATE_PATTERNS, MONTHS, SUFFIXES
-
+from pagelathe.functions.vocab import DATE_PATTERNS, MONTHS, SECOND_LEVEL
 
 
 def host(url: Column) -> Column:
@@ -22,13 +21,14 @@ def is_valid(url: Column) -> Column:
 
 
 def domain(url: Column) -> Column:
-    """The registered domain: two labels, three under a known suffix."""
+    """The registered domain: two labels, three where names are registered below a country's second level."""
     h = F.lower(F.regexp_replace(host(url), r":\d+$", ""))
     labels = F.split(h, r"\.")
     n = F.size(labels)
     two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")
     three = F.array_join(F.slice(labels, F.greatest(n - 2, F.lit(1)), 3), ".")
-    return F.when(two.isin(*SUFFIXES) & (n > 2), three).otherwise(two)
+    below = two.rlike(rf"^(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")
+    return F.when(below & (n > 2), three).otherwise(two)
 
 
 def normalize(url: Column) -> Column:

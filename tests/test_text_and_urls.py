@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from pagelathe.functions import names, urls
+from pagelathe.functions import mining, names, urls
 from pagelathe.functions import text as tx
 
 
@@ -101,3 +101,12 @@ def test_dates(spark):
     told = ["2021-03-04T05:06:07Z", "2021-03-04", "4 March 2021", "Mar 4, 2021", "Thu, 04 Mar 2021 05:06:07 GMT", "2021年3月4日", "no date", None]
     got = each(spark, urls.parse_date, told)
     assert [None if g is None else g.date() for g in got] == [datetime.date(2021, 3, 4)] * 6 + [None, None]
+
+
+@pytest.mark.parametrize(
+    ("host", "want"),
+    [("www.a.co.uk", "a.co.uk"), ("a.b.com.au", "b.com.au"), ("x.or.jp", "x.or.jp"), ("www.example.com", "example.com"), ("deep.sub.example.org", "example.org"), ("co.uk", "co.uk"), ("a.uni.de", "uni.de"), ("a.net.com", "net.com")],
+)
+def test_registered_domains(spark, host, want):
+    row = spark.createDataFrame([(f"https://{host}:8080/x",)], "u string").select(urls.domain(F.col("u"))).first()
+    assert row[0] == want == mining.domain(f"https://{host}:8080/x")
