@@ -12,8 +12,8 @@ totals in the split's own order; splits meet their totals and sum log scores per
 travel as differences of sorted values, about six bytes an n-gram, each once a split however often it occurs.
 
 Scale: a split is 16 MB of text or, for large inputs, as much as the square root of the input asks for: the
-parts of all splits are splits times parts rows, and none is then below a kilobyte or so (at 100 TB a
-split has some 400 MB). A part's group holds a share of all distinct n-grams, and the number of parts
+parts of all splits are splits times parts rows, and none is then below some hundred bytes (at 100 TB a
+split has some 200 MB). A part's group holds a share of all distinct n-grams, and the number of parts
 follows the number of splits, so tasks stay level and an n-gram that is in every text is one entry a
 split. Texts are shuffled once, to meet their totals.
 
@@ -39,7 +39,7 @@ ORDER = 2
 ALPHA = 0.4
 UNSEEN = 0.5
 #: Bytes of text in a split, and bytes of text that a split has for each part, at least.
-GROUP_BYTES, PART_BYTES = 16 << 20, 1700
+GROUP_BYTES, PART_BYTES = 16 << 20, 425
 
 
 def pack(values: np.ndarray) -> bytes:
