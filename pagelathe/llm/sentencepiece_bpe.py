@@ -101,7 +101,9 @@ class Model:
         self._byte_of = {i: b for b, i in enumerate(self.bytes)}
         self._pairs: dict[int, bool] = {}
         self._chunks: dict[str, bytes] = {}
-        self._texts: dict[bytes, str] = {}
+        self._texts: dict[str, str] = {}
+        #: What ordinary pieces decode to.
+        self._plain = {i: p.replace(SPACE, " ") for p, i in self.ids.items()}
         # Pieces that merging can reach; others never come out.
         self.live = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [p]}
         self.size = {i: len(p) for p, i in self.live.items()}
@@ -144,7 +146,7 @@ class Model:
         failed = bytearray(n + 1)
         out: list[int] = []
         starts: list[int] = []  # where the pieces of `out` begin; -1: bytes, which nothing merges with
-        at, size_of, shorter, fit = 0, self.size, self.shorter, self._fit
+        at, size_of, shorter, fit, pairs = 0, self.size, self.shorter, self._fit, self._pairs
         bars = [0]  # positions that backtracking doesn't go behind
         token = longest[0] if n else -1
         while at < n:
@@ -159,7 +161,10 @@ class Model:
             last = out[-1] if at > bars[-1] else -1
             while True:
                 end = at + size_of[token]
-                if not failed[end] and (last < 0 or fit(last, token)):
+                good = last < 0 or pairs.get(last << 20 | token)
+                if good is None:
+                    good = fit(last, token)
+                if good and not failed[end]:
                     out.append(token)
                     starts.append(at)
                     at = end
@@ -176,33 +181,39 @@ class Model:
 
     _cut = re.compile("\n| *[^ \n]+| +")
 
-    def _parts(self, text: str) -> list[bytes]:
-        if not text:
-            return []
-        cut = self._cut.findall((" " if self.prefix else "") + text.replace(SPACE, " "))
-        known = self._chunks
-        if len(known) > KEEP_CHUNKS:
-            known.clear()
-            self._texts.clear()
-        long = {}
-        for chunk in set(cut).difference(known):
-            ids = self.chunk_ids(chunk.replace(" ", SPACE))
-            (known if len(chunk) <= KEEP_LENGTH else long)[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        if long:
-            return [known[c] if c in known else long[c] for c in cut]
-        return list(map(known.__getitem__, cut))
+    def _made(self, chunk: str) -> tuple[bytes, str]:
+        """A chunk's ids, packed, and the text that they decode to."""
+        i = self.live.get(chunk.replace(" ", SPACE))
+        ids = self.chunk_ids(chunk.replace(" ", SPACE)) if i is None else [i]
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        try:
+            return packed, "".join([self._plain[i] for i in ids])
+        except KeyError:  # byte pieces
+            return packed, self._spelled(packed)
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids with begin and end as little-endian 32-bit numbers, and the text decoded from them."""
-        parts = self._parts(text or "")
-        texts = self._texts
+        cut = self._cut.findall((" " if self.prefix else "") + text.replace(SPACE, " ")) if text else []
+        chunks, texts = self._chunks, self._texts
+        if len(chunks) > KEEP_CHUNKS:
+            chunks.clear()
+            texts.clear()
         long = {}
-        for part in set(parts).difference(texts):
-            (texts if len(part) <= 4 * KEEP_LENGTH else long)[part] = self._spelled(part)
-        decoded = "".join([texts[p] if p in texts else long[p] for p in parts] if long else map(texts.__getitem__, parts))
+        for chunk in cut:
+            if chunk in chunks or chunk in long:
+                continue
+            if len(chunk) <= KEEP_LENGTH:
+                chunks[chunk], texts[chunk] = self._made(chunk)
+            else:
+                long[chunk] = self._made(chunk)
+        if long:
+            packed = [long[c][0] if c in long else chunks[c] for c in cut]
+            decoded = "".join([long[c][1] if c in long else texts[c] for c in cut])
+        else:
+            packed, decoded = list(map(chunks.__getitem__, cut)), "".join(map(texts.__getitem__, cut))
         if self.prefix and decoded.startswith(" "):
             decoded = decoded[1:]
-        return struct.pack("<I", self.begin) + b"".join(parts) + struct.pack("<I", self.end), decoded
+        return struct.pack("<I", self.begin) + b"".join(packed) + struct.pack("<I", self.end), decoded
 
     def _spelled(self, packed: bytes) -> str:
         """The text of ids, the begin's space included; bytes that are no UTF-8 become U+FFFD."""
