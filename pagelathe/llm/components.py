@@ -3,7 +3,7 @@
 After Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Both steps are an
 aggregate with map-side combining and an equi-join, so a node with very many edges is never gathered
 in one task. Each round is written to the shared folder, which cuts the lineage; nothing but two
-numbers a round reaches the driver.
+numbers a round reaches the driver: no table is broadcast, as few bytes of such a file hold many rows.
 """
 
 from __future__ import annotations
@@ -34,11 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Written first: a join with an aggregate in the same stage could not be split for a hot node.
         least = materialize(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least", n)
         # large-star: the larger neighbours of a node go to its smallest neighbour
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least.hint("merge"), F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "cc-large", n)
         # small-star: a node's smaller neighbours, and the node, go to the smallest
         low_of = materialize(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "cc-low", n)
-        small = large.join(low_of, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = large.join(low_of.hint("merge"), F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = small.unionByName(low_of.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         now = materialize(small, "cc", n)
         after = _state(now)

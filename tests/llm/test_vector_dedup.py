@@ -83,6 +83,25 @@ def test_parameters_keep_the_miss_rate():
         assert (1 - agree) ** tables <= vd.MISS
 
 
+def held(store):
+    runs = store.executionsList()
+    return [runs.apply(k) for k in range(runs.size())]
+
+
+def test_driver_gets_no_table(spark):
+    """No step broadcasts rows of the vectors, codes, buckets or results, however small their files are."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist(), i % 3) for i in range(300)]
+    rows += [(300 + i, v, label) for i, v, label in rows[:40]]
+    store = spark._jsparkSession.sharedState().statusStore()
+    done = {e.executionId() for e in held(store)}
+    assert got_of(vd.assign(table(spark, rows))) == expected(rows)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [e.physicalPlanDescription().partition("== Initial Plan ==")[0] for e in held(store) if e.executionId() not in done]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_empty_table(spark):
     assert vd.assign(table(spark, [])).collect() == []
 
