@@ -73,8 +73,21 @@ def override_date(date: Column, url: Column) -> Column:
     return F.when(date.isNotNull(), let(path_date(url), with_path))
 
 
+_YMD, _HM = r"^[+-]?\d{4,}%s\d\d%s\d\d", r"\d\d:\d\d"
+#: Spellings of dates in the order in which they are tried, each with a shape that every text it can read has.
+_SPELLINGS = (
+    ("yyyy-MM-dd'T'HH:mm:ssXXX", _YMD % ("-", "-") + rf"[Tt]{_HM}:\d\d[^.]"), ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", _YMD % ("-", "-") + rf"[Tt]{_HM}:\d\d\.\d"), ("yyyy-MM-dd'T'HH:mm:ss", _YMD % ("-", "-") + rf"[Tt]{_HM}:\d\d$"),
+    ("yyyy-MM-dd HH:mm:ss", _YMD % ("-", "-") + rf" {_HM}:\d\d$"), ("yyyy-MM-dd HH:mm", _YMD % ("-", "-") + rf" {_HM}$"), ("yyyy-MM-dd", _YMD % ("-", "-") + "$"),
+    ("yyyy/MM/dd HH:mm", _YMD % ("/", "/") + rf" {_HM}$"), ("yyyy/MM/dd", _YMD % ("/", "/") + "$"), ("yyyy.MM.dd", _YMD % (r"\.", r"\.") + "$"),
+    ("d MMM yyyy HH:mm:ss Z", r"^[+-]?\d+ \p{L}{3,4} .*:\d\d [+-]"), ("d MMM yyyy HH:mm:ss z", r"^[+-]?\d+ \p{L}{3,4} .*:\d\d \S"), ("d MMM yyyy", r"^[+-]?\d+ \p{L}{3,4} \S*$"), ("d MMMM yyyy", r"^[+-]?\d+ \p{L}{3,} \S*$"),
+    ("MMM d, yyyy", r"^\p{L}{3,4} [+-]?\d+, \S*$"), ("MMMM d, yyyy", r"^\p{L}{3,} [+-]?\d+, \S*$"), ("yyyy'年'M'月'd'日'", r"^[+-]?\d{4,}年"),
+)
+
+
 def parse_date(s: Column) -> Column:
-    """A timestamp from the usual spellings, or null."""
-    formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyy.MM.dd", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy'年'M'月'd'日'")
+    """A timestamp from the usual spellings, or null.
+
+    A text that a spelling cannot read costs Java an exception, so each is tried on texts of its shape alone.
+    """
     bare = F.regexp_replace(F.trim(s), r"^[A-Za-z]{3}, ", "")
-    return F.when(s.isNotNull(), let(bare, lambda b: F.coalesce(*[F.try_to_timestamp(b, F.lit(f)) for f in formats])))
+    return F.when(s.isNotNull(), let(bare, lambda b: F.coalesce(*[F.when(b.rlike(shape), F.try_to_timestamp(b, F.lit(f))) for f, shape in _SPELLINGS])))

@@ -14,7 +14,10 @@ from pagelathe.functions.text import blanks, unescape
 from pagelathe.functions.vocab import BLOCK_TAGS, IGNORED, IGNORED_VOID
 
 _NAMES = "h[1-6]|" + "|".join(t for t in BLOCK_TAGS if t[0] != "h")
+FIELDS = ("pos", "start_tag", "css_id", "css_class", "text", "tagcount", "since_last", "anchors", "link_density", "text_density")
 _CUT = rf"(?i)(?=<(?:{_NAMES})[\s/>])"
+#: A code point that is no character.
+_MARK = "\ufdd0"
 
 
 def clean(html: Column) -> Column:
@@ -35,9 +38,18 @@ def _attribute(piece: Column, name: str) -> Column:
     return F.lower(F.array_join(found, " "))
 
 
+def _cut(html: Column) -> Column:
+    """The parts before, between and from the block tags; the first may be empty.
+
+    A split by an expression compiles it anew for each row, one by a single character does not.
+    """
+    marked = F.split(F.regexp_replace(html, _CUT, _MARK), _MARK)
+    return F.when(html.contains(_MARK), F.split(html, _CUT)).otherwise(marked)
+
+
 def _pieces(text: Column) -> Column:
     """Number of parts between runs of bytes that are no ASCII word characters, empty ones counted."""
-    return F.size(F.split(text, r"[^A-Za-z0-9]+", -1))
+    return F.regexp_count(text, F.lit("[^A-Za-z0-9]+")) + 1
 
 
 def link_density(text: Column, link_text: Column | None = None) -> Column:
@@ -54,35 +66,51 @@ def text_density(text: Column) -> Column:
     return F.when(lines <= 1, _pieces(text).cast("double")).otherwise(_pieces(head) / (lines - 1))
 
 
-def with_blocks(pages: DataFrame, html: str = "html", link_mode: str = "compat") -> DataFrame:
+def with_blocks(pages: DataFrame, html: str = "html", link_mode: str = "compat", only: tuple[str, ...] | None = None) -> DataFrame:
     """Add `blocks`: array<struct<pos, start_tag, css_id, css_class, text, tagcount, since_last, anchors, link_density, text_density>>.
 
     link_mode 'compat' counts a link as an empty text, as links are blocks of their own; 'anchor'
-    takes the text of the link that opens the block.
+    takes the text of the link that opens the block. `only`: the fields that are wanted; Spark cannot see
+    which ones nobody reads, so the others would be computed as well.
     """
+    wanted = frozenset(FIELDS if only is None else only)
+    if unknown := wanted.difference(FIELDS):
+        raise ValueError(f"unknown fields {sorted(unknown)}")
     if link_mode not in ("compat", "anchor"):
         raise ValueError("link_mode must be 'compat' or 'anchor'")
 
     def piece(s: Column) -> Column:
         start = F.lower(F.regexp_extract(s, rf"(?i)^<({_NAMES})[\s/>]", 1))
-        return F.struct(
-            start.alias("start_tag"),
-            _attribute(s, "id").alias("css_id"),
-            _attribute(s, "class").alias("css_class"),
-            visible(s).alias("text"),
-            (F.regexp_count(s, F.lit("<[A-Za-z]")) - F.when(start == "", 0).otherwise(1)).cast("long").alias("tags"),
-            F.regexp_count(s, F.lit(r"(?i)<a[\s/>]")).cast("long").alias("anchors"),
-            F.when(start == "a", visible(F.regexp_extract(s, r"(?is)^<a[^>]*>(.*?)(?:</a\s*>|$)", 1))).otherwise("").alias("link_text"),
-        )
+        made = {
+            "start_tag": lambda: start,
+            "css_id": lambda: _attribute(s, "id"),
+            "css_class": lambda: _attribute(s, "class"),
+            "text": lambda: visible(s),
+            "tags": lambda: (F.regexp_count(s, F.lit("<[A-Za-z]")) - F.when(start == "", 0).otherwise(1)).cast("long"),
+            "anchors": lambda: F.regexp_count(s, F.lit(r"(?i)<a[\s/>]")).cast("long"),
+            "link_text": lambda: F.when(start == "a", visible(F.regexp_extract(s, r"(?is)^<a[^>]*>(.*?)(?:</a\s*>|$)", 1))).otherwise(""),
+        }
+        used = {"text", *wanted} | ({"tags"} if wanted & {"tagcount", "since_last"} else set()) | ({"link_text"} if "link_density" in wanted and link_mode == "anchor" else set())
+        return F.struct(*[make().alias(name) for name, make in made.items() if name in used])
 
     def block(held: Column, full: Column, at: Column, k: Column) -> Column:
         p = F.get(held, at)
-        before = F.when(k > 0, F.get(full, k - 1)).otherwise(-1)
-        # Pieces without text since the block before; each is looked at once.
-        since = F.aggregate(F.slice(held, before + 2, at - before - 1), F.lit(0).cast("long"), lambda n, q: n + q["tags"])
-        density = link_density(p["text"], p["link_text"]) if link_mode == "anchor" else link_density(p["text"])
-        told = (k.alias("pos"), p["start_tag"].alias("start_tag"), p["css_id"].alias("css_id"), p["css_class"].alias("css_class"), p["text"].alias("text"), p["tags"].alias("tagcount"), since.alias("since_last"), p["anchors"].alias("anchors"))
-        return F.struct(*told, density.alias("link_density"), text_density(p["text"]).alias("text_density"))
+
+        def since() -> Column:
+            """Tags of the pieces without text since the block before; each is looked at once."""
+            before = F.when(k > 0, F.get(full, k - 1)).otherwise(-1)
+            return F.aggregate(F.slice(held, before + 2, at - before - 1), F.lit(0).cast("long"), lambda n, q: n + q["tags"])
+
+        made = {
+            "pos": lambda: k,
+            **{name: lambda name=name: p[name] for name in ("start_tag", "css_id", "css_class", "text")},
+            "tagcount": lambda: p["tags"],
+            "since_last": since,
+            "anchors": lambda: p["anchors"],
+            "link_density": lambda: link_density(p["text"], p["link_text"]) if link_mode == "anchor" else link_density(p["text"]),
+            "text_density": lambda: text_density(p["text"]),
+        }
+        return F.struct(*[made[name]().alias(name) for name in FIELDS if name in wanted])
 
     def blocks(held: Column) -> Column:
         """Of the pieces those with text; bound by `let`, so that nothing is computed for each of them anew."""
@@ -91,7 +119,7 @@ def with_blocks(pages: DataFrame, html: str = "html", link_mode: str = "compat")
 
     # A select of its own, so that the cleaning runs once.
     cleaned = pages.withColumn("_clean", clean(F.col(html)))
-    return cleaned.withColumn("blocks", let(F.transform(F.split(F.col("_clean"), _CUT), piece), blocks)).drop("_clean")
+    return cleaned.withColumn("blocks", let(F.transform(_cut(F.col("_clean")), piece), blocks)).drop("_clean")
 
 
 def explode_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:

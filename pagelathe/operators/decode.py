@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from pagelathe.functions.binding import let
 
 TOP, CANDIDATE, BINARY = 10, 0.1, 0.5
+#: Fields of a block that `rule_logits` and `decode` read.
+RULE_FIELDS = ("start_tag", "css_id", "css_class", "text")
 LABELS = ("content", "author", "headline", "breadcrumbs", "date")
 
 
@@ -21,7 +23,7 @@ def rule_logits(b: Column) -> Column:
     Content: long, dense text with sentence marks that is no link. Headline: a heading. Author and date:
     short texts whose words or css say so. Breadcrumbs: css says so.
     """
-    n = F.size(F.split(b["text"], " "))
+    n = F.octet_length(b["text"]) - F.octet_length(F.replace(b["text"], F.lit(" "), F.lit(""))) + 1
     css = F.concat_ws(" ", b["css_id"], b["css_class"])
     heading = b["start_tag"].isin("h1", "h2")
     content = 0.15 * (F.least(n, F.lit(60)) - 12) + F.when(b["text"].rlike(r"[.。!?]$"), 1.0).otherwise(-0.5) + F.when(b["start_tag"] == "a", -3.0).when(heading, -6.0).otherwise(0.0) + F.when(css.rlike("foot|nav|menu|comment|sidebar|ad$"), -2.0).otherwise(0.0)
@@ -107,9 +109,17 @@ def selected(blocks: Column, logit: Column) -> Column:
     return F.nullif(F.array_join(F.transform(hit, lambda z: z["b"]["text"]), "\n"), F.lit(""))
 
 
-def decode(pages: DataFrame) -> DataFrame:
-    """Add content and headline (text) and author, date and breadcrumbs candidates."""
-    logit = lambda name: F.transform(F.col("logits"), lambda x: x[name].cast("double"))
+def decode(pages: DataFrame, scorer: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Add content and headline (text) and author, date and breadcrumbs candidates.
+
+    From `logits`, or by `scorer` from each block: then a label that nobody reads is never scored.
+    """
+
+    def logit(name: str) -> Column:
+        if scorer is not None:
+            return F.transform(F.col("blocks"), lambda b: scorer(b)[name].cast("double"))
+        return F.transform(F.col("logits"), lambda x: x[name].cast("double"))
+
     for name in LABELS:
         make = selected if name in ("content", "headline") else candidates
         pages = pages.withColumn(f"ml_{name}", make(F.col("blocks"), logit(name)))

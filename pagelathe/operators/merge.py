@@ -44,6 +44,19 @@ def last_date(found: Column) -> Column:
     return let(kept, lambda k: F.get(k, F.size(k) - 1))
 
 
+#: Fields of a record that only mining states, and those for which scores stand in.
+MINED = frozenset(("url", "hostname", "description", "sitename", "license", "name", "video", "audio", "categories", "tags", "og_properties"))
+MINED_FIRST = ("title", "author", "rawDate", "date")
+
+
+def needs_scores(meta: Column, fields: tuple[str, ...]) -> Column:
+    """Whether scores of blocks play a part in any of these fields of a record."""
+    if not MINED.union(MINED_FIRST).issuperset(fields):
+        return F.lit(True)
+    found = [let(meta["rawDate"], parse_date) if f == "date" else meta[f] for f in fields if f in MINED_FIRST]
+    return ~complete(*found)
+
+
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", names: Callable[[Column], Column] = names_of) -> DataFrame:
     """One record a page from decoded labels and `meta`; mined values win over scored ones.
 

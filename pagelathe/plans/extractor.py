@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.operators.blocks import with_blocks
-from pagelathe.operators.decode import OnnxScorer, decode, names_of, rule_logits, with_logits
+from pagelathe.operators.decode import RULE_FIELDS, OnnxScorer, decode, names_of, rule_logits
 from pagelathe.operators.dom import META, parse_pages
 from pagelathe.operators.features import network_inputs
-from pagelathe.operators.merge import records
+from pagelathe.operators.merge import needs_scores, records
 from pagelathe.runtime import free_name
 from pagelathe.sources.pages import is_page
 
@@ -28,7 +28,7 @@ class Extractor:
 
     scorer: from a block to its logits; or network: a model file on the inputs of `network_inputs`. meta_postprocess: column builders by field of the record, used
     where mining found nothing (earlier ones win). postprocess: from the records to new columns, which
-    may only add names. author_extractor: from the text of the best author candidate to its names. What
+    may only add names. fields: those of the record that are wanted (None: all); where mining found them all, nothing is scored. author_extractor: from the text of the best author candidate to its names. What
     cannot be a page (`is_page`) has no metadata. Page-local work stays in the row, so there is no shuffle but for the tree
     engine's join-free second column; streams take the same calls.
     """
@@ -40,6 +40,7 @@ class Extractor:
     postprocess: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
     parse_callback: Callable | None = None
     link_mode: str = "compat"
+    fields: tuple[str, ...] | None = None
 
     def __call__(self, pages: DataFrame) -> DataFrame:
         return self.extract(pages)
@@ -65,8 +66,12 @@ class Extractor:
             for name, make in callbacks.items():
                 rows = rows.withColumn("meta", F.col("meta").withField(name, F.coalesce(F.col(f"meta.{name}"), make(F.col("html")))))
         if self.network is None:
-            rows = with_logits(with_blocks(rows, link_mode=self.link_mode), self.scorer)
-        out = records(decode(rows), names=self.author_extractor)
+            if self.fields is not None:
+                rows = rows.withColumn("html", F.when(needs_scores(F.col("meta"), self.fields), F.col("html")))
+            rows = with_blocks(rows, link_mode=self.link_mode, only=RULE_FIELDS if self.scorer is rule_logits else None)
+        out = records(decode(rows, self.scorer if self.network is None else None), names=self.author_extractor)
+        if self.fields is not None:
+            out = out.select("page_id", *self.fields, "_error")
         for more in self.postprocess:
             held = free_name(out, "record")
             added = more(out.withColumn(held, F.struct(*out.columns)))

@@ -22,7 +22,7 @@ from pagelathe.operators import decode, dom, evaluate, merge, tagging
 from pagelathe.operators import features as ft
 from pagelathe.plans import oracles
 from pagelathe.plans.extractor import Extractor, regex_rule
-from pagelathe.runtime import read_table, shared_dir
+from pagelathe.runtime import read_table, shared_dir, spread
 from pagelathe.sources import pages as src
 from pagelathe.streaming import pages as streams
 
@@ -65,8 +65,8 @@ _TITLED = lambda e: f"(upper(({e})[1]) || lower(({e})[2:]))"
 
 
 def page(table: DataFrame, key: str, head: Column | str, body: Column | str = "<p>one</p><p>two</p>", url: Column | str = HOME) -> DataFrame:
-    """A page for each row."""
-    return table.select(F.col(key).alias("page_id"), join(url).alias("url"), join("<html><head>", head, "</head><body>", body, "</body></html>").alias("html"))
+    """A page for each row, the rows dealt over all cores before their pages are made."""
+    return spread(table, key).select(F.col(key).alias("page_id"), join(url).alias("url"), join("<html><head>", head, "</head><body>", body, "</body></html>").alias("html"))
 
 
 def mined(pages: DataFrame, *fields: str) -> DataFrame:
@@ -257,7 +257,7 @@ def record_precedence(spark: SparkSession, d: str) -> DataFrame:
     url = turn("o_orderkey", F.lit(HOME), join("https://www.paper.example.com/", y, "/", m, "/", day, "/x"), join("https://www.paper.example.com/", y, "/", m, "/x"), join("https://www.paper.example.com/", y, "/x"))
     head = join('<title>Order ', key, ' - Paper</title><meta name="date" content="', F.date_format("o_orderdate", "yyyy-MM-dd"), '"><meta name="author" content="mined">')
     body = join("<p class='author'>By Shown Name</p><p>", "many words of a long paragraph " * 4, "</p><time>1 Jan 1990</time>")
-    return Extractor()(page(read_table(spark, d, "orders"), "o_orderkey", head, body, url)).select("page_id", F.col("date").cast("date").alias("date"), "title", "author")
+    return Extractor(fields=("date", "title", "author"))(page(read_table(spark, d, "orders"), "o_orderkey", head, body, url)).select("page_id", F.col("date").cast("date").alias("date"), "title", "author")
 
 
 # Media

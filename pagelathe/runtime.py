@@ -16,6 +16,9 @@ ROWS_PER_FILE = 1 << 18
 #: Fewer are not worth another task.
 ROWS_PER_TASK = 1 << 13
 
+#: Rows of a narrow table that one task turns into pages and mines; fewer than the second are not worth another task.
+PAGES_PER_TASK, LEAST_PAGES = 1 << 14, 1 << 9
+
 #: Spark's setting that removes a query's shuffle files when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
@@ -27,6 +30,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """The rows of a narrow table dealt by its key, so that costly work on them is shared by all cores.
+
+    A table that is small on disk comes in one or few pieces, whatever the number of its rows. They are counted (of a
+    Parquet table by its footers): each task gets at most some 16,000, and there are two tasks a core if the rows suffice.
+    """
+    rows = table.count()
+    few = min(2 * table.sparkSession.sparkContext.defaultParallelism, -(-rows // LEAST_PAGES))
+    return table.repartition(max(1, few, -(-rows // PAGES_PER_TASK)), key)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per context.
 
