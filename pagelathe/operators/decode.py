@@ -130,7 +130,8 @@ def names_of(raw: Column) -> Column:
     """Names in a byline by rules: bylines' words off, split at commas, slashes and 'and'; CJK names in runs."""
     s = F.regexp_replace(raw, r"(?i)^\s*(?:written |posted |words |story )?(?:by|von|por|par)[: ]+", "")
     s = F.regexp_replace(s, "記者|編輯|報導|撰文|文|攝影|專欄|即時|綜合|[〔〕【】（）()]", " ")
-    parts = F.split(s, r"(?i)\s*(?:,|;|/|／|、|\||&|\band\b|\bund\b)\s*|\s{2,}")
+    # Words end where no ASCII word character follows, as in SQL; what \b means differs between versions of Java.
+    parts = F.split(s, r"(?i)\s*(?:,|;|/|／|、|\||&|(?<![A-Za-z0-9_])(?:and|und)(?![A-Za-z0-9_]))\s*|\s{2,}")
     clean = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^[\s\p{P}]+|[\s\p{P}]+$", "")))
     return F.array_distinct(F.filter(clean, lambda p: (p != "") & ~p.rlike(r"\d") & (F.length(p) <= 50)))
 
