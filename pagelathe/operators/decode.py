@@ -136,6 +136,12 @@ def names_of(raw: Column) -> Column:
     return F.array_distinct(F.filter(clean, lambda p: (p != "") & ~p.rlike(r"\d") & (F.length(p) <= 50)))
 
 
+def topk(scores: Column, k: int = TOP) -> Column:
+    """array<struct<pos, score>>: the places and scores of the best k of an array in the row, best first, ties by place."""
+    ranked = F.array_sort(F.transform(scores, lambda v, i: F.struct((-v).alias("neg"), i.cast("long").alias("pos"))))
+    return F.transform(F.slice(ranked, 1, k), lambda r: F.struct(r["pos"].alias("pos"), (-r["neg"]).alias("score")))
+
+
 def topk_rows(rows: DataFrame, key: str, score: str, k: int = TOP) -> DataFrame:
     """The relational form of the ranking: at most k rows a key, best first."""
     order = Window.partitionBy(key).orderBy(F.desc(score), F.asc("pos"))
