@@ -440,7 +440,7 @@ def lcs_diffs(spark: SparkSession, d: str) -> DataFrame:
 def walk_features(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of the user's from the nodes of each block: how many are bold, and the length of an attribute."""
     rows = page(read_table(spark, d, "customer"), "c_custkey", "", join("<p>a <b>b</b> <b>c</b></p><p data-name='", F.col("c_name"), "'>d</p><p>e</p>"))
-    made = dom.parse_pages(rows, with_meta=False, block_features={"bold": _bold, "told": _told}).select("page_id", F.explode("dom_blocks").alias("b"))
+    made = dom.parse_pages(rows, with_meta=False, block_features={"bold": _bold, "told": _told}, fields=("pos", "extra")).select("page_id", F.explode("dom_blocks").alias("b"))
     return made.select("page_id", F.col("b.pos").cast("long").alias("pos"), F.col("b.extra")["bold"].alias("depth"), F.col("b.extra")["told"].alias("told"))
 
 
@@ -492,8 +492,9 @@ def html_table_function(spark: SparkSession, d: str) -> DataFrame:
 def link_modes(spark: SparkSession, d: str) -> DataFrame:
     """A link counts as an empty text, or with its own text; the second block is all link."""
     rows = page(read_table(spark, d, "customer"), "c_custkey", "", "<p>word</p><a href='x'>two words</a>")
-    both = [bl.explode_blocks(bl.with_blocks(rows, link_mode=m)).select("page_id", F.col("pos").cast("long").alias("pos"), F.round("link_density", 6).alias(m)) for m in ("compat", "anchor")]
-    return both[0].join(both[1], ["page_id", "pos"])
+    for mode in ("compat", "anchor"):
+        rows = bl.with_blocks(rows, link_mode=mode, only=("link_density",)).withColumn(mode, F.transform("blocks", lambda b: F.round(b["link_density"], 6)))
+    return rows.select("page_id", F.posexplode(F.arrays_zip("compat", "anchor")).alias("pos", "z")).select("page_id", F.col("pos").cast("long").alias("pos"), "z.compat", "z.anchor")
 
 
 _METADATA = """SELECT page_id, h1 AS title, NULL::VARCHAR AS author, url, domain AS hostname, NULL::VARCHAR AS description, regexp_extract(url, '^https?://(?:www\\.|w[0-9]+\\.)?([^/]+)', 1) AS sitename,

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pagelathe.functions import tree, urls
 from pagelathe.operators import blocks as bl
-from pagelathe.operators import merge
-from pagelathe.plans import extractor, mined
+from pagelathe.operators import decode, dom, features, merge
+from pagelathe.plans import extractor, mined, queries
 from pagelathe.runtime import read_table
 
 SMALL = "/root/testdata/sf0.001"
@@ -89,3 +89,36 @@ def test_scores_are_left_out_only_where_mining_found_all_that_is_wanted(spark):
         assert sorted(got.collect()) == sorted(whole.select(got.columns).collect())
     needed = dict(extractor.Extractor().metadata(pages).select("page_id", merge.needs_scores(F.struct("title", "author", "rawDate"), ("date", "title", "author"))).collect())
     assert needed == {0: False, 1: True, 2: False, 3: False, 9: True, 10: True}
+
+
+def shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_readability_of_pages_needs_no_shuffle_and_is_that_of_rows(spark):
+    query = queries.readability_score(spark, SMALL)
+    assert shuffles(query) == 0
+    rows = dom.blockify(read_table(spark, SMALL, "pages")).withColumn("link_density", bl.link_density(F.col("text")))
+    want = features.readability(rows).select("page_id", F.col("pos").cast("long").alias("pos"), F.round("readability", 6).alias("readability"))
+    assert sorted(query.collect()) == sorted(want.collect())
+
+
+def test_the_longest_blocks_are_ranked_in_the_row(spark):
+    query = queries.topk_blocks(spark, SMALL)
+    assert shuffles(query) == 0
+    got = spark.createDataFrame([(1, [3, 9, 9, 1]), (2, [5]), (3, [])], "k long, s array<long>").select("k", decode.topk(F.col("s"), 3).alias("t")).collect()
+    assert {r["k"]: [tuple(t) for t in r["t"]] for r in got} == {1: [(1, 9), (2, 9), (0, 3)], 2: [(0, 5)], 3: []}
+
+
+def test_both_modes_of_links_are_told_in_one_pass(spark):
+    """Rows are dealt once; nothing is joined."""
+    assert "Join" not in (query := mined.link_modes(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert shuffles(query) == 1
+
+
+def test_workers_send_the_wanted_fields_of_blocks_alone(spark):
+    pages = read_table(spark, SMALL, "pages").limit(20)
+    whole, some = (dom.parse_pages(pages, with_meta=False, fields=f) for f in (None, ("pos", "text")))
+    assert some.schema["dom_blocks"].dataType.elementType.names == ["pos", "text"]
+    cut = whole.select("page_id", F.transform("dom_blocks", lambda b: F.struct(b["pos"].alias("pos"), b["text"].alias("text"))).alias("dom_blocks"))
+    assert sorted(some.select(*cut.columns).collect()) == sorted(cut.collect())
